@@ -24,24 +24,32 @@ def model_prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRICES, schemas.MODEL_PRICES)
 
 
-def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Add ``cost`` (decimal) to calls; unlisted models pay the ``default`` row.
+def attach_prices(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Add ``in_milli`` and ``out_milli``; unlisted models get the ``default`` row.
 
     The join is left to the optimizer, which broadcasts ``prices`` after checking
-    its size. The default prices are a scalar subquery, evaluated once.
+    its size. The default prices are scalar subqueries, evaluated once.
     """
     default = prices.filter(F.col("model") == "default")
-    listed = prices.select(F.col("model").alias("_model"), "in_milli", "out_milli")
-    in_milli = F.coalesce(F.col("in_milli"), default.select("in_milli").scalar())
-    out_milli = F.coalesce(F.col("out_milli"), default.select("out_milli").scalar())
+    listed = prices.select(
+        F.col("model").alias("_model"),
+        F.col("in_milli").alias("_in"),
+        F.col("out_milli").alias("_out"),
+    )
     return (
-        calls.join(listed, F.lower(calls["model"]) == listed["_model"], "left")
-        .withColumn(
-            "cost",
-            scores.call_cost(F.col("input_tokens"), F.col("output_tokens"), in_milli, out_milli),
-        )
-        .drop("_model", "in_milli", "out_milli")
+        calls.join(listed, F.lower(calls["model"]) == F.col("_model"), "left")
+        .withColumn("in_milli", F.coalesce("_in", default.select("in_milli").scalar()).cast("bigint"))
+        .withColumn("out_milli", F.coalesce("_out", default.select("out_milli").scalar()).cast("bigint"))
+        .drop("_model", "_in", "_out")
+    )
+
+
+def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Add the ``cost`` of each call, a decimal rounded to 6 places."""
+    cost = scores.call_cost(
+        F.col("input_tokens"), F.col("output_tokens"), F.col("in_milli"), F.col("out_milli")
     )
+    return attach_prices(calls, prices).withColumn("cost", cost).drop("in_milli", "out_milli")
 
 
 def _totals() -> list[Column]:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sitefold import schemas
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -67,6 +69,87 @@ WHERE k.again = 0 OR c.c_custkey % 11 = 0
 """
 
 
+def raw_seeds_sql(dialect: str) -> str:
+    """Seeds as people type them: padded, with schemes, paths, queries, upper case."""
+    return f"""
+SELECT c_custkey AS seed_no,
+       CASE c_custkey % 5 WHEN 0 THEN {_SITE} || '.com'
+            WHEN 1 THEN '  ' || {_SITE} || '.com' || chr(10)
+            WHEN 2 THEN 'http://' || {_SITE} || '.com/x/y'
+            WHEN 3 THEN 'HTTPS://WWW.' || {_SITE} || '.com/'
+            ELSE 'https://' || {_SITE} || '.com/a?b=c#d' END AS domain
+FROM customer c
+"""
+
+
+LINK_CASES = [
+    # link_no, href, absolute form against https://{D}/a/b?q=1
+    (1, "/about", "https://{D}/about"),
+    (2, "team", "https://{D}/a/team"),
+    (3, "../x", "https://{D}/x"),
+    (4, "./y/", "https://{D}/a/y/"),
+    (5, "?p=2", "https://{D}/a/b?p=2"),
+    (6, "#f", "https://{D}/a/b?q=1#f"),
+    (7, "//cdn.{D}/z", "https://cdn.{D}/z"),
+    (8, "http://o.org/m", "http://o.org/m"),
+    (9, "mailto:a@b.c", "mailto:a@b.c"),
+    (10, "", "https://{D}/a/b?q=1"),
+    (11, "../../../up", "https://{D}/up"),
+    (12, "g//h", "https://{D}/a/g/h"),
+    (13, "/p/../q", "https://{D}/q"),
+    (14, "x/..", "https://{D}/a/"),
+    (15, "HTTPS://Host.{D}/K?z#w", "https://Host.{D}/K?z#w"),
+]
+
+
+def links_sql(dialect: str) -> str:
+    """Links of every shape on one page per site."""
+    cases = _each(dialect, "k", "link_no, href, absolute", LINK_CASES)
+    return f"""
+SELECT c.c_custkey AS site_id, k.link_no,
+       'https://' || {_SITE} || '.com/a/b?q=1' AS base_url,
+       replace(k.href, '{{D}}', {_SITE} || '.com') AS href,
+       replace(k.absolute, '{{D}}', {_SITE} || '.com') AS absolute
+FROM customer c {cases}
+"""
+
+
+def leader_text_sql(dialect: str) -> str:
+    """Text that names leaders in both forms, with dashes, a no-break space, repeats."""
+    return """
+SELECT c_custkey AS site_id,
+       'Ada Stone, CEO. Bo Lind – CTO. Ada Stone,\u00a0CEO. '
+       || CASE WHEN c_custkey % 2 = 0 THEN 'Cy Moor - Founder; Di Vale, VP. ' ELSE '' END
+       || CASE WHEN c_custkey % 3 = 0 THEN 'Hal Ives (CEO) Jo Kerr CTO. ' ELSE '' END
+       || 'Founder: Ed Poe. CEO - Flo Ray. CTO–Gus Tan, VP. CEO - Flo Ray. ' || c_name AS txt
+FROM customer
+"""
+
+
+def lead_leaders_sql(dialect: str) -> str:
+    """Leaders of every third site: with a URL, with an empty one, with none."""
+    rows = _each(
+        dialect, "k", "leader_no, name, role", [(1, "Ada Stone", "CEO"), (2, "Bo Lind", "CTO")]
+    )
+    return f"""
+SELECT {_SITE} || '.com' AS domain, k.leader_no, k.name, k.role,
+       CASE WHEN c.c_custkey % 4 = 0 OR (k.leader_no = 1 AND c.c_custkey % 4 = 1)
+            THEN 'https://www.linkedin.com/in/known-' || cast(c.c_custkey AS string)
+            WHEN c.c_custkey % 4 = 2 AND k.leader_no = 2 THEN ''
+            ELSE NULL END AS linkedin_url
+FROM customer c {rows}
+WHERE c.c_custkey % 3 = 0
+"""
+
+
+def lead_companies_sql(dialect: str) -> str:
+    return f"""
+SELECT {_SITE} || '.com' AS domain,
+       substr(c_mktsegment, 1, 1) || lower(substr(c_mktsegment, 2)) || cast(c_custkey AS string) AS company
+FROM customer c WHERE c_custkey % 3 <> 2
+"""
+
+
 def kb_sql(dialect: str) -> str:
     return f"""
 SELECT {_SITE} || '.com' AS domain,
@@ -150,6 +233,11 @@ WHERE NOT (p.provider = 'A' AND c.c_custkey % 5 = 4)
 DERIVED = {
     "fx_site_pages": site_pages_sql,
     "fx_seeds": seeds_sql,
+    "fx_raw_seeds": raw_seeds_sql,
+    "fx_links": links_sql,
+    "fx_leader_text": leader_text_sql,
+    "fx_lead_leaders": lead_leaders_sql,
+    "fx_lead_companies": lead_companies_sql,
     "fx_kb": kb_sql,
     "fx_kb_leaders": kb_leaders_sql,
     "fx_model_prices": model_prices_sql,
@@ -180,10 +268,9 @@ class Inputs:
     def seeds(self) -> DataFrame:
         return self.derived("fx_seeds")
 
-    def kb(self) -> DataFrame:
-        """Nested form: one row per domain with its contacts and ordered leaders."""
-        leaders = (
-            self.derived("fx_kb_leaders")
+    def _leader_lists(self, name: str) -> DataFrame:
+        return (
+            self.derived(name)
             .groupBy("domain")
             .agg(
                 F.array_sort(
@@ -198,12 +285,27 @@ class Inputs:
                 ).alias("leadership"),
             )
         )
+
+    def kb(self) -> DataFrame:
+        """Nested form: one row per domain with its contacts and ordered leaders."""
         return (
             self.derived("fx_kb")
-            .join(leaders, "domain", "left")
+            .join(self._leader_lists("fx_kb_leaders"), "domain", "left")
             .select("domain", "name", "overview", "icp", F.array("contact").alias("contacts"), "leadership")
         )
 
+    def open_leads(self) -> DataFrame:
+        """Leads before the search: every other one has two leaders, the rest none."""
+        return (
+            self.derived("fx_lead_companies")
+            .join(self._leader_lists("fx_lead_leaders"), "domain", "left")
+            .select(
+                "domain",
+                "company",
+                F.coalesce("leadership", F.array().cast(schemas.LEADERS)).alias("leaders"),
+            )
+        )
+
     def prices(self) -> DataFrame:
         return self.derived("fx_model_prices")
 
