@@ -49,18 +49,22 @@ def company_name(domain: Column) -> Column:
 
 def split_url(url: Column) -> Column:
     """Struct of scheme, netloc, path, query, fragment; empty string where absent."""
+    stray = url.rlike(r"^[\x00-\x20]|[\t\r\n]")
     clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(clean, _PARTS, group)
+    def parts(u: Column) -> Column:
+        def part(group: int) -> Column:
+            return F.regexp_extract(u, _PARTS, group)
 
-    return F.struct(
-        F.lower(part(1)).alias("scheme"),
-        part(3).alias("netloc"),
-        part(4).alias("path"),
-        part(5).alias("query"),
-        part(6).alias("fragment"),
-    )
+        return F.struct(
+            F.lower(part(1)).alias("scheme"),
+            part(3).alias("netloc"),
+            part(4).alias("path"),
+            part(5).alias("query"),
+            part(6).alias("fragment"),
+        )
+
+    return bound(F.when(stray, clean).otherwise(url), parts)
 
 
 def unsplit_url(p: Column) -> Column:
@@ -164,7 +168,10 @@ def canonical_from_parts(p: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """``scheme://host/path`` without query, fragment and trailing slashes."""
-    return bound(split_url(url), canonical_from_parts)
+    plain = url.rlike(r"^https?://[^/?#;\x00-\x20][^?#;\t\r\n]*$")
+    return F.when(plain, F.rtrim(url, F.lit("/"))).otherwise(
+        bound(split_url(url), canonical_from_parts)
+    )
 
 
 def same_site(host: Column, base_host: Column) -> Column:
@@ -184,7 +191,9 @@ def is_skippable(href: Column) -> Column:
 
 def site_links(base_url: Column, hrefs: Column) -> Column:
     """Canonical same-site target links of a page, first occurrence first."""
-    usable = F.array_distinct(F.filter(F.transform(hrefs, strip), lambda h: ~is_skippable(h)))
+    usable = F.array_distinct(
+        F.filter(F.transform(hrefs, strip), lambda h: (h != "") & ~h.rlike(SKIPPED_HREF))
+    )
     refs = F.transform(usable, split_url)
 
     def against(base: Column) -> Column:

@@ -10,6 +10,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,11 +39,35 @@ _SPACE = re.compile(r"\s+")
 _LIST_LIKE = re.compile(r"(?m)^(\s*)(\d+(?=\.\s)|(?=\+\s|-[\s-]))")
 _BRACKETS = re.compile(r"([\\\[\]()])")
 
+# Well-formed markup, which most pages are made of: text, end tag, start tag,
+# comment, doctype. Anything else sends the page to the tolerant parser.
+_NAME = r"[a-zA-Z][a-zA-Z0-9:-]*"
+_ATTR = r"""[a-zA-Z_:@][\w:.@-]*(?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`]*[^\s"'<>=`/]))?"""
+_TOKEN = re.compile(
+    rf"([^<]+)|</({_NAME})\s*>|<({_NAME})((?:\s+{_ATTR})*)\s*(/?)>"
+    r"|<!--(?!-?>)(?:(?!--!>)(?:.|\n))*?-->|<!(?:doctype|DOCTYPE)\b[^>\[]*>",
+    re.ASCII,
+)
+_ATTRS = re.compile(r"""([a-zA-Z_:@][\w:.@-]*)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""", re.ASCII)
+_RAW_TEXT = frozenset(("script", "style"))
+# elements whose content some versions of the tolerant parser read as plain text
+_TEXT_ONLY = frozenset("title textarea iframe noembed noframes xmp plaintext noscript".split())
+
 
 def _escape(value: str) -> str:
     return _BRACKETS.sub(r"\\\1", value)
 
 
+def _attributes(tag: str, attr_text: str) -> dict[str, str]:
+    """The attributes that matter: of links and lists, and styles of any element."""
+    if not attr_text or not (tag in ("a", "ol") or "style" in attr_text.lower()):
+        return {}
+    return {
+        name.lower(): unescape(double or single or bare)
+        for name, double, single, bare in _ATTRS.findall(attr_text)
+    }
+
+
 class PageReader(HTMLParser):
     """One pass over a page: an open-element stack that feeds a Markdown writer."""
 
@@ -66,14 +91,21 @@ class PageReader(HTMLParser):
 
     # -- tree ---------------------------------------------------------------
     def handle_starttag(self, tag, attrs):
-        attrs = {k: v or "" for k, v in attrs}
+        self.open(tag, {k: v or "" for k, v in attrs})
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID_TAGS:
+            self.pop()
+
+    def open(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "a" and "href" in attrs:
             self.hrefs.append(attrs["href"])
         hidden = (
             self.hidden
             or tag in STRIPPED_TAGS
             or tag == "head"
-            or bool(HIDDEN_STYLE.search(attrs.get("style", "")))
+            or ("style" in attrs and bool(HIDDEN_STYLE.search(attrs["style"])))
         )
         self.stack.append((tag, self.hidden))
         self.open_tags[tag] += 1
@@ -83,11 +115,6 @@ class PageReader(HTMLParser):
         if tag in VOID_TAGS:
             self.pop()
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS:
-            self.pop()
-
     def handle_endtag(self, tag):
         if self.open_tags[tag]:
             while self.pop() != tag:
@@ -102,11 +129,44 @@ class PageReader(HTMLParser):
         return tag
 
     def finish(self) -> str:
-        self.close()
+        self.close()  # text the tolerant parser still holds back
         while self.stack:
             self.pop()
         return "".join(self.out)
 
+    def read_well_formed(self, html: str) -> bool:
+        """Feed ``html`` if all of it is well-formed markup; False at the first part
+        that is not, with the reader then to be thrown away."""
+        pos, size, token = 0, len(html), _TOKEN.match
+        while pos < size:
+            found = token(html, pos)
+            if found is None:
+                return False
+            pos = found.end()
+            part = found.lastindex
+            if part == 1:
+                if not self.hidden:
+                    words = found[1]
+                    self.handle_data(unescape(words) if "&" in words else words)
+            elif part == 2:
+                self.handle_endtag(found[2].lower())
+            elif part:
+                tag = found[3].lower()
+                self.open(tag, _attributes(tag, found[4]))
+                if found[5]:
+                    if tag not in VOID_TAGS:
+                        self.pop()
+                elif tag in _RAW_TEXT:
+                    end = re.compile(f"</{tag}", re.I).search(html, pos)
+                    if end is None:
+                        return False
+                    pos = end.start()
+                elif tag in _TEXT_ONLY:
+                    end = html.find("<", pos)
+                    if html[end + 1 : end + 2 + len(tag)].lower() != "/" + tag:
+                        return False
+        return True
+
     # -- Markdown -----------------------------------------------------------
     def handle_data(self, data):
         if self.hidden or not data:
@@ -253,7 +313,9 @@ def read_page(html: str | None) -> tuple[str, list[str], str | None]:
         return "", [], None
     reader = PageReader()
     try:
-        reader.feed(html)
+        if not reader.read_well_formed(html):
+            reader = PageReader()
+            reader.feed(html)
         return reader.finish(), reader.hrefs, None
     except Exception as err:  # one bad page must not end the job
         return "", [], f"{type(err).__name__}: {err}"

@@ -253,14 +253,27 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Use all cores where a table is one small file whose rows become many pages."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores, df.columns[0])
 
     def derived(self, name: str) -> DataFrame:
+        sql = DERIVED[name]("spark")
         for base in ("customer", "nation", "orders"):
-            self.table(base).createOrReplaceTempView(base)
-        return self.spark.sql(DERIVED[name]("spark"))
+            if f" {base}" in sql:
+                df = self.table(base)
+                (df if base == "nation" else self._spread(df)).createOrReplaceTempView(base)
+        return self.spark.sql(sql)
 
     def site_pages(self) -> DataFrame:
         return self.derived("fx_site_pages")

@@ -12,6 +12,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Parsing is heavy per byte: keep all cores busy even when a shuffle is small.
+    # Large shuffles are not affected, their partitions are far above this.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # the page job turns one batch of HTML into Python strings at a time
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
