@@ -25,6 +25,9 @@ _PARTS = (
     r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 )
 
+# parameters of the last path segment, which do not count as part of the path
+_PARAMS = ";[^/]*$"
+
 
 def bound(value: Column, fn) -> Column:
     """Evaluate ``value`` once and apply ``fn`` to it."""
@@ -100,8 +103,17 @@ def _without_dot_segments(segments: Column) -> Column:
     ).otherwise(resolved)
 
 
-def _merge_path(base_path: Column, path: Column) -> Column:
+def _merge_path(base_path: Column, ref_path: Column) -> Column:
     """Path of a relative reference against ``base_path`` (RFC 3986, 5.2)."""
+    # parameters of the last segment take no part in the merge
+    params = F.regexp_extract(ref_path, _PARAMS, 0)
+    return F.concat(
+        bound(F.regexp_replace(ref_path, _PARAMS, ""), lambda p: _merge_plain_path(base_path, p)),
+        params,
+    )
+
+
+def _merge_plain_path(base_path: Column, path: Column) -> Column:
     # all segments but the last, which is a file name unless it is empty
     folder = F.regexp_replace(base_path, "[^/]+$", "")
     joined = F.split(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), "/")
@@ -160,8 +172,7 @@ def resolve_link(base_url: Column, href: Column) -> Column:
 
 
 def canonical_from_parts(p: Column) -> Column:
-    # parameters of the last path segment (";…") are not part of the path
-    path = F.regexp_replace(p["path"], ";[^/]*$", "")
+    path = F.regexp_replace(p["path"], _PARAMS, "")
     slash = F.when((path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
     return F.rtrim(F.concat(p["scheme"], F.lit("://"), p["netloc"], slash, path), F.lit("/"))
 

@@ -42,7 +42,7 @@ _BRACKETS = re.compile(r"([\\\[\]()])")
 # Well-formed markup, which most pages are made of: text, end tag, start tag,
 # comment, doctype. Anything else sends the page to the tolerant parser.
 _NAME = r"[a-zA-Z][a-zA-Z0-9:-]*"
-_ATTR = r"""[a-zA-Z_:@][\w:.@-]*(?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`]*[^\s"'<>=`/]))?"""
+_ATTR = r"""[a-zA-Z_:@][\w:.@-]*(?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`]*[^\s"'<>=`/](?=[\s>])))?"""
 _TOKEN = re.compile(
     rf"([^<]+)|</({_NAME})\s*>|<({_NAME})((?:\s+{_ATTR})*)\s*(/?)>"
     r"|<!--(?!-?>)(?:(?!--!>)(?:.|\n))*?-->|<!(?:doctype|DOCTYPE)\b[^>\[]*>",
@@ -309,7 +309,7 @@ class PageReader(HTMLParser):
 
 def read_page(html: str | None) -> tuple[str, list[str], str | None]:
     """Markdown before white space is collapsed, raw hrefs in order, error text."""
-    if not html or not html.strip():
+    if not html:
         return "", [], None
     reader = PageReader()
     try:
