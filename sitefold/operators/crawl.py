@@ -1,8 +1,9 @@
 """From seed domains to page rows: home page, its target links, their pages.
 
-The crawl is two joins against the ``pages`` table. Page HTML is large, so it only
-moves for pages that are asked for, and each asked-for page is parsed once however
-many seeds or sites ask for it.
+The crawl is two joins against the ``pages`` table, first for the home pages, then
+for the pages they link to. Page HTML is by far the largest column, so the joins are
+planned around it: see :class:`PageReads`. Each page is parsed once however many
+seeds or sites ask for it.
 """
 
 from __future__ import annotations
@@ -33,30 +34,25 @@ def start_urls(seeds: DataFrame) -> DataFrame:
     )
 
 
-def pick_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The page with the smallest ``page_id`` for each wanted ``page_key``.
+def page_index(pages: DataFrame) -> DataFrame:
+    """``(page_key, page_id)``: the smallest ``page_id`` of each canonical URL.
 
-    Copies of one URL may be a large share of ``pages``. Choosing happens on
-    ``(page_key, page_id)`` alone and is combined before the shuffle; the HTML is
-    then fetched by the unique ``page_id``, so no partition holds all copies.
+    Copies of one URL may be a large share of ``pages``. They are told apart here on
+    two narrow columns, combined before the shuffle, and never meet in one task.
     """
-    chosen = (
+    return (
         pages.select(urls.canonical_url(F.col("url")).alias("page_key"), "page_id")
         .groupBy("page_key")
         .agg(F.min("page_id").alias("page_id"))
-        .join(wanted.select("page_key").distinct(), "page_key", "left_semi")
     )
-    return pages.select("page_id", "status_code", "html").join(chosen, "page_id")
 
 
-def read_pages(pages: DataFrame, wanted: DataFrame, denied=text.DENIED_SUFFIXES) -> DataFrame:
-    """Parsed content of the wanted pages, one row per ``page_key``."""
-    parsed = scan_contacts(
-        pick_pages(pages, wanted).select("page_key", "status_code", "html"), denied=denied
-    )
+def read_pages(pages: DataFrame, key: str = "page_id", denied=text.DENIED_SUFFIXES) -> DataFrame:
+    """Parsed content by ``key``; a map over ``pages`` that drops the HTML."""
+    parsed = scan_contacts(pages.select(key, "status_code", "html"), denied=denied)
     broken = F.col("parse_error").isNotNull()
     return parsed.select(
-        "page_key",
+        key,
         F.when(broken, F.lit(500)).otherwise(F.col("status_code")).cast("int").alias("status_code"),
         F.when(broken, failure_text(F.col("parse_error")))
         .otherwise(F.col("markdown"))
@@ -68,6 +64,38 @@ def read_pages(pages: DataFrame, wanted: DataFrame, denied=text.DENIED_SUFFIXES)
     )
 
 
+class PageReads:
+    """Reads wanted pages in the cheaper of two exact ways.
+
+    ``wanted``: join the HTML to the wanted ids, parse only those pages. Right when
+    few pages are wanted; a short id list is broadcast, a long one shuffles HTML.
+    ``all``: parse every page where it lies, write the compact result once and join
+    that. Right when most pages are wanted: no HTML is ever shuffled.
+    ``auto`` compares the number of home pages found, each good for up to
+    ``max_subpages`` more, with the number of pages.
+    """
+
+    def __init__(self, pages: DataFrame, starts: DataFrame, max_subpages: int, mode: str, denied):
+        self.pages, self.denied = pages, denied
+        self.index = materialize(page_index(pages), "page-index")
+        if mode == "auto":
+            homes = self.ids(starts).count()
+            mode = "all" if homes * (max_subpages + 1) * 2 >= self.index.count() else "wanted"
+        self.parsed = None
+        if mode == "all":
+            self.parsed = materialize(read_pages(pages, denied=denied), "parsed-pages")
+
+    def ids(self, wanted: DataFrame) -> DataFrame:
+        return self.index.join(wanted.select("page_key").distinct(), "page_key", "left_semi")
+
+    def read(self, wanted: DataFrame) -> DataFrame:
+        """One parsed row per wanted ``page_key`` that is in the table."""
+        ids = self.ids(wanted)
+        if self.parsed is not None:
+            return self.parsed.join(ids, "page_id").drop("page_id")
+        return read_pages(self.pages.join(ids, "page_id"), "page_key", self.denied)
+
+
 def failure_text(error: Column) -> Column:
     return F.concat(F.lit("Failed to crawl page: "), error)
 
@@ -94,19 +122,21 @@ def crawl(
     pages: DataFrame,
     max_subpages: int = MAX_SUBPAGES,
     denied=text.DENIED_SUFFIXES,
+    parse: str = "auto",
 ) -> DataFrame:
     """Page rows of every distinct seed: home (``page_no`` 0), then its sub-pages.
 
     ``pages`` has a unique ``page_id``, ``url``, ``status_code`` and ``html``. A
     missing home page has no links, hence no sub-pages. At most
     ``max_subpages + 1`` rows per seed come out, so grouping them later is safe.
+    ``parse`` is "auto", "all" or "wanted", see :class:`PageReads`; the rows are
+    the same.
     """
     pages = pages.withColumn("status_code", F.coalesce("status_code", F.lit(200)))
     starts = start_urls(seeds)
+    reads = PageReads(pages, starts, max_subpages, parse, denied)
     # Seeds that differ only in their query string share one home page.
-    homes = left_join_salted(
-        starts, read_pages(pages, starts, denied), "page_key", spread_by="domain"
-    )
+    homes = left_join_salted(starts, reads.read(starts), "page_key", spread_by="domain")
     homes = materialize(
         homes.select(
             "domain",
@@ -124,7 +154,7 @@ def crawl(
              F.col("url").alias("page_key"))
     # Many seeds on one host share its sub-pages, so their join key may be hot.
     subpages = left_join_salted(
-        frontier, read_pages(pages, frontier, denied).drop("hrefs"), "page_key", spread_by="domain"
+        frontier, reads.read(frontier).drop("hrefs"), "page_key", spread_by="domain"
     )
     return _fill_missing(homes.drop("links")).unionByName(
         _fill_missing(subpages.drop("page_key"))

@@ -44,19 +44,21 @@ def union_contacts(found: Column, known: Column) -> Column:
 def join_kb(profiles: DataFrame, kb: DataFrame) -> DataFrame:
     """Left join to the knowledge base on the clean domain.
 
-    ``kb`` has one row per domain. Whether it is broadcast is the optimizer's
-    decision from its size; past the threshold AQE splits a skewed ``profiles``
-    side (many seeds on one host).
+    A domain given twice in ``kb`` counts once. Whether ``kb`` is broadcast is the
+    optimizer's decision from its size; past the threshold AQE splits a skewed
+    ``profiles`` side (many seeds on one host).
     """
+    entry = F.struct("name", "overview", "icp", "contacts", "leadership")
+    known = kb.groupBy("domain").agg(F.min(entry).alias("e"))
     return profiles.withColumn("domain_clean", urls.clean_domain(F.col("domain"))).join(
-        kb.select(
+        known.select(
             F.col("domain").alias("domain_clean"),
             F.lit(True).alias("in_kb"),
-            F.col("name").alias("kb_name"),
-            F.col("overview").alias("kb_overview"),
-            F.col("icp").alias("kb_icp"),
-            F.col("contacts").alias("kb_contacts"),
-            F.col("leadership").alias("kb_leadership"),
+            F.col("e.name").alias("kb_name"),
+            F.col("e.overview").alias("kb_overview"),
+            F.col("e.icp").alias("kb_icp"),
+            F.col("e.contacts").alias("kb_contacts"),
+            F.col("e.leadership").alias("kb_leadership"),
         ),
         "domain_clean",
         "left",

@@ -63,9 +63,19 @@ def logged_queries(requests: Column) -> Column:
 
 
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
-    """First ``k`` hits per query. Spark applies the limit before the shuffle too."""
-    order = Window.partitionBy("query").orderBy("rank", "href", "title", "body")
-    return hits.withColumn("hit_no", F.row_number().over(order)).filter(F.col("hit_no") <= k)
+    """First ``k`` hits per query.
+
+    Repeated rows of one ``(query, rank)`` count once; they are combined before the
+    shuffle, and Spark applies the row limit before the second one too, so no task
+    sees more than ``k`` rows of a query per partition.
+    """
+    once = (
+        hits.groupBy("query", "rank")
+        .agg(F.min(F.struct("href", "title", "body")).alias("h"))
+        .select("query", "rank", "h.*")
+    )
+    order = Window.partitionBy("query").orderBy("rank")
+    return once.withColumn("hit_no", F.row_number().over(order)).filter(F.col("hit_no") <= k)
 
 
 def hit_url() -> Column:

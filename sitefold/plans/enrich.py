@@ -41,15 +41,17 @@ def enrich(
     max_chars: int = sites.CONTEXT_CHARS,
     denied=text.DENIED_SUFFIXES,
     compat: bool = False,
+    parse: str = "auto",
 ) -> DataFrame:
     """One record per seed, repeats included, in the shape of ``schemas.LEAD``
     plus ``seed_no``, ``home_status``, ``provider`` and ``error``.
 
-    The work is done once per distinct seed. Two tables are written on the way: the
-    parsed home pages (read for links and for text) and the leads before the search
-    (read for queries and for the result), so no HTML is parsed twice.
+    The work is done once per distinct seed. Tables are written where several steps
+    read the same rows: the page index, the parsed pages, the home pages (read for
+    links and for text), the leads before the search (read for queries and for the
+    result). No HTML is parsed twice.
     """
-    page_rows = crawl.crawl(seeds, pages, max_subpages, denied)
+    page_rows = crawl.crawl(seeds, pages, max_subpages, denied, parse)
     profiles = sites.site_profiles(page_rows, max_chars, include_failed=compat)
     found = extract(profiles, kb, prices, responses, compat)
     # the long text is not needed any more

@@ -525,11 +525,12 @@ def statements() -> dict[str, str]:
             _DEDUP,
         ),
         "html_strip": _pages_sql(
-            "SELECT n AS site_id, CAST(page_no AS BIGINT) AS page_no, 0 AS script_hits, 0 AS style_hits, 0 AS nav_hits, "
-            "0 AS footer_hits, 1 AS body_hits FROM page_rows"
+            "SELECT n AS site_id, CAST(page_no AS BIGINT) AS page_no, CAST(0 AS BIGINT) AS script_hits, "
+            "CAST(0 AS BIGINT) AS style_hits, CAST(0 AS BIGINT) AS nav_hits, CAST(0 AS BIGINT) AS footer_hits, "
+            "CAST(1 AS BIGINT) AS body_hits FROM page_rows"
         ),
         "html_strip_hidden": _pages_sql(
-            "SELECT n AS site_id, CAST(page_no AS BIGINT) AS page_no, 0 AS hidden_hits, length(markdown) AS chars FROM page_rows"
+            "SELECT n AS site_id, CAST(page_no AS BIGINT) AS page_no, CAST(0 AS BIGINT) AS hidden_hits, length(markdown) AS chars FROM page_rows"
         ),
         "html_markdown": _pages_sql(
             "SELECT n AS site_id, CAST(page_no AS BIGINT) AS page_no, markdown FROM page_rows"
