@@ -49,6 +49,11 @@ _EMAIL_LINEAR = (
 _NO_STRINGS = "array<string>"
 
 
+def bound(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and apply ``fn`` to it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def empty_strings() -> Column:
     return F.array().cast(_NO_STRINGS)
 
@@ -128,10 +133,13 @@ def sentences(text: Column, skip_page_headers: bool = True) -> Column:
 
 def overview(text: Column, company_name: Column, skip_page_headers: bool = True) -> Column:
     """First two sentences, or a stock line naming the company."""
-    lead = F.slice(sentences(text, skip_page_headers), 1, 2)
-    return F.when(
-        F.size(lead) == 2, F.concat(F.array_join(lead, ". "), F.lit("."))
-    ).otherwise(F.concat(company_name, F.lit(" provides digital products and services.")))
+    stock = F.concat(company_name, F.lit(" provides digital products and services."))
+    return bound(
+        F.slice(sentences(text, skip_page_headers), 1, 2),
+        lambda lead: F.when(
+            F.size(lead) == 2, F.concat(F.array_join(lead, ". "), F.lit("."))
+        ).otherwise(stock),
+    )
 
 
 def name_role_pattern(compat: bool = False) -> str:

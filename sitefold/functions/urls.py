@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sitefold.functions.text import strip
+from sitefold.functions.text import bound, strip
 
 # --- fixed values -----------------------------------------------------------
 TARGET_KEYWORDS = (
@@ -29,11 +29,6 @@ _PARTS = (
 _PARAMS = ";[^/]*$"
 
 
-def bound(value: Column, fn) -> Column:
-    """Evaluate ``value`` once and apply ``fn`` to it."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def normalize_seed(seed: Column) -> Column:
     """Strip, and prefix ``https://`` unless a (lower-case) scheme is there."""
     s = strip(seed)
@@ -171,6 +166,22 @@ def resolve_link(base_url: Column, href: Column) -> Column:
     )
 
 
+def resolve_all(base_url: Column, hrefs: Column) -> Column:
+    """Array of ``(link_no, href, to)`` with ``to`` the parts of the resolved link."""
+
+    def against(base: Column) -> Column:
+        return F.transform(
+            hrefs,
+            lambda h, i: F.struct(
+                (i + 1).cast("bigint").alias("link_no"),
+                h.alias("href"),
+                bound(split_url(strip(h)), lambda ref: resolve_parts(base, ref)).alias("to"),
+            ),
+        )
+
+    return bound(split_url(base_url), against)
+
+
 def canonical_from_parts(p: Column) -> Column:
     path = F.regexp_replace(p["path"], _PARAMS, "")
     slash = F.when((path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit(""))

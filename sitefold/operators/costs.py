@@ -27,20 +27,21 @@ def model_prices(spark: SparkSession) -> DataFrame:
 def attach_prices(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Add ``in_milli`` and ``out_milli``; unlisted models get the ``default`` row.
 
-    The join is left to the optimizer, which broadcasts ``prices`` after checking
-    its size. The default prices are scalar subqueries, evaluated once.
+    A model listed twice counts once. The join is left to the optimizer, which
+    broadcasts ``prices`` after checking its size; past that, AQE splits the calls of
+    a frequent model. The default prices are scalar subqueries, evaluated once.
     """
     default = prices.filter(F.col("model") == "default")
-    listed = prices.select(
-        F.col("model").alias("_model"),
-        F.col("in_milli").alias("_in"),
-        F.col("out_milli").alias("_out"),
+    listed = prices.groupBy(F.col("model").alias("_model")).agg(
+        F.min("in_milli").alias("_in"), F.min("out_milli").alias("_out")
     )
-    return (
-        calls.join(listed, F.lower(calls["model"]) == F.col("_model"), "left")
-        .withColumn("in_milli", F.coalesce("_in", default.select("in_milli").scalar()).cast("bigint"))
-        .withColumn("out_milli", F.coalesce("_out", default.select("out_milli").scalar()).cast("bigint"))
-        .drop("_model", "_in", "_out")
+
+    def price(column: str, name: str) -> Column:
+        fallback = default.agg(F.min(name)).scalar()
+        return F.coalesce(F.col(column), fallback).cast("bigint").alias(name)
+
+    return calls.join(listed, F.lower(calls["model"]) == F.col("_model"), "left").select(
+        *[calls[c] for c in calls.columns], price("_in", "in_milli"), price("_out", "out_milli")
     )
 
 
@@ -52,6 +53,23 @@ def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return attach_prices(calls, prices).withColumn("cost", cost).drop("in_milli", "out_milli")
 
 
+def price_one_model(calls: DataFrame, prices: DataFrame, model: str) -> DataFrame:
+    """:func:`price_calls` where all calls use one model: scalar lookups, no join."""
+
+    def price(column: str) -> Column:
+        def of(name: str) -> Column:
+            return prices.filter(F.col("model") == name).agg(F.min(column)).scalar()
+
+        return F.coalesce(of(model.lower()), of("default"))
+
+    return calls.withColumn(
+        "cost",
+        scores.call_cost(
+            F.col("input_tokens"), F.col("output_tokens"), price("in_milli"), price("out_milli")
+        ),
+    )
+
+
 def _totals() -> list[Column]:
     tokens_in = F.sum("input_tokens").cast("bigint")
     tokens_out = F.sum("output_tokens").cast("bigint")

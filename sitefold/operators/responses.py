@@ -106,7 +106,10 @@ def validation_reason(raw_json: Column) -> Column:
     Checks run in a fixed order: JSON syntax, required strings, lists, leaders,
     costs, then the score and its range.
     """
-    doc = F.try_parse_json(raw_json)
+    return text.bound(F.try_parse_json(raw_json), _document_reason)
+
+
+def _document_reason(doc: Column) -> Column:
     kind = _kind(doc)
     score_field = _field(doc, "data_confidence_score")
     score = F.try_variant_get(doc, "$.data_confidence_score", "double")
@@ -143,11 +146,12 @@ def quarantine(validated: DataFrame) -> DataFrame:
 
 def parse_lead(raw_json: Column) -> Column:
     """Lead struct of a valid response; absent lists become empty."""
-    fields = "company_name company_overview target_audience".split()
-    strings = [F.get_json_object(raw_json, f"$.{n}").alias(n) for n in ["domain", *fields]]
-    doc = F.try_parse_json(raw_json)
+    return text.bound(F.try_parse_json(raw_json), _document_lead)
+
+
+def _document_lead(doc: Column) -> Column:
     return F.struct(
-        *strings,
+        *[F.try_variant_get(doc, f"$.{n}", "string").alias(n) for n in _REQUIRED_STRINGS],
         F.coalesce(
             F.try_variant_get(doc, "$.contact_points", "array<string>"), text.empty_strings()
         ).alias("contact_points"),
@@ -165,41 +169,47 @@ def parse_lead(raw_json: Column) -> Column:
 def _dumped_length(raw_json: Column) -> Column:
     """Length of the whole record printed as JSON with ", " and ": " separators and
     non-ASCII characters as ``\\uXXXX``: what provider A's output tokens count."""
-    record = F.from_json(raw_json, schemas.LEAD)
+    full = text.bound(F.from_json(raw_json, schemas.LEAD), _with_defaults)
+    return text.bound(full, _printed_length)
+
+
+def _with_defaults(record: Column) -> Column:
     strings = text.empty_strings()
-    zero = F.lit(0).cast("bigint")
     costs = record["cost_metrics"]
-    full = F.struct(
-        *[record[n].alias(n) for n in (*_REQUIRED_STRINGS,)],
+    return F.struct(
+        *[record[n].alias(n) for n in _REQUIRED_STRINGS],
         F.coalesce(record["contact_points"], strings).alias("contact_points"),
         F.coalesce(record["key_leadership"], F.array().cast(schemas.LEADERS)).alias("key_leadership"),
         record["data_confidence_score"].alias("data_confidence_score"),
         F.coalesce(record["pages_crawled"], strings).alias("pages_crawled"),
         F.coalesce(record["search_queries_used"], strings).alias("search_queries_used"),
         F.struct(
-            *[F.coalesce(costs[n], zero).alias(n) for n in _COST_FIELDS[:3]],
+            *[F.coalesce(costs[n], F.lit(0).cast("bigint")).alias(n) for n in _COST_FIELDS[:3]],
             F.coalesce(costs[_COST_FIELDS[3]], F.lit(0.0)).alias(_COST_FIELDS[3]),
         ).alias("cost_metrics"),
     )
-    compact = F.to_json(full, {"ignoreNullFields": "false"})
-    leaders = F.size(full["key_leadership"])
 
-    def commas(items: Column) -> Column:
-        return F.greatest(F.size(items) - 1, F.lit(0))
 
-    # one space per ":" and "," between values
+def _printed_length(full: Column) -> Column:
+    def commas(name: str) -> Column:
+        return F.greatest(F.size(full[name]) - 1, F.lit(0))
+
+    # one space per ":" and per "," between values: the record, its costs, its lists
     separators = (
         F.lit(10 + 9 + 4 + 3)
-        + commas(full["contact_points"])
-        + commas(full["pages_crawled"])
-        + commas(full["search_queries_used"])
-        + F.greatest(leaders - 1, F.lit(0))
-        + leaders * (3 + 2)
+        + commas("contact_points")
+        + commas("pages_crawled")
+        + commas("search_queries_used")
+        + commas("key_leadership")
+        + F.size(full["key_leadership"]) * (3 + 2)
     )
-    escaped = 5 * F.regexp_count(compact, F.lit(r"[^\x{20}-\x{7e}]")) + 6 * F.regexp_count(
-        compact, F.lit(r"[\x{10000}-\x{10ffff}]")
+    return text.bound(
+        F.to_json(full, {"ignoreNullFields": "false"}),
+        lambda compact: F.length(compact)
+        + separators
+        + 5 * F.regexp_count(compact, F.lit(r"[^\x{20}-\x{7e}]"))
+        + 6 * F.regexp_count(compact, F.lit(r"[\x{10000}-\x{10ffff}]")),
     )
-    return F.length(compact) + separators + escaped
 
 
 def response_tokens(raw_json: Column, provider: Column) -> Column:

@@ -43,16 +43,11 @@ def _profiles(i: Inputs) -> DataFrame:
 
 def _links(i: Inputs) -> DataFrame:
     """Exploded raw links of every site page, resolved against the page's URL."""
-    hrefs = html.parse_html(i.site_pages().select("site_id", "page_no", "url", "html"))
-    linked = hrefs.select("site_id", "page_no", "url", F.posexplode("hrefs").alias("pos", "href"))
-    return linked.select(
-        "site_id",
-        _big("page_no"),
-        (F.col("pos") + 1).cast("bigint").alias("link_no"),
-        "url",
-        "href",
-        urls.split_url(urls.resolve_link(F.col("url"), text.strip(F.col("href")))).alias("to"),
-        urls.split_url(F.col("url")).alias("base"),
+    links = F.explode(urls.resolve_all(F.col("url"), F.col("hrefs"))).alias("l")
+    return (
+        _home_links(i)
+        .select("site_id", _big("page_no"), urls.split_url(F.col("url")).alias("base"), links)
+        .select("site_id", "page_no", "l.link_no", "l.href", "l.to", "base")
     )
 
 

@@ -20,9 +20,9 @@ def extract(
     found = leads.rule_leads(profiles, kb, compat)
     if responses is None:
         found = found.withColumn("provider", F.lit("rules"))
+        priced = costs.price_one_model(found, prices, leads.RULE_MODEL)
     else:
-        found = resp.apply_fallback(found, responses)
-    priced = costs.price_calls(found, prices)
+        priced = costs.price_calls(resp.apply_fallback(found, responses), prices)
     return priced.withColumn(
         "cost_metrics",
         costs.cost_metrics(F.col("input_tokens"), F.col("output_tokens"), F.col("cost")),
