@@ -16,7 +16,6 @@ from sitefold.session import left_join_salted, materialize
 
 MAX_SUBPAGES = 4
 NOT_FOUND = "page not found in input"
-_PAYLOAD = ("status_code", "markdown", "emails", "linkedin_urls", "error")
 
 
 def start_urls(seeds: DataFrame) -> DataFrame:
@@ -47,12 +46,12 @@ def page_index(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_pages(pages: DataFrame, key: str = "page_id", denied=text.DENIED_SUFFIXES) -> DataFrame:
-    """Parsed content by ``key``; a map over ``pages`` that drops the HTML."""
-    parsed = scan_contacts(pages.select(key, "status_code", "html"), denied=denied)
+def read_pages(pages: DataFrame, denied=text.DENIED_SUFFIXES) -> DataFrame:
+    """Parsed content by ``page_id``; a map over ``pages`` that drops the HTML."""
+    parsed = scan_contacts(pages.select("page_id", "status_code", "html"), denied=denied)
     broken = F.col("parse_error").isNotNull()
     return parsed.select(
-        key,
+        "page_id",
         F.when(broken, F.lit(500)).otherwise(F.col("status_code")).cast("int").alias("status_code"),
         F.when(broken, failure_text(F.col("parse_error")))
         .otherwise(F.col("markdown"))
@@ -69,8 +68,8 @@ class PageReads:
 
     ``wanted``: join the HTML to the wanted ids, parse only those pages. Right when
     few pages are wanted; a short id list is broadcast, a long one shuffles HTML.
-    ``all``: parse every page where it lies, write the compact result once and join
-    that. Right when most pages are wanted: no HTML is ever shuffled.
+    ``all``: parse every page where it lies and write the compact result once. Right
+    when most pages are wanted: no HTML is ever shuffled.
     ``auto`` compares the number of home pages found, each good for up to
     ``max_subpages`` more, with the number of pages.
     """
@@ -78,22 +77,36 @@ class PageReads:
     def __init__(self, pages: DataFrame, starts: DataFrame, max_subpages: int, mode: str, denied):
         self.pages, self.denied = pages, denied
         self.index = materialize(page_index(pages), "page-index")
+        self.home_ids = self.index.join(
+            starts.select("page_key").distinct(), "page_key", "left_semi"
+        )
         if mode == "auto":
-            homes = self.ids(starts).count()
+            homes = self.home_ids.count()
             mode = "all" if homes * (max_subpages + 1) * 2 >= self.index.count() else "wanted"
-        self.parsed = None
-        if mode == "all":
-            self.parsed = materialize(read_pages(pages, denied=denied), "parsed-pages")
-
-    def ids(self, wanted: DataFrame) -> DataFrame:
-        return self.index.join(wanted.select("page_key").distinct(), "page_key", "left_semi")
-
-    def read(self, wanted: DataFrame) -> DataFrame:
-        """One parsed row per wanted ``page_key`` that is in the table."""
-        ids = self.ids(wanted)
-        if self.parsed is not None:
-            return self.parsed.join(ids, "page_id").drop("page_id")
-        return read_pages(self.pages.join(ids, "page_id"), "page_key", self.denied)
+        self.mode = mode
+        to_parse = pages if mode == "all" else self._only(self.home_ids)
+        self.parsed = materialize(read_pages(to_parse, denied), "parsed-pages")
+
+    def _only(self, ids: DataFrame) -> DataFrame:
+        return self.pages.join(ids.select("page_id"), "page_id")
+
+    def home_links(self) -> DataFrame:
+        """``(page_key, hrefs)`` of the home pages that are in the table."""
+        return (
+            self.parsed.select("page_id", "hrefs")
+            .join(self.home_ids, "page_id")
+            .select("page_key", "hrefs")
+        )
+
+    def contents(self, ids: DataFrame) -> DataFrame:
+        """Parsed rows, one per ``page_id``, of at least the pages in ``ids``."""
+        parsed = self.parsed.drop("hrefs")
+        if self.mode == "all":
+            return parsed
+        rest = ids.filter(F.col("page_id").isNotNull()).distinct().join(
+            parsed.select("page_id"), "page_id", "left_anti"
+        )
+        return parsed.unionByName(read_pages(self._only(rest), self.denied).drop("hrefs"))
 
 
 def failure_text(error: Column) -> Column:
@@ -136,26 +149,28 @@ def crawl(
     starts = start_urls(seeds)
     reads = PageReads(pages, starts, max_subpages, parse, denied)
     # Seeds that differ only in their query string share one home page.
-    homes = left_join_salted(starts, reads.read(starts), "page_key", spread_by="domain")
-    homes = materialize(
+    homes = left_join_salted(starts, reads.home_links(), "page_key", spread_by="domain")
+    found = urls.discover_links(F.col("start_url"), F.col("hrefs"), max_subpages)
+    requested = materialize(
         homes.select(
             "domain",
             "start_url",
-            F.lit(0).alias("page_no"),
-            F.col("start_url").alias("url"),
-            *_PAYLOAD,
-            urls.discover_links(F.col("start_url"), F.col("hrefs"), max_subpages).alias("links"),
+            F.col("page_key").alias("home_key"),
+            F.posexplode(F.concat(F.array("start_url"), found)).alias("page_no", "url"),
+        ).select(
+            "domain",
+            "start_url",
+            "page_no",
+            "url",
+            F.when(F.col("page_no") == 0, F.col("home_key")).otherwise(F.col("url")).alias("page_key"),
         ),
-        "homes",
-    )
-    frontier = homes.select(
-        "domain", "start_url", F.posexplode("links").alias("pos", "url")
-    ).select("domain", "start_url", (F.col("pos") + 1).alias("page_no"), "url",
-             F.col("url").alias("page_key"))
-    # Many seeds on one host share its sub-pages, so their join key may be hot.
-    subpages = left_join_salted(
-        frontier, reads.read(frontier).drop("hrefs"), "page_key", spread_by="domain"
+        "requested",
     )
-    return _fill_missing(homes.drop("links")).unionByName(
-        _fill_missing(subpages.drop("page_key"))
+    # Everything up to here, and this join, moves URLs and ids only. The page text
+    # is fetched in one join by id. Many seeds on one host share its sub-pages, so
+    # both keys may be hot.
+    frontier = materialize(
+        left_join_salted(requested, reads.index, "page_key", spread_by="domain"), "frontier"
     )
+    contents = reads.contents(frontier.select("page_id"))
+    return _fill_missing(left_join_salted(frontier, contents, "page_id", spread_by="domain"))

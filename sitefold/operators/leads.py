@@ -13,6 +13,16 @@ RULE_OUTPUT_TOKENS = 200
 # ----------------------------------------------------------------------------
 
 
+def user_prompt(domain: Column, emails: Column, found_urls: Column, context: Column) -> Column:
+    """The text a model is asked with."""
+    return F.concat(
+        F.lit("Target Domain: "), domain,
+        F.lit("\nKnown Emails: "), text.list_literal(emails),
+        F.lit("\nKnown LinkedIn URLs: "), text.list_literal(found_urls),
+        F.lit("\n\nWeb Content:\n"), context,
+    )
+
+
 def override_leader_urls(leaders: Column, found_urls: Column) -> Column:
     """Give each leader the last found URL that contains their first name.
 
@@ -72,33 +82,51 @@ def kb_misses(profiles: DataFrame, kb: DataFrame) -> DataFrame:
     )
 
 
+def text_features(profiles: DataFrame, compat: bool = False) -> DataFrame:
+    """Everything later steps need from the long ``context``, which is dropped here,
+    before any further shuffle."""
+    context = F.col("context")
+    name = urls.company_name(urls.clean_domain(F.col("domain")))
+    prompt = user_prompt(F.col("domain"), F.col("emails"), F.col("linkedin_urls"), context)
+    return profiles.select(
+        *[F.col(c) for c in profiles.columns if c != "context"],
+        text.leaders(context, compat).alias("text_leaders"),
+        text.overview(context, name, skip_page_headers=not compat).alias("text_overview"),
+        text.token_estimate(context).alias("context_tokens"),
+        F.length(prompt).alias("prompt_chars"),
+    )
+
+
+_FEATURES = ("text_leaders", "text_overview", "context_tokens")
+
+
 def rule_leads(profiles: DataFrame, kb: DataFrame, compat: bool = False) -> DataFrame:
     """One rule-based record per profile, plus its tokens.
 
-    Input columns: ``domain, emails, linkedin_urls, context``; all input columns are
-    kept and ``lead`` (struct), ``model``, ``input_tokens``, ``output_tokens`` added.
+    Input columns: ``domain, emails, linkedin_urls, context``. Further columns are
+    kept, ``context`` is not; ``prompt_chars``, ``lead`` (struct), ``model``,
+    ``input_tokens`` and ``output_tokens`` are added.
     """
-    joined = join_kb(profiles, kb)
+    features = text_features(profiles, compat)
     in_kb = F.coalesce(F.col("in_kb"), F.lit(False))
-    context = F.col("context")
-    name = urls.company_name(F.col("domain_clean"))
     found = F.col("emails")
 
-    staged = joined.withColumn(
-        "rule_leaders",
-        F.when(
-            in_kb, override_leader_urls(F.col("kb_leadership"), F.col("linkedin_urls"))
-        ).otherwise(text.leaders(context, compat)),
-    ).withColumn(
-        "rule_contacts",
-        F.when(in_kb, union_contacts(found, F.col("kb_contacts"))).otherwise(found),
+    staged = join_kb(features, kb).withColumns(
+        {
+            "rule_leaders": F.when(
+                in_kb, override_leader_urls(F.col("kb_leadership"), F.col("linkedin_urls"))
+            ).otherwise(F.col("text_leaders")),
+            "rule_contacts": F.when(in_kb, union_contacts(found, F.col("kb_contacts"))).otherwise(
+                found
+            ),
+        }
     )
     lead = F.struct(
         F.col("domain_clean").alias("domain"),
-        F.when(in_kb, F.col("kb_name")).otherwise(name).alias("company_name"),
-        F.when(in_kb, F.col("kb_overview"))
-        .otherwise(text.overview(context, name, skip_page_headers=not compat))
-        .alias("company_overview"),
+        F.when(in_kb, F.col("kb_name"))
+        .otherwise(urls.company_name(F.col("domain_clean")))
+        .alias("company_name"),
+        F.when(in_kb, F.col("kb_overview")).otherwise(F.col("text_overview")).alias("company_overview"),
         F.when(in_kb, F.col("kb_icp")).otherwise(F.lit(text.DEFAULT_AUDIENCE)).alias("target_audience"),
         F.col("rule_contacts").alias("contact_points"),
         F.col("rule_leaders").alias("key_leadership"),
@@ -107,10 +135,10 @@ def rule_leads(profiles: DataFrame, kb: DataFrame, compat: bool = False) -> Data
         ),
     )
     return staged.select(
-        *[F.col(c) for c in profiles.columns],
+        *[F.col(c) for c in features.columns if c not in _FEATURES],
         lead.alias("lead"),
         F.lit(RULE_MODEL).alias("model"),
-        text.token_estimate(context).alias("input_tokens"),
+        F.col("context_tokens").alias("input_tokens"),
         F.when(in_kb, F.lit(KB_OUTPUT_TOKENS))
         .otherwise(F.lit(RULE_OUTPUT_TOKENS))
         .cast("bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold import schemas
 from sitefold.functions import text
+from sitefold.operators.leads import user_prompt
 
 # --- fixed values -----------------------------------------------------------
 PROVIDERS = ("A", "B")
@@ -22,26 +23,17 @@ _COST_FIELDS = ("input_tokens", "output_tokens", "total_tokens", "estimated_cost
 
 
 # -- prompts ------------------------------------------------------------------
-def user_prompt(domain: Column, emails: Column, urls: Column, context: Column) -> Column:
-    return F.concat(
-        F.lit("Target Domain: "), domain,
-        F.lit("\nKnown Emails: "), text.list_literal(emails),
-        F.lit("\nKnown LinkedIn URLs: "), text.list_literal(urls),
-        F.lit("\n\nWeb Content:\n"), context,
-    )
-
-
-def prompt_tokens(prompt: Column, provider: str) -> Column:
-    return text.estimate_from_length(F.length(prompt) + SYSTEM_PROMPT_CHARS[provider])
+def prompt_tokens(prompt_chars: Column, provider: str) -> Column:
+    return text.estimate_from_length(prompt_chars + SYSTEM_PROMPT_CHARS[provider])
 
 
 def prompts(profiles: DataFrame, providers: Sequence[str] = PROVIDERS) -> DataFrame:
     """One prompt per profile and provider, with its token estimate."""
-    prompt = F.col("user_prompt")
+    chars = F.length("user_prompt")
     tokens = F.explode(
         F.array(
             *[
-                F.struct(F.lit(p).alias("provider"), prompt_tokens(prompt, p).alias("input_tokens"))
+                F.struct(F.lit(p).alias("provider"), prompt_tokens(chars, p).alias("input_tokens"))
                 for p in providers
             ]
         )
@@ -265,10 +257,9 @@ def apply_fallback(
     accepted = accepted_responses(validate(responses), providers)
     joined = leads.join(accepted, "domain", "left")
     chosen = F.col("provider").isNotNull()
-    prompt = user_prompt(F.col("domain"), F.col("emails"), F.col("linkedin_urls"), F.col("context"))
     asked = F.lit(None).cast("bigint")
     for p in providers:
-        asked = F.when(F.col("provider") == p, prompt_tokens(prompt, p)).otherwise(asked)
+        asked = F.when(F.col("provider") == p, prompt_tokens(F.col("prompt_chars"), p)).otherwise(asked)
     kept = [F.col(c) for c in leads.columns if c not in _LEAD_COLUMNS]
     return joined.select(
         *kept,

@@ -47,14 +47,13 @@ def enrich(
     plus ``seed_no``, ``home_status``, ``provider`` and ``error``.
 
     The work is done once per distinct seed. Tables are written where several steps
-    read the same rows: the page index, the parsed pages, the home pages (read for
-    links and for text), the leads before the search (read for queries and for the
-    result). No HTML is parsed twice.
+    read the same rows: the page index, the parsed pages, the requested URLs and
+    their page ids, the leads before the search. No HTML is parsed twice, and page
+    text moves twice only: to the seed that asked for it, and into its context.
     """
     page_rows = crawl.crawl(seeds, pages, max_subpages, denied, parse)
     profiles = sites.site_profiles(page_rows, max_chars, include_failed=compat)
     found = extract(profiles, kb, prices, responses, compat)
-    # the long text is not needed any more
     own_name = urls.company_name(F.col("domain"))
     slim = materialize(
         found.select(

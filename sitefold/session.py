@@ -87,9 +87,12 @@ def left_join_salted(
         .select(key, F.lit(True).alias("_hot"))
     )
     no_salt = F.lit(0).cast("bigint")
+    spread = F.xxhash64(spread_by)
     salted_left = left.join(hot, key, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(no_salt),
+        F.when(F.col(key).isNull(), spread)  # matches nothing, but must not pile up
+        .when(F.col("_hot"), F.pmod(spread, F.lit(salts)))
+        .otherwise(no_salt),
     ).drop("_hot")
     salted_right = right.join(hot, key, "left").withColumn(
         "_salt",

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitefold.operators import crawl, sites
@@ -112,8 +113,9 @@ def test_salted_join_equals_plain_join(spark):
     assert salted.columns == ["k", "id", "v"]
 
 
-def test_hot_key_is_spread(spark):
-    a = spark.range(20_000).select(F.col("id"), F.lit("hot").alias("k"))
+@pytest.mark.parametrize("hot", ["hot", None])
+def test_hot_key_is_spread(spark, hot):
+    a = spark.range(20_000).select(F.col("id"), F.lit(hot).cast("string").alias("k"))
     b = spark.createDataFrame([("hot", 1)], "k string, v int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
