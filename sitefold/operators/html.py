@@ -325,6 +325,13 @@ def read_page(html: str | None) -> tuple[str, list[str], str | None]:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small pieces without a copy, so few pages are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def parse_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Replace ``html_col`` by ``markdown``, ``hrefs`` and ``parse_error``.
 
@@ -342,7 +349,7 @@ def parse_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             parsed = [read_page(h) for h in batch.column(html_col).to_pylist()]
             markdown, hrefs, errors = zip(*parsed) if parsed else ((), (), ())
             yield pa.RecordBatch.from_arrays(

@@ -1,8 +1,8 @@
 """Per-site aggregates over crawled page rows.
 
 Input rows come from :func:`sitefold.operators.crawl.crawl`, which emits at most
-``max_subpages + 1`` rows per site, so the ordered lists built here are short. Use
-:func:`contact_rows` for page sets without that bound.
+``max_subpages + 1`` rows per site, so the ordered lists built here are short. The
+contact aggregates do not rely on that bound.
 """
 
 from __future__ import annotations
@@ -14,19 +14,24 @@ from sitefold.functions import text
 CONTEXT_CHARS = 12000
 
 
-def contact_rows(pages: DataFrame) -> DataFrame:
-    """Distinct ``(domain, kind, contact)`` rows for any number of pages per site."""
+def _contact_rows(pages: DataFrame) -> DataFrame:
+    """Distinct contacts, plus one row without contact for a domain that has none."""
     contacts = F.array(
         F.struct(F.lit("email").alias("kind"), F.col("emails").alias("found")),
         F.struct(F.lit("linkedin").alias("kind"), F.col("linkedin_urls").alias("found")),
     )
     return (
         pages.select("domain", F.explode(contacts).alias("c"))
-        .select("domain", "c.kind", F.explode("c.found").alias("contact"))
+        .select("domain", "c.kind", F.explode_outer("c.found").alias("contact"))
         .distinct()
     )
 
 
+def contact_rows(pages: DataFrame) -> DataFrame:
+    """Distinct ``(domain, kind, contact)`` rows, combined before the shuffle."""
+    return _contact_rows(pages).filter(F.col("contact").isNotNull())
+
+
 def _sorted_union(lists: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(lists)))
 
@@ -59,9 +64,17 @@ def context_agg(include_failed: bool = False) -> Column:
 
 
 def domain_contacts(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("domain").agg(
-        _sorted_union(F.collect_list("emails")).alias("emails"),
-        _sorted_union(F.collect_list("linkedin_urls")).alias("linkedin_urls"),
+    """Sorted distinct contacts per domain, for any number of pages per domain.
+
+    Repeats are removed first, so a group holds no more than it puts out.
+    """
+
+    def of(kind: str) -> Column:
+        found = F.collect_list(F.when(F.col("kind") == kind, F.col("contact")))
+        return F.array_sort(found)
+
+    return _contact_rows(pages).groupBy("domain").agg(
+        of("email").alias("emails"), of("linkedin").alias("linkedin_urls")
     )
 
 
