@@ -97,8 +97,13 @@ def enrich(
         record_error().alias("error"),
     )
     per_seed = seeds.select("seed_no", F.col("domain").alias("seed_domain"))
-    return left_join_salted(per_seed, records, "seed_domain", spread_by="seed_no").drop(
-        "seed_domain"
+    return (
+        left_join_salted(per_seed, records, "seed_domain", spread_by="seed_no")
+        .withColumn(
+            "error",
+            F.when(F.col("domain").isNull(), F.lit("missing:domain")).otherwise(F.col("error")),
+        )
+        .drop("seed_domain")
     )
 
 

@@ -35,13 +35,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``.
 
     Only where the cluster names none (tests, a laptop) is a temporary folder used.
+    Paths of one application share a folder, which can go when its results are out.
     """
     global _local_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         _local_scratch = _local_scratch or tempfile.mkdtemp(prefix="sitefold-")
         root = _local_scratch
-    return f"{root.rstrip('/')}/sitefold/{name}-{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    return f"{root.rstrip('/')}/sitefold/{run}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

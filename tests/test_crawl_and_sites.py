@@ -21,14 +21,39 @@ def make_pages(spark, rows):
 HOME = '<nav><a href="/about">A</a><a href="team/">T</a><a href="/about?x">A</a><a href="https://jobs.acme.io/careers">J</a></nav>Home x@acme.io'
 
 
-def crawl_rows(spark, seeds, pages, **kw):
-    got = crawl.crawl(tables.seed_list(spark, seeds), make_pages(spark, pages), **kw).collect()
-    return sorted(got, key=lambda r: (r["domain"], r["page_no"]))
-
-
-def test_frontier_order_missing_pages_and_errors(spark):
-    rows = crawl_rows(spark, ["acme.io"], [
-        page(1, "https://acme.io/", HOME), page(2, "https://acme.io/team/?utm=1", "Team y@acme.io")])
+HUB_SEEDS = [f"hub.io/u{k}" for k in range(40)]
+SEEDS = ["acme.io", "gone.io", "acme.io", "copies.io", "acme.io", "many.io", " spaced.io\n", None, *HUB_SEEDS]
+PAGES = [
+    page(1, "https://acme.io/", HOME),
+    page(2, "https://acme.io/team/?utm=1", "Team y@acme.io"),
+    page(3, "https://gone.io/about", "its home page is missing"),
+    page(4, "https://many.io", "".join(f'<a href="/team/{k}">t</a>' for k in range(20))),
+    page(5, "https://spaced.io", "found", status=None),
+    *[page(k, "https://copies.io/", f"copy{k}") for k in range(150, 105, -1)],
+    *[page(200 + k, f"https://hub.io/u{k}", '<a href="/about">a</a>') for k in range(40)],
+    page(300, "https://hub.io/about", "About the hub"),
+]
+
+
+@pytest.fixture(scope="module")
+def crawled(spark):
+    """Rows by seed for both ways of reading pages."""
+    out = {}
+    for mode in ("all", "wanted"):
+        rows = crawl.crawl(tables.seed_list(spark, SEEDS), make_pages(spark, PAGES), parse=mode).collect()
+        by_seed = {}
+        for r in sorted(rows, key=lambda r: r["page_no"]):
+            by_seed.setdefault(r["domain"], []).append(r)
+        out[mode] = by_seed
+    return out
+
+
+def test_both_ways_of_reading_pages_agree(crawled):
+    assert crawled["all"] == crawled["wanted"]
+
+
+def test_frontier_order_missing_pages_and_errors(crawled):
+    rows = crawled["all"]["acme.io"]  # given three times, crawled once
     assert [(r["page_no"], r["url"], r["status_code"]) for r in rows] == [
         (0, "https://acme.io", 200), (1, "https://acme.io/about", 500),
         (2, "https://acme.io/team", 200), (3, "https://jobs.acme.io/careers", 500)]
@@ -36,42 +61,32 @@ def test_frontier_order_missing_pages_and_errors(spark):
     assert rows[2]["emails"] == ["y@acme.io"] and rows[1]["emails"] == []
 
 
-def test_missing_home_has_no_subpages(spark):
-    rows = crawl_rows(spark, ["gone.io"], [page(1, "https://gone.io/about", "x")])
+def test_missing_home_has_no_subpages(crawled):
+    rows = crawled["all"]["gone.io"]
     assert [(r["page_no"], r["status_code"], r["error"]) for r in rows] == [(0, 500, crawl.NOT_FOUND)]
 
 
-def test_repeated_seeds_are_crawled_once(spark):
-    rows = crawl_rows(spark, ["acme.io", "acme.io", "acme.io"], [page(1, "https://acme.io", HOME)])
-    assert len(rows) == 4
-
-
-def test_copies_of_one_url_use_the_smallest_page_id(spark):
-    copies = [page(k, "https://acme.io/", f"copy{k}") for k in range(50, 5, -1)]
-    rows = crawl_rows(spark, ["acme.io"], copies)
-    assert [r["markdown"] for r in rows] == ["copy6"]
+def test_copies_of_one_url_use_the_smallest_page_id(crawled):
+    assert [r["markdown"] for r in crawled["all"]["copies.io"]] == ["copy106"]
 
 
-def test_seeds_on_one_host_share_pages(spark):
-    pages = [page(k, f"https://hub.io/u{k}", '<a href="/about">a</a>') for k in range(40)]
-    pages.append(page(100, "https://hub.io/about", "About the hub"))
-    rows = crawl_rows(spark, [f"hub.io/u{k}" for k in range(40)], pages)
+def test_seeds_on_one_host_share_pages(crawled):
+    rows = [r for seed in HUB_SEEDS for r in crawled["all"][seed]]
     assert len(rows) == 80
     assert {r["markdown"] for r in rows if r["page_no"] == 1} == {"About the hub"}
 
 
-def test_both_ways_of_reading_pages_agree(spark):
-    pages = [page(1, "https://acme.io", HOME), page(2, "https://acme.io/about", "About"), page(3, "https://acme.io/about/", "copy")]
-    pages += [page(100 + k, f"https://other{k}.io", HOME) for k in range(30)]
-    by_mode = [crawl_rows(spark, ["acme.io", "gone.io"], pages, parse=m) for m in ("all", "wanted", "auto")]
-    assert by_mode[0] == by_mode[1] == by_mode[2] and len(by_mode[0]) == 5
-    assert by_mode[0][1]["markdown"] == "About"
+def test_link_limit_and_default_status(crawled):
+    assert len(crawled["all"]["many.io"]) == 5
+    assert [(r["url"], r["status_code"]) for r in crawled["all"][" spaced.io\n"]] == [("https://spaced.io", 200)]
+    assert [(r["page_no"], r["status_code"]) for r in crawled["all"][None]] == [(0, 500)]
 
 
-def test_link_limit(spark):
-    body = "".join(f'<a href="/team/{k}">t</a>' for k in range(20))
-    assert len(crawl_rows(spark, ["acme.io"], [page(1, "https://acme.io", body)])) == 5
-    assert len(crawl_rows(spark, ["acme.io"], [page(1, "https://acme.io", body)], max_subpages=7)) == 8
+def test_auto_choice(spark):
+    seeds = tables.seed_list(spark, ["acme.io"])
+    for extra, mode in ((0, "all"), (60, "wanted")):
+        pages = make_pages(spark, PAGES[:2] + [page(500 + k, f"https://o{k}.io", "x") for k in range(extra)])
+        assert crawl.PageReads(pages, crawl.start_urls(seeds), 4, "auto", ()).mode == mode
 
 
 def page_row(no, url, markdown, status=200, error=None, emails=(), urls=()):

@@ -30,13 +30,14 @@ def records(spark):
     hits = spark.createDataFrame(
         [('"Ada Stone" "Acme" site:linkedin.com/in', 1, "Ada", "https://linkedin.com/in/ada", "")], schemas.SEARCH_RESULTS)
     kb = spark.createDataFrame([], schemas.KNOWLEDGE_BASE)
-    seeds = tables.seed_list(spark, ["acme.io", "gone.io", "acme.io", "bare.io"])
+    seeds = tables.seed_list(spark, ["acme.io", "gone.io", "acme.io", "bare.io", None])
     return enrich(seeds, pages, kb, costs.model_prices(spark), hits)
 
 
 def test_one_record_per_seed(records):
     rows = {r["seed_no"]: r for r in records.collect()}
-    assert len(rows) == 4
+    assert len(rows) == 5
+    assert rows[4]["error"] == "missing:domain"  # one bad seed, the others are unaffected
     assert rows[0].asDict() | {"seed_no": 2} == rows[2].asDict()
     acme = rows[0]
     assert acme["company_overview"] == (
@@ -53,14 +54,14 @@ def test_one_record_per_seed(records):
 
 def test_batch_summary(records):
     row = costs.batch_summary(records).first()
-    assert (row["total_domains"], row["successful_domains"], row["failed_domains"]) == (4, 4, 0)
-    per = [r["cost_metrics"] for r in records.collect()]
+    assert (row["total_domains"], row["successful_domains"], row["failed_domains"]) == (5, 4, 1)
+    per = [r["cost_metrics"] for r in records.collect() if r["cost_metrics"]]
     assert row["total_tokens"] == sum(p["total_tokens"] for p in per)
     assert row["estimated_cost_usd"] == pytest.approx(sum(p["estimated_cost_usd"] for p in per))
 
 
 def test_sinks(spark, records):
-    lead = records.select(*schemas.LEAD.fieldNames())
+    lead = records.filter("error IS NULL").select(*schemas.LEAD.fieldNames())
     path = scratch_path(spark, "json")
     sinks.write_json(lead, path)
     docs = [json.loads(line) for f in glob.glob(path + "/*.json") for line in open(f, encoding="utf-8")]
@@ -81,7 +82,7 @@ def test_sinks(spark, records):
 
 
 def test_csv_quotes_and_line_ends(spark, records):
-    odd = records.select(*schemas.LEAD.fieldNames()).withColumn("company_name", F.lit('A "b", c\nd'))
+    odd = records.filter("error IS NULL").select(*schemas.LEAD.fieldNames()).withColumn("company_name", F.lit('A "b", c\nd'))
     path = scratch_path(spark, "csv")
     sinks.write_report(odd, path)
     assert {r["company_name"] for r in sinks.read_report(spark, path).collect()} == {'A "b", c\nd'}
@@ -106,6 +107,13 @@ def test_query_agrees_with_sql(spark, con, name):
     assert check.compare(spark, con, name, SMALL) is None
 
 
+@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(("enrich", "crawl", "sink"))])
+def test_plan_has_no_cross_join_and_no_row_python(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert operator not in plan
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "company_name" in df.columns
