@@ -58,49 +58,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-HOT_KEYS = 200
-HOT_ROWS = 50_000
-SALTS = 64
+HOT_KEYS = 10_000
+SLICE_ROWS = 50_000
+MAX_SLICES = 10_000
 
 
 def left_join_salted(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    spread_by: str,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Left join of ``left`` to a ``right`` that has one row per ``key``.
 
-    A key may hold a large share of ``left``. The at most 200 most frequent keys
-    with ``hot_rows`` rows or more are spread over ``salts`` partitions by a hash of
-    ``spread_by``, and only their rows of ``right`` are repeated. The list of hot
-    keys has a fixed bound, so it is safe to broadcast. ``left`` is read twice and
-    should be a table, not a costly plan. The result equals the plain left join.
+    A key may hold a large share of ``left``. The (at most 10,000) most frequent keys
+    with more than ``slice_rows`` rows are cut into slices of about that size by a hash
+    of ``spread_by``, and only their row of ``right`` is repeated, once per slice. A
+    key outside that list holds less than 1/10,000 of the rows. The list has a fixed
+    bound, so it is safe to broadcast. ``left`` is read twice and should be a table,
+    not a costly plan. The result equals the plain left join.
     """
+    slices = F.least(F.ceil(F.col("count") / slice_rows), F.lit(MAX_SLICES)).cast("bigint")
     hot = F.broadcast(
         left.filter(F.col(key).isNotNull())
         .groupBy(key)
         .count()
-        .filter(F.col("count") >= hot_rows)
+        .filter(F.col("count") > slice_rows)
         .orderBy(F.desc("count"), key)
         .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
+        .select(key, slices.alias("_slices"))
     )
-    no_salt = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast("bigint")
     spread = F.xxhash64(spread_by)
-    salted_left = left.join(hot, key, "left").withColumn(
-        "_salt",
+    slice_of_row = (
         F.when(F.col(key).isNull(), spread)  # matches nothing, but must not pile up
-        .when(F.col("_hot"), F.pmod(spread, F.lit(salts)))
-        .otherwise(no_salt),
-    ).drop("_hot")
-    salted_right = right.join(hot, key, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(no_salt, F.lit(salts - 1).cast("bigint")))
-            .otherwise(F.array(no_salt))
-        ),
-    ).drop("_hot")
-    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
+        .when(F.col("_slices").isNotNull(), F.pmod(spread, F.col("_slices")))
+        .otherwise(zero)
+    )
+    all_slices = F.when(
+        F.col("_slices").isNotNull(), F.sequence(zero, F.col("_slices") - 1)
+    ).otherwise(F.array(zero))
+    sliced_left = left.join(hot, key, "left").withColumn("_slice", slice_of_row).drop("_slices")
+    sliced_right = right.join(hot, key, "left").withColumn("_slice", F.explode(all_slices)).drop(
+        "_slices"
+    )
+    return sliced_left.join(sliced_right, [key, "_slice"], "left").drop("_slice")

@@ -121,7 +121,7 @@ def test_salted_join_equals_plain_join(spark):
     right = [("hot", 1)] + [(f"k{k}", k) for k in range(0, 30, 2)]
     a = spark.createDataFrame(left, "id bigint, k string")
     b = spark.createDataFrame(right, "k string, v int")
-    salted = left_join_salted(a, b, "k", "id", hot_rows=100, salts=7)
+    salted = left_join_salted(a, b, "k", "id", slice_rows=100)
     plain = a.join(b, "k", "left")
     key = lambda r: (r["id"], r["k"] or "", r["v"] or 0)
     assert sorted(map(key, salted.collect())) == sorted(map(key, plain.collect()))
@@ -135,7 +135,7 @@ def test_hot_key_is_spread(spark, hot):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = left_join_salted(a, b, "k", "id", hot_rows=1000, salts=64)
+        joined = left_join_salted(a, b, "k", "id", slice_rows=300)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
