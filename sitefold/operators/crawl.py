@@ -139,13 +139,14 @@ def crawl(
 ) -> DataFrame:
     """Page rows of every distinct seed: home (``page_no`` 0), then its sub-pages.
 
-    ``pages`` has a unique ``page_id``, ``url``, ``status_code`` and ``html``. A
+    ``pages`` has a unique ``page_id``, ``url``, ``html`` and maybe ``status_code``. A
     missing home page has no links, hence no sub-pages. At most
     ``max_subpages + 1`` rows per seed come out, so grouping them later is safe.
     ``parse`` is "auto", "all" or "wanted", see :class:`PageReads`; the rows are
     the same.
     """
-    pages = pages.withColumn("status_code", F.coalesce("status_code", F.lit(200)))
+    known = F.col("status_code") if "status_code" in pages.columns else F.lit(None)
+    pages = pages.withColumn("status_code", F.coalesce(known, F.lit(200)))
     starts = start_urls(seeds)
     reads = PageReads(pages, starts, max_subpages, parse, denied)
     # Seeds that differ only in their query string share one home page.

@@ -284,6 +284,13 @@ def page_contacts(i: Inputs) -> DataFrame:
     )
 
 
+def page_contacts_given_pages(i: Inputs) -> DataFrame:
+    pages = i.table("pages").select("page_id", "html")
+    return html.scan_contacts(pages, denied=DOCUMENT_DENIED).select(
+        "page_id", _joined("emails").alias("emails"), _joined("linkedin_urls").alias("linkedin_urls")
+    )
+
+
 def context_truncate(i: Inputs) -> DataFrame:
     cut = text.truncate(F.col("text"), sites.CONTEXT_CHARS)
     return i.table("documents").select(
@@ -352,6 +359,15 @@ def crawl_frontier(i: Inputs) -> DataFrame:
     )
 
 
+def crawl_given_pages(i: Inputs) -> DataFrame:
+    """Every raw page as the home page of a seed of its own."""
+    pages = i.table("pages")
+    seeds = tables.seed_table(pages, "url", "page_id")
+    return crawl.crawl(seeds, pages).select(
+        "domain", "page_no", "url", _big("status_code"), "error"
+    )
+
+
 def leader_url_override(i: Inputs) -> DataFrame:
     found = sites.domain_contacts(
         i.site_pages().select(
@@ -576,6 +592,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "linkedin_urls": linkedin_urls,
     "linkedin_first_person": linkedin_first_person,
     "page_contacts": page_contacts,
+    "page_contacts_given_pages": page_contacts_given_pages,
     "context_truncate": context_truncate,
     "overview_sentences": overview_sentences,
     "leaders_name_role": _leaders_query(text.leaders_name_role),
@@ -589,6 +606,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "kb_anti": kb_anti,
     "cost_by_model": cost_by_model,
     "crawl_frontier": crawl_frontier,
+    "crawl_given_pages": crawl_given_pages,
     "leader_url_override": leader_url_override,
     "leader_search_fill": leader_search_fill,
     "broad_search_leaders": broad_search_leaders,

@@ -562,6 +562,9 @@ def statements() -> dict[str, str]:
             f"SELECT r.n AS site_id, CAST(r.page_no AS BIGINT) AS page_no, {join('b.emails')} AS emails, {join('b.urls')} AS linkedin_urls "
             "FROM page_rows r JOIN body b ON b.n = r.n"
         ),
+        "page_contacts_given_pages": (
+            f"SELECT page_id, {join(emails('html', docs_deny))} AS emails, {join(profile_urls('html'))} AS linkedin_urls FROM pages"
+        ),
         "context_truncate": f"SELECT doc_id, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT doc_id, {cut} AS t FROM documents)",
         "overview_sentences": (
             "SELECT doc_id, " + overview("text", "'Doc' || doc_id", True) + " AS overview FROM documents"
@@ -599,6 +602,10 @@ def statements() -> dict[str, str]:
             fx("fx_site_pages"), SITE, BODY, CRAWLED_ROWS,
             body="SELECT domain, CAST(page_no AS BIGINT) AS page_no, url, CAST(status_code AS BIGINT) AS status_code, error FROM page_rows",
         ),
+        "crawl_given_pages": (
+            "SELECT url AS domain, CAST(0 AS BIGINT) AS page_no, url, CAST(200 AS BIGINT) AS status_code, "
+            "CAST(NULL AS VARCHAR) AS error FROM pages"
+        ),
         "leader_url_override": _with(
             SITE, BODY, fx("fx_kb_leaders"), _kb_leaders(),
             body="SELECT domain, CAST(leader_no AS BIGINT) AS leader_no, name, linkedin_url FROM kb_leader",
