@@ -110,7 +110,7 @@ class PageReads:
 
 
 def failure_text(error: Column) -> Column:
-    return F.concat(F.lit("Failed to crawl page: "), error)
+    return F.concat(F.lit("Failed to crawl page: "), error, F.lit(" | Fallback error: "), error)
 
 
 def _fill_missing(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ NL2 = "chr(10) || chr(10)"
 _WS = "'" + text.WHITESPACE + "'"
 _DENY = text.denied_pattern()
 _MISSING = "page not found in input"
-_FAILED = f"Failed to crawl page: {_MISSING}"
+_FAILED = f"Failed to crawl page: {_MISSING} | Fallback error: {_MISSING}"
 
 
 def _q(value: str) -> str:
