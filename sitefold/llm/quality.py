@@ -21,8 +21,8 @@ from sitefold.session import materialize
 BITS = 17
 WIDTH = 1 << BITS
 MAX_ROWS = 20_000
-SHARDS, ROUNDS = 6, 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.001, 0.01
+SHARDS, ROUNDS = 6, 5
+ALPHA, BETA, L1, L2 = 5.0, 1.0, 0.0001, 0.001
 THRESHOLD = 0.3
 FOLDS = 5
 

@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from sitefold.llm import bpe, decontaminate, exact_dedup, ngram_join, quality
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sitefold.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    licenses,
+    ngram_join,
+    quality,
+    secrets,
+    substring_dedup,
+    token_counts,
+    token_output,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +34,49 @@ def op2_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2("base_spans", 256).alias("base_sha256"),
+        "spans",
+        "live_spans",
+        "n_live",
+        "n_example",
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return token_output.write_and_read(_table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), pieces)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,8 +87,13 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_ngram_jaccard_join,
             op2_bpe_merge_replay,
+            op3_secret_scan,
             op4_exact_dedup,
+            op5_token_output,
+            op6_token_counts,
             op7_decontamination,
+            op8_substring_dedup,
+            op9_license_scan,
             op10_quality_classifier,
         )
     }
