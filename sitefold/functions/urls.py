@@ -196,6 +196,16 @@ def canonical_url(url: Column) -> Column:
     )
 
 
+def page_key(canonical: Column) -> Column:
+    """Join key of a canonical URL: host in lower case and without its default port.
+
+    For comparing pages only; URLs that are put out keep their form.
+    """
+    site = F.lower(F.regexp_extract(canonical, "^[^/]*//[^/]*", 0))
+    rest = F.regexp_replace(canonical, "^[^/]*//[^/]*", "")
+    return F.concat(F.regexp_replace(site, "^(https://.*):443$|^(http://.*):80$", "$1$2"), rest)
+
+
 def same_site(host: Column, base_host: Column) -> Column:
     """Same host, or a subdomain of the base host; a port is part of the host."""
     h, b = F.lower(host), F.lower(base_host)
@@ -203,7 +213,8 @@ def same_site(host: Column, base_host: Column) -> Column:
 
 
 def target_path(path: Column) -> Column:
-    return F.lower(path).rlike("|".join(TARGET_KEYWORDS))
+    """A keyword occurs in the path; parameters of its last segment do not count."""
+    return F.lower(F.regexp_replace(path, _PARAMS, "")).rlike("|".join(TARGET_KEYWORDS))
 
 
 def is_skippable(href: Column) -> Column:

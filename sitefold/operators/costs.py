@@ -31,20 +31,30 @@ def attach_prices(calls: DataFrame, prices: DataFrame) -> DataFrame:
     broadcasts ``prices`` after checking its size; past that, AQE splits the calls of
     a frequent model. The default prices are scalar subqueries, evaluated once.
     """
-    default = prices.filter(F.col("model") == "default")
     listed = prices.groupBy(F.col("model").alias("_model")).agg(
         F.min("in_milli").alias("_in"), F.min("out_milli").alias("_out")
     )
 
+    default = _lookup(prices, "default")
+
     def price(column: str, name: str) -> Column:
-        fallback = default.agg(F.min(name)).scalar()
-        return F.coalesce(F.col(column), fallback).cast("bigint").alias(name)
+        return F.coalesce(F.col(column), default[name]).cast("bigint").alias(name)
 
     return calls.join(listed, F.lower(calls["model"]) == F.col("_model"), "left").select(
         *[calls[c] for c in calls.columns], price("_in", "in_milli"), price("_out", "out_milli")
     )
 
 
+def _lookup(prices: DataFrame, *models: str) -> Column:
+    """Both prices of the first of ``models`` that is listed, in one scalar subquery."""
+
+    def price(column: str) -> Column:
+        found = [F.min(F.when(F.col("model") == m, F.col(column))) for m in models]
+        return F.coalesce(*found).alias(column)
+
+    return prices.agg(F.struct(price("in_milli"), price("out_milli"))).scalar()
+
+
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Add the ``cost`` of each call, a decimal rounded to 6 places."""
     cost = scores.call_cost(
@@ -56,16 +66,11 @@ def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
 def price_one_model(calls: DataFrame, prices: DataFrame, model: str) -> DataFrame:
     """:func:`price_calls` where all calls use one model: scalar lookups, no join."""
 
-    def price(column: str) -> Column:
-        def of(name: str) -> Column:
-            return prices.filter(F.col("model") == name).agg(F.min(column)).scalar()
-
-        return F.coalesce(of(model.lower()), of("default"))
-
+    price = _lookup(prices, model.lower(), "default")
     return calls.withColumn(
         "cost",
         scores.call_cost(
-            F.col("input_tokens"), F.col("output_tokens"), price("in_milli"), price("out_milli")
+            F.col("input_tokens"), F.col("output_tokens"), price["in_milli"], price["out_milli"]
         ),
     )
 

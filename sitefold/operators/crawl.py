@@ -1,9 +1,8 @@
 """From seed domains to page rows: home page, its target links, their pages.
 
 The crawl is two joins against the ``pages`` table, first for the home pages, then
-for the pages they link to. Page HTML is by far the largest column, so the joins are
-planned around it: see :class:`PageReads`. Each page is parsed once however many
-seeds or sites ask for it.
+for the pages they link to, both on ids. Page HTML, by far the largest column, is never
+shuffled: pages are picked where they lie, see :func:`wanted_pages`, and parsed there.
 """
 
 from __future__ import annotations
@@ -29,32 +28,78 @@ def start_urls(seeds: DataFrame) -> DataFrame:
         seeds.groupBy("domain")
         .agg(F.count("*").alias("occurrences"))
         .withColumn("start_url", start)
-        .withColumn("page_key", urls.canonical_url(F.col("start_url")))
+        .withColumn("page_key", urls.page_key(urls.canonical_url(F.col("start_url"))))
     )
 
 
 def page_index(pages: DataFrame) -> DataFrame:
-    """``(page_key, page_id)``: the smallest ``page_id`` of each canonical URL.
+    """``(page_key, page_id)``: the page that stands for each canonical URL.
 
+    Of several copies the smallest id that was served without an error, else the smallest.
     Copies of one URL may be a large share of ``pages``. They are told apart here on
-    two narrow columns, combined before the shuffle, and never meet in one task.
+    narrow columns, combined before the shuffle, and never meet in one task.
     """
+    served = F.when(F.col("status_code") < 400, F.col("page_id"))
     return (
-        pages.select(urls.canonical_url(F.col("url")).alias("page_key"), "page_id")
+        pages.select(
+            urls.page_key(urls.canonical_url(F.col("url"))).alias("page_key"), "page_id", "status_code"
+        )
         .groupBy("page_key")
-        .agg(F.min("page_id").alias("page_id"))
+        .agg(F.coalesce(F.min(served), F.min("page_id")).alias("page_id"))
+    )
+
+
+FILTER_BITS = 25
+_BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
+
+
+def wanted_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``pages`` whose id is in ``ids``, and a few more, picked without a shuffle.
+
+    The hashed ids are bits of a filter of fixed size (4 MB), so broadcasting it is
+    safe whatever the number of ids. A page that passes by chance is parsed in vain and
+    falls out in the later join by id.
+    """
+
+    def bit(page_id: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(page_id), 64 - FILTER_BITS)
+
+    def part(b: Column) -> Column:
+        return F.shiftright(b, 15).cast("int")
+
+    bits = (
+        ids.select(bit(F.col("page_id")).alias("b"))
+        .groupBy(part(F.col("b")).alias("_part"))
+        .agg(F.bitmap_construct_agg(F.col("b") % _BITMAP_BITS).alias("_bits"))
+    )
+    byte = F.substring(F.col("_bits"), (F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    is_set = F.expr("shiftright(_value, cast(_at & 7 as int)) & 1") == 1
+    return (
+        pages.withColumn("_at", (bit(F.col("page_id")) % _BITMAP_BITS).cast("int"))
+        .withColumn("_part", part(bit(F.col("page_id"))))
+        .join(F.broadcast(bits), "_part")
+        .withColumn("_value", value)
+        .filter(is_set)
+        .select(*pages.columns)
     )
 
 
-def read_pages(pages: DataFrame, denied=text.DENIED_SUFFIXES) -> DataFrame:
-    """Parsed content by ``page_id``; a map over ``pages`` that drops the HTML."""
+def read_pages(
+    pages: DataFrame, denied=text.DENIED_SUFFIXES, max_chars: int | None = None
+) -> DataFrame:
+    """Parsed content by ``page_id``; a map over ``pages`` that drops the HTML.
+
+    ``max_chars`` cuts the text where later characters cannot reach a context of that
+    length. Contacts and links come from the whole page.
+    """
     parsed = scan_contacts(pages.select("page_id", "status_code", "html"), denied=denied)
     broken = F.col("parse_error").isNotNull()
     return parsed.select(
         "page_id",
         F.when(broken, F.lit(500)).otherwise(F.col("status_code")).cast("int").alias("status_code"),
         F.when(broken, failure_text(F.col("parse_error")))
-        .otherwise(F.col("markdown"))
+        .otherwise(F.col("markdown") if max_chars is None else F.left("markdown", F.lit(max_chars)))
         .alias("markdown"),
         "emails",
         "linkedin_urls",
@@ -63,52 +108,6 @@ def read_pages(pages: DataFrame, denied=text.DENIED_SUFFIXES) -> DataFrame:
     )
 
 
-class PageReads:
-    """Reads wanted pages in the cheaper of two exact ways.
-
-    ``wanted``: join the HTML to the wanted ids, parse only those pages. Right when
-    few pages are wanted; a short id list is broadcast, a long one shuffles HTML.
-    ``all``: parse every page where it lies and write the compact result once. Right
-    when most pages are wanted: no HTML is ever shuffled.
-    ``auto`` compares the number of home pages found, each good for up to
-    ``max_subpages`` more, with the number of pages.
-    """
-
-    def __init__(self, pages: DataFrame, starts: DataFrame, max_subpages: int, mode: str, denied):
-        self.pages, self.denied = pages, denied
-        self.index = materialize(page_index(pages), "page-index")
-        self.home_ids = self.index.join(
-            starts.select("page_key").distinct(), "page_key", "left_semi"
-        )
-        if mode == "auto":
-            homes = self.home_ids.count()
-            mode = "all" if homes * (max_subpages + 1) * 2 >= self.index.count() else "wanted"
-        self.mode = mode
-        to_parse = pages if mode == "all" else self._only(self.home_ids)
-        self.parsed = materialize(read_pages(to_parse, denied), "parsed-pages")
-
-    def _only(self, ids: DataFrame) -> DataFrame:
-        return self.pages.join(ids.select("page_id"), "page_id")
-
-    def home_links(self) -> DataFrame:
-        """``(page_key, hrefs)`` of the home pages that are in the table."""
-        return (
-            self.parsed.select("page_id", "hrefs")
-            .join(self.home_ids, "page_id")
-            .select("page_key", "hrefs")
-        )
-
-    def contents(self, ids: DataFrame) -> DataFrame:
-        """Parsed rows, one per ``page_id``, of at least the pages in ``ids``."""
-        parsed = self.parsed.drop("hrefs")
-        if self.mode == "all":
-            return parsed
-        rest = ids.filter(F.col("page_id").isNotNull()).distinct().join(
-            parsed.select("page_id"), "page_id", "left_anti"
-        )
-        return parsed.unionByName(read_pages(self._only(rest), self.denied).drop("hrefs"))
-
-
 def failure_text(error: Column) -> Column:
     return F.concat(F.lit("Failed to crawl page: "), error, F.lit(" | Fallback error: "), error)
 
@@ -135,22 +134,29 @@ def crawl(
     pages: DataFrame,
     max_subpages: int = MAX_SUBPAGES,
     denied=text.DENIED_SUFFIXES,
-    parse: str = "auto",
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Page rows of every distinct seed: home (``page_no`` 0), then its sub-pages.
 
     ``pages`` has a unique ``page_id``, ``url``, ``html`` and maybe ``status_code``. A
     missing home page has no links, hence no sub-pages. At most
     ``max_subpages + 1`` rows per seed come out, so grouping them later is safe.
-    ``parse`` is "auto", "all" or "wanted", see :class:`PageReads`; the rows are
-    the same.
+    ``max_chars`` cuts page texts, see :func:`read_pages`. Tables are written while this
+    is called: the page index, the parsed pages, the requested URLs and their ids.
     """
     known = F.col("status_code") if "status_code" in pages.columns else F.lit(None)
-    pages = pages.withColumn("status_code", F.coalesce(known, F.lit(200)))
+    pages = pages.select("page_id", "url", "html", F.coalesce(known, F.lit(200)).alias("status_code"))
     starts = start_urls(seeds)
-    reads = PageReads(pages, starts, max_subpages, parse, denied)
+    index = materialize(page_index(pages), "page-index")
+    home_ids = index.join(starts.select("page_key").distinct(), "page_key", "left_semi")
+    home_pages = materialize(
+        read_pages(wanted_pages(pages, home_ids), denied, max_chars), "home-pages"
+    )
+    home_links = home_pages.select("page_id", "hrefs").join(home_ids, "page_id")
     # Seeds that differ only in their query string share one home page.
-    homes = left_join_salted(starts, reads.home_links(), "page_key", spread_by="domain")
+    homes = left_join_salted(
+        materialize(starts, "starts"), home_links.select("page_key", "hrefs"), "page_key", spread_by="domain"
+    )
     found = urls.discover_links(F.col("start_url"), F.col("hrefs"), max_subpages)
     requested = materialize(
         homes.select(
@@ -163,15 +169,23 @@ def crawl(
             "start_url",
             "page_no",
             "url",
-            F.when(F.col("page_no") == 0, F.col("home_key")).otherwise(F.col("url")).alias("page_key"),
+            F.when(F.col("page_no") == 0, F.col("home_key"))
+            .otherwise(urls.page_key(F.col("url")))
+            .alias("page_key"),
         ),
         "requested",
     )
     # Everything up to here, and this join, moves URLs and ids only. The page text
     # is fetched in one join by id. Many seeds on one host share its sub-pages, so
     # both keys may be hot.
-    frontier = materialize(
-        left_join_salted(requested, reads.index, "page_key", spread_by="domain"), "frontier"
+    frontier = materialize(left_join_salted(requested, index, "page_key", spread_by="domain"), "frontier")
+    more_ids = (
+        frontier.filter(F.col("page_id").isNotNull())
+        .select("page_id")
+        .distinct()
+        .join(home_pages.select("page_id"), "page_id", "left_anti")
     )
-    contents = reads.contents(frontier.select("page_id"))
+    more_pages = read_pages(wanted_pages(pages, more_ids), denied, max_chars).drop("hrefs")
+    more_pages = materialize(more_pages, "more-pages").join(more_ids, "page_id", "left_semi")
+    contents = home_pages.drop("hrefs").unionByName(more_pages)
     return _fill_missing(left_join_salted(frontier, contents, "page_id", spread_by="domain"))

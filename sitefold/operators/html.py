@@ -14,6 +14,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -325,11 +326,20 @@ def read_page(html: str | None) -> tuple[str, list[str], str | None]:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small pieces without a copy, so few pages are Python strings at a time."""
+SLICE_BYTES = 8_000_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch], html_col: str) -> Iterator[pa.RecordBatch]:
+    """Small pieces without a copy: few pages, and few bytes, are Python strings at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        sizes = pc.fill_null(pc.binary_length(batch.column(html_col)), 0).to_pylist()
+        start, held = 0, 0
+        for row, size in enumerate(sizes):
+            if row > start and (held + size > SLICE_BYTES or row - start == 256):
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size
+        yield batch.slice(start)
 
 
 def parse_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -349,7 +359,7 @@ def parse_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, html_col):
             parsed = [read_page(h) for h in batch.column(html_col).to_pylist()]
             markdown, hrefs, errors = zip(*parsed) if parsed else ((), (), ())
             yield pa.RecordBatch.from_arrays(

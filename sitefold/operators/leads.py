@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sitefold import schemas
 from sitefold.functions import scores, text, urls
 
 # --- fixed values -----------------------------------------------------------
@@ -67,8 +68,9 @@ def join_kb(profiles: DataFrame, kb: DataFrame) -> DataFrame:
             F.col("e.name").alias("kb_name"),
             F.col("e.overview").alias("kb_overview"),
             F.col("e.icp").alias("kb_icp"),
-            F.col("e.contacts").alias("kb_contacts"),
-            F.col("e.leadership").alias("kb_leadership"),
+            # a list that the knowledge base leaves out is an empty one
+            F.coalesce("e.contacts", text.empty_strings()).alias("kb_contacts"),
+            F.coalesce("e.leadership", F.array().cast(schemas.LEADERS)).alias("kb_leadership"),
         ),
         "domain_clean",
         "left",

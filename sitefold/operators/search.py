@@ -65,16 +65,14 @@ def logged_queries(requests: Column) -> Column:
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
     """First ``k`` hits per query.
 
-    Repeated rows of one ``(query, rank)`` count once; they are combined before the
-    shuffle, and Spark applies the row limit before the second one too, so no task
-    sees more than ``k`` rows of a query per partition.
+    Repeated rows count once; different hits of one rank all count, in the order of
+    their URL, title and body. Repeats are combined before the shuffle, and Spark applies
+    the row limit before the second one too, so no task sees more than ``k`` rows of a
+    query per partition.
     """
-    once = (
-        hits.groupBy("query", "rank")
-        .agg(F.min(F.struct("href", "title", "body")).alias("h"))
-        .select("query", "rank", "h.*")
-    )
-    order = Window.partitionBy("query").orderBy("rank")
+    columns = ["query", "rank", "href", "title", "body"]
+    once = hits.select(*columns).distinct()
+    order = Window.partitionBy("query").orderBy(*columns[1:])
     return once.withColumn("hit_no", F.row_number().over(order)).filter(F.col("hit_no") <= k)
 
 

@@ -14,7 +14,7 @@ from sitefold.functions import scores, text, urls
 from sitefold.operators import costs, crawl, html, leads, responses, search, sites
 from sitefold.plans.enrich import enrich, extract
 from sitefold.plans.fixtures import Inputs
-from sitefold.session import scratch_path
+from sitefold.session import materialize, scratch_path
 from sitefold.sources import sinks, tables
 
 # example.com is on the default list, and all addresses in ``documents`` are there
@@ -392,8 +392,10 @@ def leader_url_override(i: Inputs) -> DataFrame:
 
 def _filled(i: Inputs, searched: Column) -> DataFrame:
     """Leaders after the search for the given leads, one row each."""
+    # the search reads its leads three times
+    open_leads = materialize(i.open_leads().filter(searched), "open-leads")
     return (
-        search.fill_leaders(i.open_leads().filter(searched), i.search_results())
+        search.fill_leaders(open_leads, i.search_results())
         .select("domain", F.posexplode("leaders").alias("pos", "l"))
         .select("domain", (F.col("pos") + 1).cast("bigint").alias("leader_no"), "l.*")
     )

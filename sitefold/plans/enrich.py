@@ -41,17 +41,18 @@ def enrich(
     max_chars: int = sites.CONTEXT_CHARS,
     denied=text.DENIED_SUFFIXES,
     compat: bool = False,
-    parse: str = "auto",
 ) -> DataFrame:
     """One record per seed, repeats included, in the shape of ``schemas.LEAD``
     plus ``seed_no``, ``home_status``, ``provider`` and ``error``.
 
     The work is done once per distinct seed. Tables are written where several steps
     read the same rows: the page index, the parsed pages, the requested URLs and
-    their page ids, the leads before the search. No HTML is parsed twice, and page
-    text moves twice only: to the seed that asked for it, and into its context.
+    their page ids, the leads before the search. These writes happen when this is called;
+    call it inside :func:`sitefold.session.scratch_run` to have the tables deleted once
+    the records are written. Page text moves twice only, cut to ``max_chars``: to the seed
+    that asked for it, and into its context.
     """
-    page_rows = crawl.crawl(seeds, pages, max_subpages, denied, parse)
+    page_rows = crawl.crawl(seeds, pages, max_subpages, denied, max_chars)
     profiles = sites.site_profiles(page_rows, max_chars, include_failed=compat)
     found = extract(profiles, kb, prices, responses, compat)
     own_name = urls.company_name(F.col("domain"))
@@ -109,8 +110,15 @@ def enrich(
 
 def record_error():
     """Null for a record that fits the schema; one bad record fails alone."""
-    required = ("company_name", "company_overview", "target_audience", "contact_points")
-    reason = F.when(F.col("lead_domain").isNull(), F.lit("missing:domain"))
-    for name in required:
-        reason = reason.when(F.col(name).isNull(), F.lit(f"missing:{name}"))
-    return reason
+    required = {
+        "domain": "lead_domain",
+        "company_name": "company_name",
+        "company_overview": "company_overview",
+        "target_audience": "target_audience",
+        "contact_points": "contact_points",
+        "key_leadership": "leaders",
+    }
+    reasons = [
+        F.when(F.col(column).isNull(), F.lit(f"missing:{name}")) for name, column in required.items()
+    ]
+    return F.coalesce(*reasons)

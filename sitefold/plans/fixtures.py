@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitefold import schemas
+from sitefold.operators import costs
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -146,7 +147,7 @@ def lead_companies_sql(dialect: str) -> str:
     return f"""
 SELECT {_SITE} || '.com' AS domain,
        substr(c_mktsegment, 1, 1) || lower(substr(c_mktsegment, 2)) || cast(c_custkey AS string) AS company
-FROM customer c WHERE c_custkey % 3 <> 2
+FROM customer c
 """
 
 
@@ -175,11 +176,8 @@ WHERE c.c_custkey % 4 = 0
 
 
 def model_prices_sql(dialect: str) -> str:
-    return """
-SELECT * FROM (VALUES ('gpt-4o-mini',150,600),('gpt-4o',2500,10000),('gemini-2.5-flash',75,300),
-  ('gemini-1.5-flash',75,300),('claude-3-5-sonnet',3000,15000),('groq-llama-3.3-70b',590,790),
-  ('default',150,600)) AS p(model, in_milli, out_milli)
-"""
+    rows = ", ".join(f"('{model}', {i}, {o})" for model, i, o in costs.PRICES)
+    return f"SELECT * FROM (VALUES {rows}) AS p(model, in_milli, out_milli)"
 
 
 def calls_sql(dialect: str) -> str:
@@ -262,10 +260,7 @@ class Inputs:
 
     def _spread(self, df: DataFrame) -> DataFrame:
         """Use all cores where a table is one small file whose rows become many pages."""
-        cores = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-        return df.repartition(cores, df.columns[0])
+        return df.repartition(self.spark.sparkContext.defaultParallelism, df.columns[0])
 
     def derived(self, name: str) -> DataFrame:
         sql = DERIVED[name]("spark")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -29,21 +30,48 @@ def build_session(app_name: str = "sitefold", **settings: str) -> SparkSession:
 
 
 _local_scratch: str | None = None
+_runs: list[str] = []
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder for written intermediate tables, one that all executors share.
 
-    Only where the cluster names none (tests, a laptop) is a temporary folder used.
-    Paths of one application share a folder, which can go when its results are out.
+    It is the one of ``spark.checkpoint.dir``, else the one of ``setCheckpointDir``. A
+    ``file:`` path given there is taken as a mount that all nodes have. Only a local
+    master, whose executors share this machine's disk, may do without.
     """
     global _local_scratch
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        _local_scratch = _local_scratch or tempfile.mkdtemp(prefix="sitefold-")
-        root = _local_scratch
-    run = spark.sparkContext.applicationId
-    return f"{root.rstrip('/')}/sitefold/{run}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    _local_scratch = _local_scratch or tempfile.mkdtemp(prefix="sitefold-")
+    return _local_scratch
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below :func:`scratch_root`, in the folder of the current run."""
+    run = _runs[-1] if _runs else spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/sitefold/{run}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch_run(spark: SparkSession):
+    """Deletes the tables that were written inside the block when it ends.
+
+    Results that read them have to be written or collected before.
+    """
+    run = f"run-{uuid.uuid4().hex}"
+    _runs.append(run)
+    try:
+        yield
+    finally:
+        _runs.remove(run)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{scratch_root(spark)}/sitefold/{run}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -58,9 +86,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-HOT_KEYS = 10_000
 SLICE_ROWS = 50_000
-MAX_SLICES = 10_000
+
+
+def hot_slices(left: DataFrame, key: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``key`` and the number of slices of every key with more than ``slice_rows`` rows."""
+    return (
+        left.filter(F.col(key).isNotNull())
+        .groupBy(key)
+        .count()
+        .filter(F.col("count") > slice_rows)
+        .select(key, F.ceil(F.col("count") / slice_rows).cast("bigint").alias("_slices"))
+    )
 
 
 def left_join_salted(
@@ -68,23 +105,14 @@ def left_join_salted(
 ) -> DataFrame:
     """Left join of ``left`` to a ``right`` that has one row per ``key``.
 
-    A key may hold a large share of ``left``. The (at most 10,000) most frequent keys
-    with more than ``slice_rows`` rows are cut into slices of about that size by a hash
-    of ``spread_by``, and only their row of ``right`` is repeated, once per slice. A
-    key outside that list holds less than 1/10,000 of the rows. The list has a fixed
-    bound, so it is safe to broadcast. ``left`` is read twice and should be a table,
-    not a costly plan. The result equals the plain left join.
+    A key may hold a large share of ``left``. Every key with more than ``slice_rows`` rows
+    is cut into slices of about that size by a hash of ``spread_by``, and only its row of
+    ``right`` is repeated, once per slice. Such keys number at most rows / ``slice_rows``;
+    whether their list is broadcast is the optimizer's decision from its size. ``left``
+    is read twice and should be a table, not a costly plan. The result equals the plain
+    left join.
     """
-    slices = F.least(F.ceil(F.col("count") / slice_rows), F.lit(MAX_SLICES)).cast("bigint")
-    hot = F.broadcast(
-        left.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .filter(F.col("count") > slice_rows)
-        .orderBy(F.desc("count"), key)
-        .limit(HOT_KEYS)
-        .select(key, slices.alias("_slices"))
-    )
+    hot = hot_slices(left, key, slice_rows)
     zero = F.lit(0).cast("bigint")
     spread = F.xxhash64(spread_by)
     slice_of_row = (

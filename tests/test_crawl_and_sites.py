@@ -1,12 +1,14 @@
 """Crawl joins, site aggregates and the salted join, on small hand-made tables."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sitefold import session
 from sitefold.operators import crawl, sites
-from sitefold.session import left_join_salted
+from sitefold.session import hot_slices, left_join_salted
 from sitefold.sources import tables
 
 
@@ -37,23 +39,16 @@ PAGES = [
 
 @pytest.fixture(scope="module")
 def crawled(spark):
-    """Rows by seed for both ways of reading pages."""
-    out = {}
-    for mode in ("all", "wanted"):
-        rows = crawl.crawl(tables.seed_list(spark, SEEDS), make_pages(spark, PAGES), parse=mode).collect()
-        by_seed = {}
-        for r in sorted(rows, key=lambda r: r["page_no"]):
-            by_seed.setdefault(r["domain"], []).append(r)
-        out[mode] = by_seed
-    return out
-
-
-def test_both_ways_of_reading_pages_agree(crawled):
-    assert crawled["all"] == crawled["wanted"]
+    """Page rows by seed."""
+    by_seed = {}
+    rows = crawl.crawl(tables.seed_list(spark, SEEDS), make_pages(spark, PAGES)).collect()
+    for r in sorted(rows, key=lambda r: r["page_no"]):
+        by_seed.setdefault(r["domain"], []).append(r)
+    return by_seed
 
 
 def test_frontier_order_missing_pages_and_errors(crawled):
-    rows = crawled["all"]["acme.io"]  # given three times, crawled once
+    rows = crawled["acme.io"]  # given three times, crawled once
     assert [(r["page_no"], r["url"], r["status_code"]) for r in rows] == [
         (0, "https://acme.io", 200), (1, "https://acme.io/about", 500),
         (2, "https://acme.io/team", 200), (3, "https://jobs.acme.io/careers", 500)]
@@ -62,31 +57,55 @@ def test_frontier_order_missing_pages_and_errors(crawled):
 
 
 def test_missing_home_has_no_subpages(crawled):
-    rows = crawled["all"]["gone.io"]
+    rows = crawled["gone.io"]
     assert [(r["page_no"], r["status_code"], r["error"]) for r in rows] == [(0, 500, crawl.NOT_FOUND)]
 
 
 def test_copies_of_one_url_use_the_smallest_page_id(crawled):
-    assert [r["markdown"] for r in crawled["all"]["copies.io"]] == ["copy106"]
+    assert [r["markdown"] for r in crawled["copies.io"]] == ["copy106"]
 
 
 def test_seeds_on_one_host_share_pages(crawled):
-    rows = [r for seed in HUB_SEEDS for r in crawled["all"][seed]]
+    rows = [r for seed in HUB_SEEDS for r in crawled[seed]]
     assert len(rows) == 80
     assert {r["markdown"] for r in rows if r["page_no"] == 1} == {"About the hub"}
 
 
 def test_link_limit_and_default_status(crawled):
-    assert len(crawled["all"]["many.io"]) == 5
-    assert [(r["url"], r["status_code"]) for r in crawled["all"][" spaced.io\n"]] == [("https://spaced.io", 200)]
-    assert [(r["page_no"], r["status_code"]) for r in crawled["all"][None]] == [(0, 500)]
-
-
-def test_auto_choice(spark):
-    seeds = tables.seed_list(spark, ["acme.io"])
-    for extra, mode in ((0, "all"), (60, "wanted")):
-        pages = make_pages(spark, PAGES[:2] + [page(500 + k, f"https://o{k}.io", "x") for k in range(extra)])
-        assert crawl.PageReads(pages, crawl.start_urls(seeds), 4, "auto", ()).mode == mode
+    assert len(crawled["many.io"]) == 5
+    assert [(r["url"], r["status_code"]) for r in crawled[" spaced.io\n"]] == [("https://spaced.io", 200)]
+    assert [(r["page_no"], r["status_code"]) for r in crawled[None]] == [(0, 500)]
+
+
+def test_only_wanted_copies_are_parsed(spark):
+    pages = make_pages(spark, [page(k, f"https://c.io/{k % 20}", f"p{k}") for k in range(2000)])
+    ids = spark.createDataFrame([(3,), (7,)], "page_id bigint")
+    picked = crawl.wanted_pages(pages, ids)
+    found = [r["page_id"] for r in picked.collect()]
+    assert {3, 7} <= set(found) and len(found) < 10 and picked.columns == pages.columns
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert crawl.wanted_pages(pages, ids.limit(0)).count() == 0
+
+
+def test_host_case_default_port_and_best_copy(spark):
+    pages = make_pages(spark, [
+        page(1, "https://Up.io", '<a href="/Team">t</a>upper'), page(2, "https://up.io:443/Team", "port"),
+        page(3, "https://best.io", "failed", status=503), page(4, "https://BEST.io/", "served"),
+        page(5, "https://down.io", "a", status=500), page(6, "https://down.io/", "b", status=404)])
+    seeds = tables.seed_list(spark, ["up.io", "UP.io:443", "best.io", "down.io"])
+    rows = {(r["domain"], r["page_no"]): r for r in crawl.crawl(seeds, pages).collect()}
+    assert rows["up.io", 0]["status_code"] == 200 and rows["up.io", 1]["markdown"] == "port"
+    assert rows["up.io", 1]["url"] == "https://up.io/Team"  # what is put out keeps its form
+    assert rows["UP.io:443", 0]["markdown"] == rows["up.io", 0]["markdown"]
+    assert rows["best.io", 0]["markdown"] == "served"
+    assert rows["down.io", 0]["status_code"] == 500
+
+
+def test_page_text_is_cut_early(spark):
+    pages = make_pages(spark, [page(1, "https://long.io", "x" * 1_000_000 + " a@long.io")])
+    row = crawl.crawl(tables.seed_list(spark, ["long.io"]), pages, max_chars=50).first()
+    assert len(row["markdown"]) == 50 and row["emails"] == ["a@long.io"]
 
 
 def page_row(no, url, markdown, status=200, error=None, emails=(), urls=()):
@@ -128,6 +147,38 @@ def test_salted_join_equals_plain_join(spark):
     assert salted.columns == ["k", "id", "v"]
 
 
+def test_every_hot_key_is_sliced(spark):
+    keys = 12_000
+    a = spark.range(3 * keys).select("id", (F.col("id") % keys).cast("string").alias("k"))
+    slices = hot_slices(a, "k", slice_rows=2)
+    assert slices.count() == keys and slices.agg(F.min("_slices"), F.max("_slices")).first()[:] == (2, 2)
+    b = spark.range(keys).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    joined = left_join_salted(a, b, "k", "id", slice_rows=2)
+    assert joined.filter("v = cast(k AS bigint)").count() == joined.count() == 3 * keys
+
+
+def test_scratch_folder(spark, tmp_path, monkeypatch):
+    assert session.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    with session.scratch_run(spark):
+        table = session.materialize(spark.range(3), "t")
+        folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+        assert table.count() == 3 and os.path.isdir(folder)
+    assert not os.path.exists(os.path.dirname(folder))
+
+    class Context:
+        master = "spark://h:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Session)
+    Context.getCheckpointDir = staticmethod(lambda: "hdfs://n/ck/")
+    assert session.scratch_root(Session) == "hdfs://n/ck"
+
+
 @pytest.mark.parametrize("hot", ["hot", None])
 def test_hot_key_is_spread(spark, hot):
     a = spark.range(20_000).select(F.col("id"), F.lit(hot).cast("string").alias("k"))

@@ -1,4 +1,4 @@
-"""URL expressions against the Python standard library and brute force."""
+"""URL expressions: hand-made cases, properties, and the standard library's ``urljoin``."""
 
 import random
 from urllib.parse import urljoin, urlparse
@@ -53,60 +53,79 @@ def test_resolve_matches_urljoin(spark):
     assert wrong == []
 
 
-def _canonical(url):
-    p = urlparse(url)
-    return f"{p.scheme}://{p.netloc}{p.path}".rstrip("/")
+def test_canonical(column):
+    cases = {
+        "https://Acme.io/Team/?x#y": "https://Acme.io/Team",
+        "https://acme.io//": "https://acme.io",
+        "http://acme.io/a;p=1?q": "http://acme.io/a",
+        "https://acme.io": "https://acme.io",
+        "https://acme.io/a/b///": "https://acme.io/a/b",
+        "HTTP://acme.io/A": "http://acme.io/A",
+    }
+    assert column(list(cases), urls.canonical_url) == list(cases.values())
+
+
+def test_page_key(column):
+    cases = {
+        "https://Acme.IO/Team": "https://acme.io/Team",
+        "https://acme.io:443/a": "https://acme.io/a",
+        "http://acme.io:80": "http://acme.io",
+        "http://acme.io:443/a": "http://acme.io:443/a",
+        "https://acme.io:8443/a:443": "https://acme.io:8443/a:443",
+    }
+    assert column(list(cases), urls.page_key) == list(cases.values())
+
+
+# page, its links, and the target links of the page in order
+LINK_PAGES = [
+    ("https://acme.io", ["/team", "/team/", "/TEAM?x=1", "/team#top"], ["https://acme.io/team", "https://acme.io/TEAM"]),
+    ("https://acme.io/a/", ["about", "../company", "./b/careers/"],
+     ["https://acme.io/a/about", "https://acme.io/company", "https://acme.io/a/b/careers"]),
+    ("https://acme.io", ["/pricing", "/steamy", "/blog", "/x?team", "/y#about"],
+     ["https://acme.io/pricing", "https://acme.io/steamy"]),
+    ("https://acme.io", ["/x;team", "/p;jsessionid=1about", "/team;v=2"], ["https://acme.io/team"]),
+    ("https://acme.io", ["https://jobs.acme.io/careers", "https://ACME.io/contact", "//acme.io/leadership"],
+     ["https://jobs.acme.io/careers", "https://ACME.io/contact", "https://acme.io/leadership"]),
+    ("https://acme.io", ["https://port.org/about", "https://notacme.io/team", "https://acme.io.port.org/team",
+                         "https://acme.io:8080/team"], []),
+    ("https://www.acme.io", ["https://acme.io/team", "https://www.acme.io/team"], ["https://www.acme.io/team"]),
+    ("https://acme.io/about/", ["", "#team", "javascript:about()", "mailto:team@acme.io", " /contact ", "/about", "."],
+     ["https://acme.io/contact"]),
+    ("https://acme.io", [f"/team/{k}" for k in range(9)], [f"https://acme.io/team/{k}" for k in range(9)]),
+]
 
 
-def test_canonical(column):
-    cases = ["https://Acme.io/Team/?x#y", "https://acme.io//", "http://acme.io/a;p=1?q",
-             "https://acme.io", "https://acme.io/a/b///", "HTTP://acme.io/A"]
-    assert column(cases, urls.canonical_url) == [_canonical(c) for c in cases]
-
-
-def _brute_force_links(base_url, hrefs, k):
-    """The discovery rules, one link at a time."""
-    base = urlparse(base_url).netloc.lower()
-    seen, out = {base_url.rstrip("/")}, []
-    for raw in hrefs:
-        href = raw.strip()
-        if not href or href.startswith(("#", "javascript:", "mailto:")):
-            continue
-        to = urlparse(urljoin(base_url, href))
-        host = to.netloc.lower()
-        link = _canonical(urljoin(base_url, href))
-        if (host == base or host.endswith("." + base)) and link not in seen and any(
-            w in to.path.lower() for w in urls.TARGET_KEYWORDS
-        ):
-            seen.add(link)
-            out.append(link)
-    return out[:k]
-
-
-def test_discover_links_matches_brute_force(spark):
-    rng = random.Random(3)
-    pool = HREFS + ["/team", "team/", "/About-Us?x", "https://jobs.acme.io/careers", "/pricing#p",
-                    "https://notacme.io/team", "https://acme.io.evil.org/team", "/steamy", " /contact ",
-                    " /founders\n", "/management/", "/company", "//acme.io/leadership"]
-    pages = []
-    for n in range(200):
-        base = rng.choice(BASES[:4] + ["https://www.acme.io", "https://acme.io/about/"])
-        hrefs = [h for h in (rng.choice(pool) for _ in range(rng.randint(0, 25))) if _comparable(base, h)]
-        pages.append((n, base, hrefs))
-    df = spark.createDataFrame(pages, "n int, base string, hrefs array<string>")
-    for k in (4, 5):
+def test_discover_links_cases(spark):
+    rows = [(n, base, hrefs) for n, (base, hrefs, _) in enumerate(LINK_PAGES)]
+    df = spark.createDataFrame(rows, "n int, base string, hrefs array<string>")
+    for k in (1, 4, 5):
         got = df.select("n", urls.discover_links(F.col("base"), F.col("hrefs"), k).alias("l")).collect()
         for row in got:
-            _, base, hrefs = pages[row["n"]]
-            assert row["l"] == _brute_force_links(base, hrefs, k), (base, hrefs)
+            assert row["l"] == LINK_PAGES[row["n"]][2][:k], LINK_PAGES[row["n"]]
 
 
-def test_external_links_are_left_out(spark):
-    df = spark.createDataFrame(
-        [(["/about", "/company", "/pricing", "https://external.org/about"],)], "hrefs array<string>"
-    )
-    links = df.select(urls.discover_links(F.lit("https://acme.io"), F.col("hrefs")).alias("l")).first()["l"]
-    assert links == ["https://acme.io/about", "https://acme.io/company", "https://acme.io/pricing"]
+def test_discover_links_properties(spark):
+    """Random pages: results are distinct, canonical, of the site, with a keyword in the path."""
+    rng = random.Random(3)
+    pool = HREFS + ["/team", "team/", "/About-Us?x", "https://jobs.acme.io/careers", "/pricing#p",
+                    "https://notacme.io/team", "/steamy", " /contact ", "/management/", "/company"]
+    pages = [(n, rng.choice(BASES[:4]), [rng.choice(pool) for _ in range(rng.randint(0, 25))]) for n in range(200)]
+    df = spark.createDataFrame(pages, "n int, base string, hrefs array<string>")
+    canonical = F.transform("l", urls.canonical_url)
+    rows = df.select(
+        "n", "base", urls.site_links(F.col("base"), F.col("hrefs")).alias("l"),
+        urls.discover_links(F.col("base"), F.col("hrefs"), 3).alias("top"),
+    ).withColumn("again", canonical)
+    seen = 0
+    for row in rows.collect():
+        seen += len(row["l"])
+        assert len(set(row["l"])) == len(row["l"]) and row["again"] == row["l"] and row["top"] == row["l"][:3]
+        for link in row["l"]:
+            host, path = urlparse(link).netloc.lower(), urlparse(link).path.lower()
+            site = urlparse(row["base"]).netloc.lower()
+            assert host == site or host.endswith("." + site)
+            assert any(word in path for word in urls.TARGET_KEYWORDS) and link != row["base"].rstrip("/")
+    assert seen > 200
 
 
 def test_no_hrefs(spark):
