@@ -103,6 +103,7 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
         "end",
         F.when(F.col("value").isNotNull(), F.xxhash64(F.lower("value"))).alias("value_hash"),
         _looks_random(F.col("value")).alias("random"),
+        (F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")).alias("mixed_case"),
     )
 
 
@@ -111,6 +112,10 @@ def _span(c: Column) -> Column:
     return F.concat_ws(":", F.get(names, c["kind_no"]), c["start"], c["end"])
 
 
+def _of_kind(number: int):
+    return lambda span: span["kind_no"] == number
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, _span), ",")
 
@@ -144,11 +149,19 @@ def scan(
         .groupBy("value_hash")
         .agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
     )
-    marked = found.join(spread, "value_hash", "left").withColumn(
+    with_value = found.filter("value_hash is not null").join(spread, "value_hash")
+    # rows without a value, most of all, have nothing to join and would meet in one task
+    without = found.filter("value_hash is null").withColumns(
+        {c: F.lit(None).cast("long") for c in ("repositories", "owners")}
+    )
+    marked = with_value.unionByName(without).withColumn(
         "live", (F.col("owners") <= max_owners) & F.col("random")
     )
     first_extra, opaque = len(BASE), list(KINDS).index("opaque")
-    shown = F.col("value_hash").isNotNull() & ((F.col("kind_no") != opaque) | F.col("live"))
+    # hex strings and access keys have kinds of their own, so this one has both cases
+    shown = F.col("value_hash").isNotNull() & (
+        (F.col("kind_no") != opaque) | (F.col("live") & F.col("mixed_case"))
+    )
     span = F.struct("start", "kind_no", "end", "live", "owners")
     per_row = marked.groupBy("row_no").agg(
         F.first("doc_id").alias("doc_id"),
@@ -160,7 +173,7 @@ def scan(
     return per_row.select(
         "doc_id",
         *[
-            F.size(F.filter("found", lambda c, n=n: c["kind_no"] == n)).cast("long").alias(f"n_{k}")
+            F.size(F.filter("found", _of_kind(n))).cast("long").alias(f"n_{k}")
             for n, k in enumerate(BASE)
         ],
         _joined(base).alias("base_spans"),

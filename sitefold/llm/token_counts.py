@@ -8,7 +8,7 @@ and remembered; a text's count is the sum over its words.
 
 from __future__ import annotations
 
-import re
+import zlib
 
 import ahocorasick
 import pyarrow as pa
@@ -129,9 +129,10 @@ def token_counts(
     and empty texts have no tokens; ids may be null or repeat; other columns are not read.
     """
     known = docs.sparkSession.sparkContext.broadcast((list(pieces), byte_fallback))
+    key = zlib.crc32(repr(known.value).encode())
 
     def run(batches):
-        counter = _counter(hash(str(known.value[0][:500])), *known.value)
+        counter = _counter(key, *known.value)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
         for rows in id_texts(batches):
             counts = [counter.text(t) for _, t in rows]
