@@ -29,7 +29,7 @@ WIDTHS = 60 // COUNTS
 ESCAPE = 15
 END_ID = 1
 BLOCK_IDS = 1 << 16
-MEMO_WORDS = 700_000
+MEMO_WORDS = 900_000
 
 BLOCK_SCHEMA = (
     "part int, block long, first long, doc_ids array<long>, lengths array<long>, words binary"
@@ -145,22 +145,23 @@ class WordEncoder:
                 self.memo[word] = data[a:b]
 
     def learn(self, new: list[str]) -> None:
-        memo, letters, others, tailed = self.memo, set(), set(), []
+        memo, letters, others = self.memo, set(), set()
+        whole, heads, tails = [], [], []
         for word in new:
             head = word.rstrip(_TAIL)
-            if _PLAIN.fullmatch(head):
+            if head.isalpha() and (head.isascii() or _PLAIN.fullmatch(head)):
                 if head not in memo:
                     letters.add(head)
-                if head is not word and head != word:
-                    tail = word[len(head) :]
-                    tailed.append((word, head, tail))
-                    if tail not in memo:
-                        others.add(tail)
+                if len(head) < len(word):
+                    whole.append(word)
+                    heads.append(head)
+                    tails.append(word[len(head) :])
             else:
                 others.add(word)
+        others.update(t for t in set(tails) if t not in memo)
         self._letters(list(letters))
         self._others(list(others))
-        for word, head, tail in tailed:
+        for word, head, tail in zip(whole, heads, tails):
             memo[word] = memo[head] + memo[tail]
 
     def encode(self, block: list[str]) -> list[bytes]:
@@ -262,7 +263,8 @@ def read(spark, path: str) -> DataFrame:
     size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b)
     totals = blocks.groupBy("part").agg(F.sum(size).alias("total"))
     before = F.sum("total").over(Window.orderBy("part")) - F.col("total")
-    totals = totals.select("part", before.alias("before"))
+    # one row for each task of the write
+    totals = F.broadcast(totals.select("part", before.alias("before")))
     return (
         blocks.join(totals, "part")
         .select("first", "before", "doc_ids", "lengths", "words")
