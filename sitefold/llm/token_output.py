@@ -11,6 +11,7 @@ Spark's writers commit it safely to any store.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -181,6 +182,7 @@ _encoders: dict[int, WordEncoder] = {}
 
 def _encoder(tokenizer_json: bytes) -> WordEncoder:
     """The encoder of this worker process; its memo serves later tasks too."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     key = zlib.crc32(tokenizer_json)
     if key not in _encoders:
         _encoders.clear()
