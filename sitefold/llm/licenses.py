@@ -9,8 +9,6 @@ diagonals are merged, and a span counts if enough of the template's pairs are th
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Base phrases and their labels.
@@ -39,15 +37,12 @@ _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def template_pairs(spark: SparkSession) -> DataFrame:
     """A row per word pair of every template; fixed text, so its size is bounded."""
     rows = []
-    for number, (phrase, label) in enumerate([*BASE.items(), *TEMPLATES.items()]):
-        words = re.split(" ", phrase)
+    for number, phrase in enumerate([*BASE, *TEMPLATES]):
+        words = phrase.split(" ")
         for at in range(len(words) - 1):
             rows.append(
                 F.struct(
                     F.lit(number).alias("template"),
-                    F.lit(label).alias("label"),
-                    F.lit(phrase in BASE).alias("base"),
-                    F.lit(len(words) - 1).alias("pairs"),
                     F.lit(at).alias("at"),
                     F.lit(words[at]).alias("w1"),
                     F.lit(words[at + 1]).alias("w2"),
@@ -94,9 +89,6 @@ def scan(docs: DataFrame, least_cover: float = LEAST_COVER, slack: int = SLACK)
     ).agg(
         F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
-        F.first("label").alias("label"),
-        F.first("base").alias("base"),
-        F.first("pairs").alias("pairs"),
         F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"),
         F.min("place").alias("low"),
         F.max("place").alias("high"),
@@ -106,26 +98,27 @@ def scan(docs: DataFrame, least_cover: float = LEAST_COVER, slack: int = SLACK)
     far = far | (F.col("low") - F.lag("high").over(by_diagonal) > slack + 1)
     merged = diagonals.withColumn("far", F.coalesce(far.cast("int"), F.lit(0)))
     merged = merged.withColumn("part", F.sum("far").over(by_diagonal))
-    whole = F.col("base") & (F.bit_count("bits") == F.col("pairs"))
+    # what a template is: looked up by its number, so that rows and aggregates stay narrow
+    phrases = [*BASE, *TEMPLATES]
+    base = F.col("template") < len(BASE)
+    pairs_of = F.get(F.array(*[F.lit(p.count(" ")) for p in phrases]), F.col("template"))
+    label = F.get(F.array(*[F.lit(x) for x in [*BASE.values(), *TEMPLATES.values()]]), F.col("template"))
+    whole = base & (F.bit_count("bits") == pairs_of)
     parts = merged.groupBy("row_no", "template", "part").agg(
         F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
-        F.first("label").alias("label"),
-        F.first("base").alias("base"),
-        F.first("pairs").alias("pairs"),
         F.bit_or("bits").alias("bits"),
         F.sum(whole.cast("long")).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("low"),
         F.max(F.when(whole, F.col("diagonal"))).alias("high"),
     )
-    cover = F.bit_count("bits") / F.col("pairs")
+    cover = F.bit_count("bits") / pairs_of
     found = parts.select(
         "*",
-        F.when(F.col("base"), F.when(F.col("places") > 0, F.lit(1.0)))
-        .when(cover >= least_cover, cover)
-        .alias("cover"),
+        label.alias("label"),
+        F.when(base, F.when(F.col("places") > 0, F.lit(1.0))).when(cover >= least_cover, cover).alias("cover"),
     )
-    base_label = F.when(F.col("base") & (F.col("places") > 0), F.col("label"))
+    base_label = F.when(base & (F.col("places") > 0), F.col("label"))
     per_row = found.groupBy("row_no").agg(
         F.first("doc_id").alias("doc_id"),
         F.max("n_words").cast("long").alias("n_words"),
