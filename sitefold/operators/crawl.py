@@ -2,7 +2,8 @@
 
 The crawl is two joins against the ``pages`` table, first for the home pages, then
 for the pages they link to, both on ids. Page HTML, by far the largest column, is never
-shuffled: pages are picked where they lie, see :func:`wanted_pages`, and parsed there.
+shuffled: pages are picked where they lie, see :func:`sitefold.session.pick_rows`, and
+parsed there.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.functions import text, urls
 from sitefold.operators.html import scan_contacts
-from sitefold.session import left_join_salted, materialize
+from sitefold.session import left_join_salted, materialize, pick_rows
 
 MAX_SUBPAGES = 4
 NOT_FOUND = "page not found in input"
@@ -49,42 +50,6 @@ def page_index(pages: DataFrame) -> DataFrame:
     )
 
 
-FILTER_BITS = 25
-_BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
-
-
-def wanted_pages(pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``pages`` whose id is in ``ids``, and a few more, picked without a shuffle.
-
-    The hashed ids are bits of a filter of fixed size (4 MB), so broadcasting it is
-    safe whatever the number of ids. A page that passes by chance is parsed in vain and
-    falls out in the later join by id.
-    """
-
-    def bit(page_id: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(page_id), 64 - FILTER_BITS)
-
-    def part(b: Column) -> Column:
-        return F.shiftright(b, 15).cast("int")
-
-    bits = (
-        ids.select(bit(F.col("page_id")).alias("b"))
-        .groupBy(part(F.col("b")).alias("_part"))
-        .agg(F.bitmap_construct_agg(F.col("b") % _BITMAP_BITS).alias("_bits"))
-    )
-    byte = F.substring(F.col("_bits"), (F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    is_set = F.expr("shiftright(_value, cast(_at & 7 as int)) & 1") == 1
-    return (
-        pages.withColumn("_at", (bit(F.col("page_id")) % _BITMAP_BITS).cast("int"))
-        .withColumn("_part", part(bit(F.col("page_id"))))
-        .join(F.broadcast(bits), "_part")
-        .withColumn("_value", value)
-        .filter(is_set)
-        .select(*pages.columns)
-    )
-
-
 def read_pages(
     pages: DataFrame, denied=text.DENIED_SUFFIXES, max_chars: int | None = None
 ) -> DataFrame:
@@ -150,7 +115,7 @@ def crawl(
     index = materialize(page_index(pages), "page-index")
     home_ids = index.join(starts.select("page_key").distinct(), "page_key", "left_semi")
     home_pages = materialize(
-        read_pages(wanted_pages(pages, home_ids), denied, max_chars), "home-pages"
+        read_pages(pick_rows(pages, home_ids, "page_id"), denied, max_chars), "home-pages"
     )
     home_links = home_pages.select("page_id", "hrefs").join(home_ids, "page_id")
     # Seeds that differ only in their query string share one home page.
@@ -185,7 +150,7 @@ def crawl(
         .distinct()
         .join(home_pages.select("page_id"), "page_id", "left_anti")
     )
-    more_pages = read_pages(wanted_pages(pages, more_ids), denied, max_chars).drop("hrefs")
+    more_pages = read_pages(pick_rows(pages, more_ids, "page_id"), denied, max_chars).drop("hrefs")
     more_pages = materialize(more_pages, "more-pages").join(more_ids, "page_id", "left_semi")
     contents = home_pages.drop("hrefs").unionByName(more_pages)
     return _fill_missing(left_join_salted(frontier, contents, "page_id", spread_by="domain"))

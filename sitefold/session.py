@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -86,6 +86,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 25
+_BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
+
+
+def pick_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids``, and a few more, without a shuffle of ``df``.
+
+    The hashed ids are bits of a filter of fixed size (4 MB), so broadcasting it is safe
+    whatever their number. A row that passes by chance is to fall out in a later join by
+    id, when ``df`` has been reduced to what is needed of it.
+    """
+
+    def bit(value: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(value), 64 - FILTER_BITS)
+
+    def part(b: Column) -> Column:
+        return F.shiftright(b, 15).cast("int")
+
+    bits = (
+        ids.select(bit(F.col(key)).alias("b"))
+        .groupBy(part(F.col("b")).alias("_part"))
+        .agg(F.bitmap_construct_agg(F.col("b") % _BITMAP_BITS).alias("_bits"))
+    )
+    byte = F.substring(F.col("_bits"), (F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    is_set = F.expr("shiftright(_value, cast(_at & 7 as int)) & 1") == 1
+    return (
+        df.withColumn("_at", (bit(F.col(key)) % _BITMAP_BITS).cast("int"))
+        .withColumn("_part", part(bit(F.col(key))))
+        .join(F.broadcast(bits), "_part")
+        .withColumn("_value", value)
+        .filter(is_set)
+        .select(*df.columns)
+    )
+
+
 SLICE_ROWS = 50_000
 
 

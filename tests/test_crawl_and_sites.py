@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitefold import session
 from sitefold.operators import crawl, sites
-from sitefold.session import hot_slices, left_join_salted
+from sitefold.session import hot_slices, left_join_salted, pick_rows
 from sitefold.sources import tables
 
 
@@ -80,12 +80,12 @@ def test_link_limit_and_default_status(crawled):
 def test_only_wanted_copies_are_parsed(spark):
     pages = make_pages(spark, [page(k, f"https://c.io/{k % 20}", f"p{k}") for k in range(2000)])
     ids = spark.createDataFrame([(3,), (7,)], "page_id bigint")
-    picked = crawl.wanted_pages(pages, ids)
+    picked = pick_rows(pages, ids, "page_id")
     found = [r["page_id"] for r in picked.collect()]
     assert {3, 7} <= set(found) and len(found) < 10 and picked.columns == pages.columns
     plan = picked._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert crawl.wanted_pages(pages, ids.limit(0)).count() == 0
+    assert pick_rows(pages, ids.limit(0), "page_id").count() == 0
 
 
 def test_host_case_default_port_and_best_copy(spark):

@@ -3,15 +3,18 @@
 import csv
 import glob
 import json
+import re
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 import __spark_entry__ as entry
 import check
 from sitefold import schemas
 from sitefold.operators import costs
+from sitefold.operators import crawl
+from sitefold.plans import catalog, oracle
 from sitefold.plans.enrich import enrich
 from sitefold.plans.fixtures import TABLES
 from sitefold.session import scratch_path
@@ -99,19 +102,66 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.registered()) == set(oracle.statements())
+    assert set(catalog.registered()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.registered()))
 def test_query_agrees_with_sql(spark, con, name):
     assert check.compare(spark, con, name, SMALL) is None
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(("enrich", "crawl", "sink"))])
+def executed_plans(spark, run):
+    """Plans of everything that ``run`` executes while it is called, and of its result."""
+    plans = []
+    write = DataFrameWriter.parquet
+
+    def noted(self, path, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **options)
+
+    DataFrameWriter.parquet = noted
+    try:
+        plans.append(run()._jdf.queryExecution().executedPlan().toString())
+    finally:
+        DataFrameWriter.parquet = write
+    return plans
+
+
+@pytest.mark.parametrize("name", list(catalog.registered()))
 def test_plan_has_no_cross_join_and_no_row_python(spark, name):
-    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
-        assert operator not in plan
+    for plan in executed_plans(spark, lambda: catalog.registered()[name](spark, SMALL)):
+        for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert operator not in plan
+
+
+@pytest.mark.parametrize("flow", ["crawl", "enrich"])
+def test_html_is_never_shuffled(spark, tmp_path, flow):
+    pages = spark.createDataFrame([(1, "https://acme.io", 200, "<p>x</p>")], schemas.PAGES)
+    pages.write.parquet(str(tmp_path / "pages"))
+    pages = tables.pages(spark, str(tmp_path / "pages"))
+    seeds = tables.seed_list(spark, ["acme.io"])
+    hits = spark.createDataFrame([], schemas.SEARCH_RESULTS)
+    kb = spark.createDataFrame([], schemas.KNOWLEDGE_BASE)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = executed_plans(spark, lambda: crawl.crawl(seeds, pages) if flow == "crawl" else enrich(
+            seeds, pages, kb, costs.model_prices(spark), hits))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    reading = [p for p in plans if re.search(r"html#\d+", p)]
+    assert len(reading) >= 2
+    for plan in reading:  # the way from the scan of the HTML up to the parser has no exchange
+        steps = plan.split("\n")
+        scan = next(k for k, step in enumerate(steps) if "FileScan" in step and re.search(r"html#\d+", step))
+        parser = max(k for k, step in enumerate(steps[:scan]) if "MapInArrow" in step)
+        depth = [len(step) - len(step.lstrip(" :+-")) for step in steps]
+        above, level = [], depth[scan]
+        for k in range(scan - 1, parser, -1):
+            if depth[k] < level:
+                above.append(steps[k])
+                level = depth[k]
+        assert above and not any("Exchange" in step or "Sort" in step for step in above), plan
 
 
 def test_entry(spark):
