@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sitefold.llm.common import WordHashes, arrow_batch, id_texts, shingles, texts, word_hashes
-from sitefold.session import materialize
+from sitefold.session import materialize, pick_rows
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -296,9 +296,11 @@ def ngram_join(
         .select("band", "bucket", "doc_id", "copies", "block", "blocks"),
         "members",
     )
-    wanted = members.select("doc_id").distinct()
-    sets = known.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
-        _shingle_sets, "doc_id long, sig binary, grams binary"
+    # the texts of candidates are found where they lie; others that pass drop out in the join
+    sets = (
+        pick_rows(known, members.select("doc_id").distinct(), "doc_id")
+        .mapInArrow(_shingle_sets, "doc_id long, sig binary, grams binary")
+        .dropDuplicates(["doc_id"])
     )
     pairs_of_blocks = members.withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
