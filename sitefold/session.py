@@ -90,12 +90,11 @@ FILTER_BITS = 25
 _BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
-def pick_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is in ``ids``, and a few more, without a shuffle of ``df``.
+def _mark_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_maybe``: false only where ``key`` is certainly not in ``ids``.
 
     The hashed ids are bits of a filter of fixed size (4 MB), so broadcasting it is safe
-    whatever their number. A row that passes by chance is to fall out in a later join by
-    id, when ``df`` has been reduced to what is needed of it.
+    whatever their number.
     """
 
     def bit(value: Column) -> Column:
@@ -115,13 +114,36 @@ def pick_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return (
         df.withColumn("_at", (bit(F.col(key)) % _BITMAP_BITS).cast("int"))
         .withColumn("_part", part(bit(F.col(key))))
-        .join(F.broadcast(bits), "_part")
+        .join(F.broadcast(bits), "_part", "left")
         .withColumn("_value", value)
-        .filter(is_set)
-        .select(*df.columns)
+        .select(*df.columns, F.coalesce(is_set, F.lit(False)).alias("_maybe"))
     )
 
 
+def pick_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids``, and a few more, without a shuffle of ``df``.
+
+    A row that passes by chance is to fall out in a later join by id, when ``df`` has been
+    reduced to what is needed of it.
+    """
+    return _mark_rows(df, ids, key).filter("_maybe").drop("_maybe")
+
+
+def drop_rows(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` without a partner in ``gone``, whose columns are all compared.
+
+    ``key`` is one of the columns. Rows whose key is certainly not there are passed on
+    where they lie; only the others are set against ``gone`` in an exact anti-join. Nulls
+    equal nulls there.
+    """
+    marked = _mark_rows(df, gone, key)
+    sure, maybe = marked.filter("not _maybe").drop("_maybe"), marked.filter("_maybe").drop("_maybe")
+    names = gone.columns
+    renamed = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in names])
+    same = [maybe[c].eqNullSafe(renamed[f"_gone_{c}"]) for c in names]
+    return sure.union(maybe.join(renamed, same, "left_anti"))
+
+
 SLICE_ROWS = 50_000
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sitefold import session
 from sitefold.operators import crawl, sites
-from sitefold.session import hot_slices, left_join_salted, pick_rows
+from sitefold.session import drop_rows, hot_slices, left_join_salted, pick_rows
 from sitefold.sources import tables
 
 
@@ -88,6 +88,15 @@ def test_only_wanted_copies_are_parsed(spark):
     assert pick_rows(pages, ids.limit(0), "page_id").count() == 0
 
 
+def test_rows_are_dropped_in_place(spark):
+    df = spark.createDataFrame([(k, f"t{k % 7}") for k in range(3000)] + [(None, "n"), (None, "m")], "id bigint, t string")
+    gone = spark.createDataFrame([(k, f"t{k % 7}") for k in range(0, 3000, 3)] + [(1, "other"), (None, "n")], "id bigint, t string")
+    left = drop_rows(df, gone, "id")
+    assert sorted(r["id"] or -1 for r in left.collect()) == [-1, *[k for k in range(3000) if k % 3]]
+    ids = gone.select("id").filter("id is not null")
+    assert drop_rows(df, ids, "id").count() == 2001 and drop_rows(df, ids.limit(0), "id").count() == 3002
+
+
 def test_host_case_default_port_and_best_copy(spark):
     pages = make_pages(spark, [
         page(1, "https://Up.io", '<a href="/Team">t</a>upper'), page(2, "https://up.io:443/Team", "port"),
