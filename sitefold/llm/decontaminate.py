@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sitefold.llm.common import WordHashes, arrow_batch, combine, id_texts, texts, word_hashes
-from sitefold.session import materialize
+from sitefold.session import drop_rows, materialize
 
 #: Fixed masks over eight words. Each single position, and each pair five apart, is ignored by one.
 MASKS = ("01111011", "10111101", "11011110", "11100111")
@@ -210,5 +210,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, with all columns, of documents without an overlap."""
-    bad = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = materialize(overlaps(docs, benchmark).select("doc_id").distinct(), "leaks")
+    return drop_rows(docs, bad, "doc_id")

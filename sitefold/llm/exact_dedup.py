@@ -10,7 +10,7 @@ from __future__ import annotations
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.session import materialize, scratch_path
+from sitefold.session import drop_rows, materialize, scratch_path
 
 _SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
@@ -104,13 +104,11 @@ def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "dedup-marks",
     )
     rows = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-
-    def same(marks):
-        return rows["doc_id"].eqNullSafe(marks["doc_id"]) & (rows["_sha"] == marks["text_sha256"])
-
-    stay = rows.join(marked, same(marked), "left_anti")
-    repeated = marked.filter("kept")
+    marks = marked.withColumnRenamed("text_sha256", "_sha")
+    stay = drop_rows(rows, marks.select("doc_id", "_sha"), "doc_id")
+    repeated = marks.filter("kept").select("doc_id", "_sha")
     if not repeated.isEmpty():
-        once = rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_sha"])
+        same = [rows[c].eqNullSafe(repeated[c]) for c in ("doc_id", "_sha")]
+        once = rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_sha"])
         stay = stay.unionByName(once)
     return stay.select(*docs.columns)

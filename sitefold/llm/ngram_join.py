@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sitefold.llm.common import WordHashes, arrow_batch, id_texts, shingles, texts, word_hashes
-from sitefold.session import materialize, pick_rows
+from sitefold.session import drop_rows, materialize, pick_rows
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -355,5 +355,7 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
 
     Ids of the others are few against the texts; rows with a null id stay.
     """
-    others = ngram_join(docs).filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = materialize(
+        ngram_join(docs).filter("class_id <> doc_id").select("doc_id").distinct(), "near-copies"
+    )
+    return drop_rows(docs, others, "doc_id")
