@@ -36,6 +36,7 @@ ROLES_BEFORE_NAME = "Founder|CEO|CTO|Co-Founder"
 
 TRUNCATION_MARKER = "\n... [Content truncated for token optimization] ..."
 DEFAULT_AUDIENCE = "Developers, businesses, and enterprise teams seeking software solutions."
+STOCK_OVERVIEW = " provides digital products and services."
 # ----------------------------------------------------------------------------
 
 # The same matches as EMAIL, in linear time. A match can only begin where a run
@@ -133,7 +134,7 @@ def sentences(text: Column, skip_page_headers: bool = True) -> Column:
 
 def overview(text: Column, company_name: Column, skip_page_headers: bool = True) -> Column:
     """First two sentences, or a stock line naming the company."""
-    stock = F.concat(company_name, F.lit(" provides digital products and services."))
+    stock = F.concat(company_name, F.lit(STOCK_OVERVIEW))
     return bound(
         F.slice(sentences(text, skip_page_headers), 1, 2),
         lambda lead: F.when(

@@ -14,7 +14,10 @@ from sitefold.functions import text, urls
 from sitefold.operators.html import scan_contacts
 from sitefold.session import left_join_salted, materialize, pick_rows
 
+# --- fixed values -----------------------------------------------------------
 MAX_SUBPAGES = 4
+FAILED_PAGE, FALLBACK_ERROR = "Failed to crawl page: ", " | Fallback error: "
+# ----------------------------------------------------------------------------
 NOT_FOUND = "page not found in input"
 
 
@@ -74,7 +77,7 @@ def read_pages(
 
 
 def failure_text(error: Column) -> Column:
-    return F.concat(F.lit("Failed to crawl page: "), error, F.lit(" | Fallback error: "), error)
+    return F.concat(F.lit(FAILED_PAGE), error, F.lit(FALLBACK_ERROR), error)
 
 
 def _fill_missing(rows: DataFrame) -> DataFrame:

@@ -21,15 +21,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sitefold.functions import text
 
 # --- fixed values -----------------------------------------------------------
-STRIPPED_TAGS = frozenset(
-    "script style svg noscript iframe form nav footer header button input select "
-    "textarea picture path symbol".split()
-)
+STRIPPED_TAGS = frozenset((
+    "script", "style", "svg", "noscript", "iframe", "form", "nav", "footer", "header",
+    "button", "input", "select", "textarea", "picture", "path", "symbol",
+))
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
-VOID_TAGS = frozenset(
-    "area base basefont bgsound br col command embed frame hr image img input isindex "
-    "keygen link menuitem meta nextid param source spacer track wbr".split()
-)
+VOID_TAGS = frozenset((
+    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr",
+    "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid",
+    "param", "source", "spacer", "track", "wbr",
+))
 # ----------------------------------------------------------------------------
 
 _BLOCKS = frozenset(("p", "div"))
@@ -52,7 +53,9 @@ _TOKEN = re.compile(
 _ATTRS = re.compile(r"""([a-zA-Z_:@][\w:.@-]*)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""", re.ASCII)
 _RAW_TEXT = frozenset(("script", "style"))
 # elements whose content some versions of the tolerant parser read as plain text
-_TEXT_ONLY = frozenset("title textarea iframe noembed noframes xmp plaintext noscript".split())
+_TEXT_ONLY = frozenset((
+    "title", "textarea", "iframe", "noembed", "noframes", "xmp", "plaintext", "noscript",
+))
 
 
 def _escape(value: str) -> str:

@@ -101,8 +101,15 @@ def seed_domains(i: Inputs) -> DataFrame:
     return tables.seed_table(i.seeds(), "domain", "seed_no")
 
 
+def _stored(i: Inputs, df: DataFrame, loader: Callable, fmt: str = "parquet") -> DataFrame:
+    """``df`` written and read back through a scan with a declared schema."""
+    path = scratch_path(i.spark, f"stored-{fmt}")
+    df.write.format(fmt).save(path)
+    return loader(i.spark, path)
+
+
 def pages_scan(i: Inputs) -> DataFrame:
-    return i.table("pages").select(
+    return tables.pages(i.spark, f"{i.sf_dir}/pages.parquet").select(
         "page_id", "url", F.length("html").cast("bigint").alias("html_chars")
     )
 
@@ -334,7 +341,8 @@ def search_title_name(i: Inputs) -> DataFrame:
 
 # -- joins ------------------------------------------------------------------------
 def kb_left_join(i: Inputs) -> DataFrame:
-    return leads.join_kb(i.seeds(), i.kb()).select(
+    kb = _stored(i, i.kb(), tables.knowledge_base, "json")
+    return leads.join_kb(i.seeds(), kb).select(
         "seed_no",
         "domain",
         F.when(F.col("in_kb"), F.lit("kb")).otherwise(F.lit("rules")).alias("branch"),
@@ -348,7 +356,8 @@ def kb_anti(i: Inputs) -> DataFrame:
 
 
 def cost_by_model(i: Inputs) -> DataFrame:
-    return costs.attach_prices(i.calls(), i.prices()).select(
+    prices = i.prices().select("model", _big("in_milli"), _big("out_milli"))
+    return costs.attach_prices(i.calls(), _stored(i, prices, tables.model_prices)).select(
         "call_id", "model", "in_milli", "out_milli"
     )
 
@@ -361,7 +370,7 @@ def crawl_frontier(i: Inputs) -> DataFrame:
 
 def crawl_given_pages(i: Inputs) -> DataFrame:
     """Every raw page as the home page of a seed of its own."""
-    pages = i.table("pages")
+    pages = tables.pages(i.spark, f"{i.sf_dir}/pages.parquet")
     seeds = tables.seed_table(pages, "url", "page_id")
     return crawl.crawl(seeds, pages).select(
         "domain", "page_no", "url", _big("status_code"), "error"
@@ -476,7 +485,8 @@ def batch_failures(i: Inputs) -> DataFrame:
 
 # -- set operations, scores, validation ---------------------------------------------
 def search_top_k(i: Inputs) -> DataFrame:
-    return search.top_hits(i.search_results(), search.BROAD_HITS).select(
+    hits = _stored(i, i.search_results(), tables.search_results)
+    return search.top_hits(hits, search.BROAD_HITS).select(
         "query", _big("hit_no"), "href"
     )
 
@@ -519,7 +529,8 @@ def search_queries(i: Inputs) -> DataFrame:
 
 
 def llm_validate(i: Inputs) -> DataFrame:
-    return responses.validate(i.responses()).select(
+    answers = _stored(i, i.responses(), tables.responses)
+    return responses.validate(answers).select(
         "domain", "provider", "model", F.col("valid").cast("bigint").alias("valid"), "reason"
     )
 

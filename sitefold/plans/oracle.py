@@ -6,14 +6,33 @@ their Markdown, links and contacts are computed from those columns directly.
 
 from __future__ import annotations
 
-from sitefold.functions import text, urls
-from sitefold.operators import responses
+from sitefold.functions import text
 from sitefold.plans.fixtures import DERIVED
 
+# --- fixed values, written out here so that a wrong one in the engine shows ---
+WHITESPACE = "".join(
+    map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+)
+LINE_BREAK = r"\r\n|[\x{0b}\x{0c}\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+PROFILE_OR_COMPANY = r"(?i)https?://(?:www\.)?linkedin\.com/(?:in|company)/[a-zA-Z0-9%_-]+/?"
+PROFILE = r"(?i)https?://(?:www\.)?linkedin\.com/in/[a-zA-Z0-9%_-]+/?"
+DENIED = r"(domain\.com|sentry\.io|wixpress\.com|schema\.org|png|jpg|jpeg|svg|webp|gif|\.css|\.js)$"
+DENIED_BY_DEFAULT = DENIED.replace("(", r"(example\.com|", 1)
+TRUNCATION_MARKER = "\n... [Content truncated for token optimization] ..."
+DEFAULT_AUDIENCE = "Developers, businesses, and enterprise teams seeking software solutions."
+TARGET_KEYWORDS = (
+    "about", "about-us", "company", "team", "leadership", "contact", "contact-us",
+    "pricing", "careers", "founders", "management",
+)
+SKIPPED_HREF = "^(#|javascript:|mailto:)"
+SYSTEM_PROMPT_CHARS = 1082
+# ------------------------------------------------------------------------------
+
 NL = "chr(10)"
 NL2 = "chr(10) || chr(10)"
-_WS = "'" + text.WHITESPACE + "'"
-_DENY = text.denied_pattern()
+_WS = "'" + WHITESPACE + "'"
+_DENY = DENIED_BY_DEFAULT
 _MISSING = "page not found in input"
 _FAILED = f"Failed to crawl page: {_MISSING} | Fallback error: {_MISSING}"
 
@@ -36,20 +55,20 @@ def strip(x: str) -> str:
 
 def emails(x: str, deny: str = _DENY) -> str:
     return (
-        f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({x}, {_q(text.EMAIL)}), "
+        f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({x}, {_q(EMAIL)}), "
         f"lambda e: lower(e)), lambda e: NOT regexp_matches(e, {_q(deny)}))))"
     )
 
 
 def profile_urls(x: str) -> str:
     return (
-        f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({x}, {_q(text.PROFILE_OR_COMPANY)}), "
+        f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({x}, {_q(PROFILE_OR_COMPANY)}), "
         "lambda u: rtrim(u, '/')), lambda u: contains(u, '/in/') OR contains(u, '/company/'))))"
     )
 
 
 def first_profile(x: str) -> str:
-    return f"nullif(rtrim(regexp_extract({x}, {_q(text.PROFILE)}), '/'), '')"
+    return f"nullif(rtrim(regexp_extract({x}, {_q(PROFILE)}), '/'), '')"
 
 
 def join(x: str, sep: str = "|") -> str:
@@ -59,7 +78,7 @@ def join(x: str, sep: str = "|") -> str:
 def truncate(x: str, n: int) -> str:
     return (
         f"CASE WHEN length({x}) > {n} THEN left({x}, {n}) || {NL} || "
-        f"{_q(text.TRUNCATION_MARKER[1:])} ELSE {x} END"
+        f"{_q(TRUNCATION_MARKER[1:])} ELSE {x} END"
     )
 
 
@@ -204,7 +223,7 @@ lead AS (
   SELECT p.n, p.domain, p.context, p.pages, p.home_status, k.domain IS NOT NULL AS in_kb,
          coalesce(k.name, {company('p.domain')}) AS company_name,
          coalesce(k.overview, {overview('p.context', company('p.domain'), not compat)}) AS company_overview,
-         coalesce(k.icp, {_q(text.DEFAULT_AUDIENCE)}) AS target_audience,
+         coalesce(k.icp, {_q(DEFAULT_AUDIENCE)}) AS target_audience,
          CASE WHEN k.domain IS NULL THEN b.emails
               ELSE list_sort(list_distinct(list_append(b.emails, k.contact))) END AS contacts,
          (SELECT count(*) FROM leader l WHERE l.domain = p.domain) AS n_leaders,
@@ -234,7 +253,7 @@ def responded(lead: str = "lead") -> list[str]:
         "\"data_confidence_score\": 0.9, \"pages_crawled\": [], \"search_queries_used\": [], \"cost_metrics\": "
         "{\"input_tokens\": 0, \"output_tokens\": 0, \"total_tokens\": 0, \"estimated_cost_usd\": 0.0}}'"
     )
-    chars = responses.SYSTEM_PROMPT_CHARS["A"]
+    chars = SYSTEM_PROMPT_CHARS
     return [
         fx("fx_llm_responses"),
         f"""
@@ -401,12 +420,12 @@ nav AS (
   WHERE l.link_no < 12 OR s.n % 3 = 0)"""
 
 
-_KEYWORDS = "|".join(urls.TARGET_KEYWORDS)
+_KEYWORDS = "|".join(TARGET_KEYWORDS)
 _DEDUP = f"""
 kept AS (
   SELECT site_id, page_no, canon AS url, row_number() OVER (PARTITION BY site_id, page_no ORDER BY min(link_no)) AS link_no
   FROM nav
-  WHERE same_site = 1 AND NOT regexp_matches(href, {_q(urls.SKIPPED_HREF)}) AND canon <> page_url
+  WHERE same_site = 1 AND NOT regexp_matches(href, {_q(SKIPPED_HREF)}) AND canon <> page_url
     AND regexp_matches(lower(substr(canon, length('https://'))), '/.*({_KEYWORDS})')
   GROUP BY site_id, page_no, canon)"""
 
@@ -480,9 +499,9 @@ def _pages_sql(body: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    docs_deny = text.denied_pattern([s for s in text.DENIED_SUFFIXES if s != "example.com"])
+    docs_deny = DENIED
     loose = f"replace(text, '. ', '. ' || {NL} || ' ' || {NL} || chr(9) || {NL})"
-    lines = f"array_to_string(list_transform(string_split(regexp_replace({loose}, {_q(text.LINE_BREAK)}, {NL}, 'g'), {NL}), lambda s: {strip('s')}), {NL})"
+    lines = f"array_to_string(list_transform(string_split(regexp_replace({loose}, {_q(LINE_BREAK)}, {NL}, 'g'), {NL}), lambda s: {strip('s')}), {NL})"
     tidy = strip(f"regexp_replace({lines}, '\\n{{3,}}', {NL2}, 'g')")
     cut = truncate("text", 12000)
     title_name = strip("split_part(split_part(title, '-', 1), '|', 1)")
@@ -514,7 +533,7 @@ def statements() -> dict[str, str]:
             f"WHERE regexp_matches(lower(path), {_q(_KEYWORDS)})"
         ),
         "link_skip_filter": _nav(
-            f"SELECT site_id, page_no, link_no, href FROM nav WHERE NOT regexp_matches(href, {_q(urls.SKIPPED_HREF)})"
+            f"SELECT site_id, page_no, link_no, href FROM nav WHERE NOT regexp_matches(href, {_q(SKIPPED_HREF)})"
         ),
         "links_dedup": _nav("SELECT site_id, page_no, link_no, url FROM kept", _DEDUP),
         "links_top_k": _nav(
@@ -548,7 +567,7 @@ def statements() -> dict[str, str]:
         "emails_denied": _fx(
             "fx_site_pages",
             "SELECT site_id, CAST(page_no AS BIGINT) AS page_no, email FROM (SELECT site_id, page_no, "
-            f"unnest(regexp_extract_all(html, {_q(text.EMAIL)})) AS email FROM fx_site_pages) WHERE regexp_matches(lower(email), {_q(_DENY)})",
+            f"unnest(regexp_extract_all(html, {_q(EMAIL)})) AS email FROM fx_site_pages) WHERE regexp_matches(lower(email), {_q(_DENY)})",
         ),
         "linkedin_urls": _fx(
             "fx_site_pages",
@@ -585,7 +604,7 @@ def statements() -> dict[str, str]:
         "kb_left_join": _with(
             fx("fx_seeds"), fx("fx_kb"),
             body="SELECT s.seed_no, s.domain, CASE WHEN k.domain IS NULL THEN 'rules' ELSE 'kb' END AS branch, "
-            f"coalesce(k.name, {company('s.domain')}) AS company_name, coalesce(k.icp, {_q(text.DEFAULT_AUDIENCE)}) AS target_audience "
+            f"coalesce(k.name, {company('s.domain')}) AS company_name, coalesce(k.icp, {_q(DEFAULT_AUDIENCE)}) AS target_audience "
             "FROM fx_seeds s LEFT JOIN fx_kb k ON k.domain = s.domain",
         ),
         "kb_anti": _with(
@@ -680,7 +699,7 @@ LEFT JOIN (SELECT domain, string_agg(query, '|' ORDER BY no) AS queries FROM (
             body=f"""
 SELECT domain, provider, user_prompt, {tokens('(length(user_prompt) + extra)')} AS input_tokens FROM (
   SELECT p.domain, v.provider, v.extra, {prompt('p.context')} AS user_prompt
-  FROM profile p JOIN body b ON b.n = p.n CROSS JOIN (VALUES ('A', {responses.SYSTEM_PROMPT_CHARS['A']}), ('B', 0)) AS v(provider, extra))""",
+  FROM profile p JOIN body b ON b.n = p.n CROSS JOIN (VALUES ('A', {SYSTEM_PROMPT_CHARS}), ('B', 0)) AS v(provider, extra))""",
         ),
         "lead_heuristic": lead_sql(False),
         "lead_heuristic_compat": lead_sql(True),

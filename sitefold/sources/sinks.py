@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitefold import schemas
+from sitefold.operators.costs import batch_summary
 from sitefold.operators.leads import report
 
 
@@ -29,6 +30,17 @@ def write_report(records: DataFrame, path: str) -> None:
     )
 
 
+def write_summary(records: DataFrame, path: str) -> None:
+    """The totals of a batch: one JSON object in one line."""
+    batch_summary(records).write.mode("errorifexists").json(path)
+
+
+def write_failures(records: DataFrame, path: str) -> None:
+    """The seeds whose record failed, with the reason, one JSON object per line."""
+    failed = records.filter(F.col("error").isNotNull()).select("seed_no", "domain", "error")
+    failed.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.option("header", True)

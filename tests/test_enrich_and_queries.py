@@ -84,6 +84,20 @@ def test_sinks(spark, records):
     assert gone["contact_points"] == "" and gone["key_leadership"] == ""
 
 
+def test_summary_and_failures(spark, records, tmp_path):
+    sinks.write_summary(records, str(tmp_path / "summary"))
+    sinks.write_failures(records, str(tmp_path / "failures"))
+    assert spark.read.json(str(tmp_path / "summary")).first()["failed_domains"] == 1
+    failures = spark.read.json(str(tmp_path / "failures")).collect()
+    assert [(r["seed_no"], r["error"]) for r in failures] == [(4, "missing:domain")]
+
+
+def test_seed_file(spark, tmp_path):
+    (tmp_path / "seeds.txt").write_text("acme.io\n\nacme.io\n")
+    rows = tables.seed_file(spark, str(tmp_path / "seeds.txt")).collect()
+    assert [r["domain"] for r in rows] == ["acme.io", "", "acme.io"] and len({r["seed_no"] for r in rows}) == 3
+
+
 def test_csv_quotes_and_line_ends(spark, records):
     odd = records.filter("error IS NULL").select(*schemas.LEAD.fieldNames()).withColumn("company_name", F.lit('A "b", c\nd'))
     path = scratch_path(spark, "csv")

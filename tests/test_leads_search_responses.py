@@ -43,6 +43,14 @@ def test_kb_hit(spark, kb):
     assert (row["input_tokens"], row["output_tokens"], row["model"]) == (6, 250, "gpt-4o-mini")
 
 
+def test_lists_that_the_knowledge_base_leaves_out(spark):
+    """Null lists are empty ones, so contacts stay and the broad search runs."""
+    bare = spark.createDataFrame([("acme.io", "Acme", "About.", "Teams", None, None)], schemas.KNOWLEDGE_BASE)
+    lead = rule_lead(spark, bare, "acme.io", ["b@acme.io"], [], "x")["lead"]
+    assert lead["contact_points"] == ["b@acme.io"] and lead["key_leadership"] == []
+    assert rule_lead(spark, bare, "acme.io", [], [], "x")["lead"]["contact_points"] == []
+
+
 def test_copies_in_the_knowledge_base_count_once(spark, kb):
     twice = kb.unionByName(kb)
     df = spark.createDataFrame([("acme.io", [], [], "x")], PROFILE)
@@ -144,6 +152,13 @@ def test_copies_of_hits_count_once(spark):
     assert [x["name"] for x in got["leaders"]] == ["Bo Lind"]
 
 
+def test_different_hits_of_one_rank_all_count(spark):
+    one = '"Acme" founder CEO CTO site:linkedin.com/in'
+    hits = [hit(one, 1, "https://linkedin.com/in/b", title="Bo Lind"), hit(one, 1, "https://linkedin.com/in/a", title="Ada Stone")]
+    got = fill(spark, [("a", "Acme", [])], hits)["a"]
+    assert [x["name"] for x in got["leaders"]] == ["Ada Stone", "Bo Lind"]
+
+
 def test_repeated_leaders_are_filled_each(spark):
     got = fill(spark, [("a", "Acme", [leader("Ada Stone"), leader("Ada Stone")])],
                [hit(person("Ada Stone"), 1, "https://linkedin.com/in/x")])["a"]
