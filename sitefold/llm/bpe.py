@@ -23,8 +23,8 @@ from sitefold.llm.common import arrow_batch, id_texts, texts
 
 NONE = 2**30
 #: Characters of text gathered before their new words are encoded, and words remembered.
-BLOCK_CHARS = 16_000_000
-MEMO_WORDS = 1_000_000
+BLOCK_CHARS = 6_000_000
+MEMO_WORDS = 300_000
 #: White space of Unicode; Python's own class also has four control characters.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _UNIT = re.compile(r"(?<=\S) ")
@@ -71,7 +71,7 @@ class MergeReplay:
 
     def product(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that a pair merges to, NONE where there is none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         found = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(found, self.pair_ranks[at], NONE)
@@ -82,12 +82,12 @@ class MergeReplay:
         ends = np.cumsum(lengths)
         n = int(ends[-1])
         # one more position stands for "no neighbour"
-        symbol = np.append(self.single[np.frombuffer(b"".join(words), np.uint8)], -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        symbol = np.append(self.single[np.frombuffer(b"".join(words), np.uint8)], -1).astype(np.int32)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[ends - lengths] = n
         after[n] = before[n] = n
-        waiting = np.append(self.product(symbol[:n], symbol[after[:n]]), NONE)
+        waiting = np.append(self.product(symbol[:n], symbol[after[:n]]), NONE).astype(np.int32)
         index: dict[int, list[np.ndarray]] = defaultdict(list)
         heap: list[int] = []
         odd: list[np.ndarray] = []
@@ -106,7 +106,7 @@ class MergeReplay:
                     heapq.heappush(heap, rank)
                 index[rank].append(positions[start:end])
 
-        note(np.arange(n), waiting[:n])
+        note(np.arange(n, dtype=np.int32), waiting[:n])
         while heap:
             rank = heapq.heappop(heap)
             at = np.concatenate(index.pop(rank))

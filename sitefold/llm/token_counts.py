@@ -19,7 +19,7 @@ from sitefold.llm.common import arrow_batch, id_texts, texts
 #: Score of an unknown character below the worst piece: fixed value of the unigram model.
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 
 
 class ViterbiCounter:
