@@ -13,6 +13,7 @@ from sitefold.llm import (
     exact_dedup,
     licenses,
     ngram_join,
+    oracle,
     quality,
     secrets,
     substring_dedup,
@@ -100,9 +101,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {
-        "op4_exact_dedup": """
-SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
-    }
+    return oracle.statements()
