@@ -26,7 +26,7 @@ NONE = 2**30
 BLOCK_CHARS = 6_000_000
 MEMO_WORDS = 300_000
 #: White space of Unicode; Python's own class also has four control characters.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(r"(?<=\S) ")
 _ODD_SPACE = re.compile(r"\s ")
 

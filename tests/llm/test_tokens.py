@@ -13,7 +13,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from sitefold.llm import bpe, token_counts as tc, token_output as to
 
 PARTS = ["a", "b", "é", " ", "  ", "\n", "\t", "'s", "'", "²", "中", "\x1c", "　", "\xa0", "!!", "12", "ing", "the",
-         "aaaa", "́", "😀", "\x85", "AAA", " a", "İ", "Σ", "<|endoftext|>", "§", "word.", "x,y", "▁"]
+         "aaaa", "́", "😀", "\x85", "AAA", " a", "İ", "Σ", "\u2003", "\u1680", "\u2028", "\u200b", "<|endoftext|>", "§", "word.", "x,y", "▁"]
 
 
 def random_texts(n, seed=3):
