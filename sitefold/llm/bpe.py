@@ -3,7 +3,7 @@
 Each task gathers the distinct words of a block of its texts and encodes them together:
 an inverted index leads from a merge to the positions where it applies, all merges are
 applied in rank order to all words at once, and only the pairs next to a merge are looked
-at again. Words seen before come from a bounded memo. Texts never leave their partition.
+at again. Words seen before come from a memo of bounded size. Texts never leave their partition.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -23,8 +22,8 @@ from sitefold.llm.common import arrow_batch, id_texts, texts
 
 NONE = 2**30
 #: Characters of text gathered before their new words are encoded, and words remembered.
-BLOCK_CHARS = 6_000_000
-MEMO_WORDS = 300_000
+BLOCK_CHARS = 4_000_000
+MEMO_WORDS = 200_000
 #: White space of Unicode; Python's own class also has four control characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(r"(?<=\S) ")
@@ -200,21 +199,10 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_coders: dict[tuple[int, str], MergeReplay] = {}
-
-
-def _coder(ranks_file: bytes, pattern: str) -> MergeReplay:
-    """The coder of this worker process; its memo serves later tasks too."""
-    key = (zlib.crc32(ranks_file), pattern)
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = MergeReplay(read_ranks(ranks_file), pattern)
-    return _coders[key]
-
-
 def _encoded(ranks_file, pattern: str):
     def run(batches):
-        coder = _coder(ranks_file.value, pattern)
+        # a coder for each task: its memo goes with it, as the worker process serves other steps
+        coder = MergeReplay(read_ranks(ranks_file.value), pattern)
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
         block, size = [], 0
 
