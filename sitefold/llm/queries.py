@@ -71,7 +71,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), whole_texts=True)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,3 +146,41 @@ def test_ftrl_learns_a_separable_problem():
     q.ftrl(rows, z, n)
     w = q.weights(z, n)
     assert w[2] > 1 and w[1] < -1 and not w[3:].any()
+
+
+def test_passages_of_51_words_go_wherever_they_begin_and_end(make_docs):
+    rng = random.Random(5)
+
+    def own(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    docs, want = [], {}
+    for n_words in (50, 51, 60, 90):
+        for cuts in ((), (20,), (15, 35)):  # the passage lies in one, two and three sentences
+            for whole in (False, True):  # ends inside sentences or at their ends
+                passage = own(n_words)
+                for at in cuts:
+                    passage[at] += "."
+                if whole:
+                    passage[-1] += "."
+                for later in (False, True):
+                    head, tail = own(30), own(30)
+                    if whole:
+                        head[-1] += "."
+                    docs.append((len(docs), " ".join(head + passage + tail) + "."))
+                    gone = later and (n_words > 50 or whole and cuts)
+                    # ends at the ends of sentences, or the run of words is long enough
+                    kept = head + ([] if gone else passage) + tail
+                    want[docs[-1][0]] = " ".join(kept) + "."
+    found = {r["doc_id"]: r["text"] for r in sd.substring_dedup(make_docs(docs)).collect()}
+    # a passage of 50 words with one whole sentence inside is no span
+    assert found == want
+
+
+def test_whole_short_texts_are_spans(make_docs):
+    long = " ".join(f"w{k}" for k in range(51)) + "."
+    docs = [(1, "One short text."), (2, "one  short text."), (3, "One short text. And more."), (4, ""), (5, " "),
+            (6, "A first. " + long), (7, long), (8, "A first."), (9, "Another. " + long + " Last.")]
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in sd.substring_dedup(make_docs(docs), whole_texts=True).collect()}
+    assert found == {1: (docs[0][1], 0), 2: ("", 1), 3: (docs[2][1], 0), 4: ("", 0), 5: (" ", 0), 6: (docs[5][1], 0),
+                     7: ("", 1), 8: ("A first.", 0), 9: ("Another. Last.", 1)}
