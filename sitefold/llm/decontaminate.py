@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced seeds.
 
-A mask of eight word positions ignores two of them, so windows that differ by a
-substituted word still share a hash under one of the masks. The hashes of all windows of
+A mask of eight word positions ignores two of them, so windows that differ by one or two
+substituted words still share a hash under one of the masks. The hashes of all windows of
 the training texts are joined to those of the benchmark, and around each hit the words
 are compared one by one, mismatches allowed.
 
@@ -19,8 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 from sitefold.llm.common import WordHashes, arrow_batch, combine, id_texts, texts, word_hashes
 from sitefold.session import drop_rows, materialize
 
-#: Fixed masks over eight words. Each single position, and each pair five apart, is ignored by one.
-MASKS = ("01111011", "10111101", "11011110", "11100111")
+#: Fixed masks over eight words. Each single position, and each pair five apart, is ignored by one of the
+#: first four; with the fifth, any two words of a run of 13 may differ, with all of them any two of 10 to 12.
+MASKS = (
+    "01111011", "10111101", "11011110", "11100111", "01011111",
+    "00111111", "10111011", "11011011", "11101011", "11110011",
+)
+#: Masks that runs of ``MIN_WORDS`` need; the rest serve shorter items only.
+LONG_MASKS = 5
 SPAN = 8
 #: An overlap is a run of so many words (or a whole shorter item) of which so many are equal.
 MIN_WORDS, MIN_EQUAL = 13, 0.8
@@ -30,25 +36,30 @@ FILTER_BITS = 25
 _BITMAP = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
-def windows(words: np.ndarray):
-    """``(mask number, hashes of all windows)`` for each mask."""
+def windows(words: np.ndarray, masks=range(len(MASKS))):
+    """``(mask number, hashes of all windows)`` for each of the masks of these numbers."""
     last = len(words) - SPAN + 1
     if last < 1:
         return
-    for k, mask in enumerate(MASKS):
-        kept = [words[p : p + last] for p in range(SPAN) if mask[p] == "1"]
+    for k in masks:
+        kept = [words[p : p + last] for p in range(SPAN) if MASKS[k][p] == "1"]
         yield k, combine(kept) ^ np.uint64(k)
 
 
-def _item_windows(batches):
-    memo = WordHashes()
-    schema = pa.schema([("item_id", pa.int64()), ("mask", pa.int32()), ("at", pa.int32()), ("hash", pa.int64())])
-    for rows in id_texts(batches):
-        out = []
-        for item_id, text in rows:
-            for k, found in windows(word_hashes(text, memo)):
-                out += [(item_id, k, at, h) for at, h in enumerate(found.astype(np.int64).tolist())]
-        yield arrow_batch(schema, list(zip(*out)) if out else [[], [], [], []])
+def _item_windows(min_words: int):
+    def run(batches):
+        memo = WordHashes()
+        schema = pa.schema([("item_id", pa.int64()), ("mask", pa.int32()), ("at", pa.int32()), ("hash", pa.int64())])
+        for rows in id_texts(batches):
+            out = []
+            for item_id, text in rows:
+                words = word_hashes(text, memo)
+                masks = range(LONG_MASKS if min(min_words, len(words)) >= MIN_WORDS else len(MASKS))
+                for k, found in windows(words, masks):
+                    out += [(item_id, k, at, h) for at, h in enumerate(found.astype(np.int64).tolist())]
+            yield arrow_batch(schema, list(zip(*out)) if out else [[], [], [], []])
+
+    return run
 
 
 def _words(batches):
@@ -60,7 +71,7 @@ def _words(batches):
         )
 
 
-def _regions(bit_filter):
+def _regions(bit_filter, used: list[int]):
     def run(batches):
         memo, bits = WordHashes(), bit_filter.value
         schema = pa.schema(
@@ -72,7 +83,7 @@ def _regions(bit_filter):
             for doc_id, text in rows:
                 words = word_hashes(text, memo)
                 places, masks, hashes = [], [], []
-                for k, found in windows(words):
+                for k, found in windows(words, used):
                     bit = found >> np.uint64(64 - FILTER_BITS)
                     byte = bits[(bit >> np.uint64(3)).astype(np.int64)]
                     at = np.flatnonzero((byte >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
@@ -165,12 +176,13 @@ def overlaps(
     """
     items = texts(benchmark, "item_id").filter("doc_id is not null")
     hashes = materialize(
-        items.mapInArrow(_item_windows, "item_id long, mask int, at int, hash long"), "item-windows"
+        items.mapInArrow(_item_windows(min_words), "item_id long, mask int, at int, hash long"), "item-windows"
     )
+    used = sorted(hashes.agg(F.collect_set("mask")).first()[0])
     item_words = items.mapInArrow(_words, "item_id long, item_words binary").dropDuplicates()
     regions = materialize(
         texts(docs).filter("doc_id is not null").mapInArrow(
-            _regions(_bit_filter(hashes)),
+            _regions(_bit_filter(hashes), used),
             "doc_id long, start long, words binary, hits array<struct<mask:int,at:int,hash:long>>",
         ),
         "regions",

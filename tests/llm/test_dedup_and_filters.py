@@ -184,3 +184,17 @@ def test_whole_short_texts_are_spans(make_docs):
     found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in sd.substring_dedup(make_docs(docs), whole_texts=True).collect()}
     assert found == {1: (docs[0][1], 0), 2: ("", 1), 3: (docs[2][1], 0), 4: ("", 0), 5: (" ", 0), 6: (docs[5][1], 0),
                      7: ("", 1), 8: ("A first.", 0), 9: ("Another. Last.", 1)}
+
+
+def test_any_two_words_of_an_item_may_differ(spark, make_docs):
+    items = {n: [f"i{n}_{k}" for k in range(n)] for n in (8, 9, 10, 11, 12, 13)}
+    docs, want = [], {}
+    for n, words in items.items():
+        for a in range(n):
+            for b in range(a, n):
+                text = [w if k not in (a, b) else "other" for k, w in enumerate(words)]
+                docs.append((len(docs), " ".join(["before", *text, "after"])))
+                want[docs[-1][0]] = n >= 10 or a == b
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    found = {r["doc_id"]: r["contaminated"] for r in dc.decontaminate(make_docs(docs), bench).collect()}
+    assert found == want
