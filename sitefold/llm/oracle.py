@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitefold.llm import licenses, secrets
+from sitefold.llm import collocations, licenses, secrets, vector_codes
 
 
 def _q(value: str) -> str:
@@ -97,9 +97,94 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN a USING (doc_id)"""
 
 
+def vector_code_rounds(dimension: int = 64) -> str:
+    """Every part against every entry, in each round; codebooks by position of the part."""
+    parts, width = vector_codes.PARTS, dimension // vector_codes.PARTS
+    at = range(width)
+    cols = ", ".join(f"v{k}" for k in at)
+    gap = " + ".join(f"(x.v{k} - b.v{k}) * (x.v{k} - b.v{k})" for k in at)
+
+    def near(book: str) -> str:  # distance and index in one number: ties go to the lower index
+        return f"""SELECT x.vec_id, x.label, x.p, {", ".join(f"any_value(x.v{k}) AS v{k}" for k in at)},
+  min(({gap}) * 256 + b.e) AS best FROM x JOIN {book} b ON x.p = b.p GROUP BY x.vec_id, x.label, x.p"""
+
+    def mean(k: int) -> str:  # floor(sum / count), the sum may be negative
+        return f"((sum(v{k}) - ((sum(v{k}) % count(*)) + count(*)) % count(*)) // count(*))::bigint AS v{k}"
+
+    steps = ""
+    for n in range(vector_codes.ROUNDS):
+        steps += f"""
+a{n} AS MATERIALIZED ({near(f"b{n}")}),
+m{n} AS (SELECT p, best % 256 AS e, {", ".join(map(mean, at))} FROM a{n} GROUP BY ALL),
+b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, {", ".join(f"coalesce(m.v{k}, b.v{k}) AS v{k}" for k in at)}
+  FROM b{n} b LEFT JOIN m{n} m ON b.p = m.p AND b.e = m.e),"""
+    last = f"b{vector_codes.ROUNDS}"
+    listed = " || ',' || ".join(f"v{k}" for k in at)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: floor({vector_codes.SCALE} * v::double)::bigint) AS c
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, label, p, {", ".join(f"c[p * {width} + {k + 1}] AS v{k}" for k in at)}
+  FROM kept, (SELECT unnest(range({parts})) AS p)),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, {cols}
+  FROM x WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {vector_codes.ENTRIES})),{steps}
+z AS ({near(last)}),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256) AS error
+      FROM z GROUP BY vec_id, label)
+SELECT vec_id, code, error::bigint AS error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error,
+       (SELECT sha256(string_agg({listed}, ',' ORDER BY p, e)) FROM {last}) AS codebooks_sha256
+FROM r"""
+
+
+def phrase_mining() -> str:
+    """All phrases counted, then cut, compared with longer ones and ranked."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    longest, least = collocations.MOST_WORDS, collocations.LEAST_COUNT
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {n} AS words, unnest(list_transform(range(1, len(ws) - {n - 2}), "
+        f"lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS phrase FROM w WHERE len(ws) >= {n}"
+        for n in range(1, longest + 1)
+    )
+    cuts = " UNION ALL ".join(
+        f"SELECT lang, words, phrase, n AS a, {k} AS cut, array_to_string(string_split(phrase, ' ')[1:{k}], ' ') AS p1, "
+        f"array_to_string(string_split(phrase, ' ')[{k + 1}:words], ' ') AS p2 FROM f WHERE words > {k}"
+        for k in range(1, longest)
+    )
+    inner = " UNION ALL ".join(
+        f"SELECT lang, n, array_to_string(string_split(phrase, ' ')[{at}:{at + size - 1}], ' ') AS phrase "
+        f"FROM f WHERE words >= {at + size - 1} AND words > {size}"
+        for size in range(2, longest) for at in range(1, longest - size + 2)
+    )
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{collocations.NO_LANG}') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+g AS ({grams}),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= {least}),
+c AS ({cuts}),
+s AS (SELECT c.lang, c.words, c.phrase, a, cut, x.n AS l, y.n AS r,
+             (1000000::hugeint * a * a) // (x.n::hugeint * y.n) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = p1 JOIN f y ON y.lang = c.lang AND y.phrase = p2),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase, max(n) AS longer FROM ({inner}) GROUP BY ALL),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+      WHERE longer IS NULL OR 100 * longer < {collocations.COVERED} * a)
+SELECT k.lang, rank, phrase, a, l, r, t.n::bigint AS n, score::bigint AS score
+FROM k JOIN (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang) t ON t.lang = k.lang
+WHERE rank <= {collocations.TOP}"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op3_secret_scan": secret_scan(),
         "op4_exact_dedup": EXACT_DEDUP,
         "op9_license_scan": license_scan(),
+        "op11_vector_codes": vector_code_rounds(),
+        "op12_collocations": phrase_mining(),
     }

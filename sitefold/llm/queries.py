@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitefold.llm import (
     bpe,
+    collocations,
     decontaminate,
     exact_dedup,
     licenses,
@@ -19,6 +20,8 @@ from sitefold.llm import (
     substring_dedup,
     token_counts,
     token_output,
+    vector_codes,
+    vector_links,
 )
 
 
@@ -82,6 +85,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.vector_links(_table(spark, sf_dir, "embeddings"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -96,6 +111,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_substring_dedup,
             op9_license_scan,
             op10_quality_classifier,
+            op11_vector_codes,
+            op12_collocations,
+            op13_embedding_links,
         )
     }
 
