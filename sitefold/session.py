@@ -74,15 +74,34 @@ def scratch_run(spark: SparkSession):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of one Arrow batch on its way to a Python worker; batches of wide rows at the
+#: default size are held by JVM and worker at once and cost an executor hundreds of MB.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Used where several later steps read the same rows and recomputing them would
     parse HTML again. A written table survives lost executors, cuts the lineage,
-    and is read back with only the columns each step needs.
+    and is read back with only the columns each step needs. Python steps get small Arrow
+    batches meanwhile.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _settings(df.sparkSession, ARROW_BATCH):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
