@@ -47,13 +47,13 @@ COVERED = 50
 SAMPLE = 8
 LEAST_BITS, MOST_BITS = 20, 27
 #: Bytes of text that are counted at a time.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 3_000_000
 _BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-_KIND = np.zeros(256, np.uint8)  # 0: of a word, 1: blank, 2: break
-_KIND[list(BLANKS)] = 1
-_KIND[list(BREAKS)] = 2
+#: Kind of every byte: 0 of a word, 1 a blank, 2 a break.
+_KIND = bytes(2 if b in BREAKS else 1 if b in BLANKS else 0 for b in range(256))
+_LOWER = bytes(range(256)).lower()
 
 
 class HashFilter:
@@ -103,35 +103,30 @@ class Grams:
     """
 
     def __init__(self, langs: pa.Array, texts: pa.Array):
-        lower = pc.ascii_lower(texts)
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lower)], pa.int32()), lower), "\n")
-        raw = np.frombuffer(joined[0].as_buffer(), np.uint8)
-        kind = _KIND[raw]
-        edge = np.diff(np.concatenate(([1], np.minimum(kind, 1), [1])).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        # pieces by number: words of one piece have the same number of breaks before them
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else np.empty(0, np.int32)
-        lengths = pc.binary_length(lower).to_numpy(zero_copy_only=False).astype(np.int64)
-        text_ends = np.cumsum(lengths + 1)
+        one = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+        raw = pc.binary_join(one, "\n")[0].as_buffer().to_pybytes()
+        kind = np.frombuffer(raw.translate(_KIND), np.uint8)
+        within = np.concatenate(([False], kind == 0, [False]))
+        edges = np.flatnonzero(within[1:] != within[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        # words of one piece have the same number of breaks before them
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
+        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        text_of = np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
         lang_codes = langs.dictionary_encode()
         self.langs = lang_codes.dictionary.to_pylist()
-        text_of = np.searchsorted(text_ends, starts, side="right")
         lang_of = lang_codes.indices.to_numpy(zero_copy_only=False)[text_of].astype(np.int64)
         # the words without what lies between them, as a string array over one buffer
         offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
         words = pa.StringArray.from_buffers(
-            len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[kind == 0]))
+            len(starts), pa.py_buffer(offsets), pa.py_buffer(raw.translate(_LOWER, BREAKS + BLANKS))
         ).dictionary_encode()
         self.words = words.dictionary
         self.word_of = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         size = max(1, len(self.words))
-        token, self.first, self.ids = np.unique(
-            lang_of * size + self.word_of, return_index=True, return_inverse=True
-        )
+        token, self.first, self.ids = _numbered(lang_of * size + self.word_of)
         self.lang_of = (token // size)[self.ids] if len(token) else self.ids
-        word_hash = np.fromiter(
-            (xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()), np.uint64, len(self.words)
-        )
+        word_hash = _text_hashes(self.words)
         lang_hash = np.array([xxhash.xxh3_64_intdigest(v, seed=1) for v in self.langs], np.uint64)
         self.tokens = len(token)
         self.n = 1
@@ -153,9 +148,7 @@ class Grams:
         whole = self.piece[: -self.n] == self.piece[self.n :]
         at = np.flatnonzero(good[:-1] & good[1:] & whole)
         last = self.token_ids[at + self.n]
-        pair, first, number = np.unique(
-            self.ids[at] * max(1, self.tokens) + last, return_index=True, return_inverse=True
-        )
+        pair, first, number = _numbered(self.ids[at] * max(1, self.tokens) + last)
         grown = _mixed(self.hash[pair // max(1, self.tokens)], self.token_hash[pair % max(1, self.tokens)])
         self.ids = np.full(max(0, len(self.ids) - 1), -1, np.int64)
         self.ids[at] = number
@@ -171,6 +164,28 @@ class Grams:
         return langs, parts[0] if self.n == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
+def _text_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit polynomials of the bytes of words that are not empty."""
+    if not len(words):
+        return np.empty(0, np.uint64)
+    ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.concatenate(([0], ends[:-1]))
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    data = np.frombuffer(pc.binary_join(one, "")[0].as_buffer(), np.uint8).astype(np.uint64)
+    sizes = ends - starts
+    powers = np.cumprod(np.full(sizes.max(), _MIX, np.uint64))
+    places = np.arange(len(data)) - np.repeat(starts, sizes)
+    return np.add.reduceat((data + np.uint64(1)) * powers[places], starts)
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, a place of each, and the number of each value among them."""
+    distinct, numbers = np.unique(values, return_inverse=True)
+    place = np.empty(len(distinct), np.int64)
+    place[numbers] = np.arange(len(values))
+    return distinct, place, numbers
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Order-dependent hash of two arrays of hashes."""
     out = (a * _MIX) ^ (a >> np.uint64(29))
