@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -48,6 +50,7 @@ _EMAIL_LINEAR = (
 )
 
 _NO_STRINGS = "array<string>"
+_NO_LEADERS = "array<struct<name:string,role:string,linkedin_url:string>>"
 
 
 def bound(value: Column, fn) -> Column:
@@ -153,32 +156,35 @@ def role_name_pattern(compat: bool = False) -> str:
     return rf"({ROLES_BEFORE_NAME}){WS}*{dash}{WS}*([A-Z][a-z]+{WS}+[A-Z][a-z]+)"
 
 
-def _leaders(text: Column, pattern: str, name_group: int, role_group: int,
+def _leaders(text: Column, pattern: str, roles: str, name_group: int, role_group: int,
              compat: bool, cap: int) -> Column:
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(name_group)).alias("name"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(role_group)).alias("role"),
-    )
+    """One pass over ``text`` for the whole matches; their groups come from the short matches.
+
+    A match holds nothing that depends on the text around it, so the pattern finds the same
+    groups in it. A text without any role word is not searched.
+    """
     leaders = F.transform(
-        pairs,
-        lambda p: F.struct(
-            strip(p["name"]).alias("name"),
-            strip(p["role"]).alias("role"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda match: F.struct(
+            strip(F.regexp_extract(match, pattern, name_group)).alias("name"),
+            strip(F.regexp_extract(match, pattern, role_group)).alias("role"),
             F.lit(None).cast("string").alias("linkedin_url"),
         ),
     )
     # The reference counts repeats against the cap; by default each leader counts once.
-    return F.slice(leaders if compat else F.array_distinct(leaders), 1, cap)
+    found = F.slice(leaders if compat else F.array_distinct(leaders), 1, cap)
+    has_role = reduce(or_, [F.contains(text, F.lit(role)) for role in roles.split("|")])
+    return F.when(has_role.isNull() | has_role, found).otherwise(F.array().cast(_NO_LEADERS))
 
 
 def leaders_name_role(text: Column, compat: bool = False, cap: int = 3) -> Column:
     """Leaders written as "First Last, Role"."""
-    return _leaders(text, name_role_pattern(compat), 1, 2, compat, cap)
+    return _leaders(text, name_role_pattern(compat), ROLES_AFTER_NAME, 1, 2, compat, cap)
 
 
 def leaders_role_name(text: Column, compat: bool = False, cap: int = 3) -> Column:
     """Leaders written as "Role: First Last"."""
-    return _leaders(text, role_name_pattern(compat), 2, 1, compat, cap)
+    return _leaders(text, role_name_pattern(compat), ROLES_BEFORE_NAME, 2, 1, compat, cap)
 
 
 def leaders(text: Column, compat: bool = False, cap: int = 3) -> Column:

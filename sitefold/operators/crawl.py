@@ -2,8 +2,8 @@
 
 The crawl is two joins against the ``pages`` table, first for the home pages, then
 for the pages they link to, both on ids. Page HTML, by far the largest column, is never
-shuffled: pages are picked where they lie, see :func:`sitefold.session.pick_rows`, and
-parsed there.
+shuffled: pages are picked where they lie, see :mod:`sitefold.sources.layout`, and parsed
+there.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.functions import text, urls
-from sitefold.operators.html import scan_contacts
-from sitefold.session import left_join_salted, materialize, pick_rows
+from sitefold.operators.html import parse_html, scan_contacts
+from sitefold.session import left_join_salted, materialize
+from sitefold.sources.layout import PageTable, StoredPages
 
 # --- fixed values -----------------------------------------------------------
 MAX_SUBPAGES = 4
@@ -36,41 +37,28 @@ def start_urls(seeds: DataFrame) -> DataFrame:
     )
 
 
-def page_index(pages: DataFrame) -> DataFrame:
-    """``(page_key, page_id)``: the page that stands for each canonical URL.
-
-    Of several copies the smallest id that was served without an error, else the smallest.
-    Copies of one URL may be a large share of ``pages``. They are told apart here on
-    narrow columns, combined before the shuffle, and never meet in one task.
-    """
-    served = F.when(F.col("status_code") < 400, F.col("page_id"))
-    return (
-        pages.select(
-            urls.page_key(urls.canonical_url(F.col("url"))).alias("page_key"), "page_id", "status_code"
-        )
-        .groupBy("page_key")
-        .agg(F.coalesce(F.min(served), F.min("page_id")).alias("page_id"))
-    )
-
-
 def read_pages(
-    pages: DataFrame, denied=text.DENIED_SUFFIXES, max_chars: int | None = None
+    pages: DataFrame, denied=text.DENIED_SUFFIXES, max_chars: int | None = None, contents: bool = True
 ) -> DataFrame:
     """Parsed content by ``page_id``; a map over ``pages`` that drops the HTML.
 
     ``max_chars`` cuts the text where later characters cannot reach a context of that
-    length. Contacts and links come from the whole page.
+    length. Contacts and links come from the whole page. Without ``contents`` only status,
+    links and error are kept.
     """
-    parsed = scan_contacts(pages.select("page_id", "status_code", "html"), denied=denied)
+    wanted = pages.select("page_id", "status_code", "html")
+    parsed = scan_contacts(wanted, denied=denied) if contents else parse_html(wanted)
     broken = F.col("parse_error").isNotNull()
+    markdown = F.col("markdown") if max_chars is None else F.left("markdown", F.lit(max_chars))
+    content = (
+        F.when(broken, failure_text(F.col("parse_error"))).otherwise(markdown).alias("markdown"),
+        "emails",
+        "linkedin_urls",
+    )
     return parsed.select(
         "page_id",
         F.when(broken, F.lit(500)).otherwise(F.col("status_code")).cast("int").alias("status_code"),
-        F.when(broken, failure_text(F.col("parse_error")))
-        .otherwise(F.col("markdown") if max_chars is None else F.left("markdown", F.lit(max_chars)))
-        .alias("markdown"),
-        "emails",
-        "linkedin_urls",
+        *(content if contents else ()),
         F.col("parse_error").alias("error"),
         "hrefs",
     )
@@ -80,45 +68,51 @@ def failure_text(error: Column) -> Column:
     return F.concat(F.lit(FAILED_PAGE), error, F.lit(FALLBACK_ERROR), error)
 
 
-def _fill_missing(rows: DataFrame) -> DataFrame:
+def _fill_missing(rows: DataFrame, contents: bool) -> DataFrame:
     """A page that is not in the table is still a row: status 500 and an error."""
     missing = F.col("status_code").isNull()
     none = text.empty_strings()
+    content = (
+        F.when(missing, failure_text(F.lit(NOT_FOUND))).otherwise(F.col("markdown")).alias("markdown"),
+        F.coalesce("emails", none).alias("emails"),
+        F.coalesce("linkedin_urls", none).alias("linkedin_urls"),
+    ) if contents else ()
     return rows.select(
         "domain",
         "start_url",
         F.col("page_no").cast("bigint").alias("page_no"),
         "url",
         F.coalesce("status_code", F.lit(500)).alias("status_code"),
-        F.when(missing, failure_text(F.lit(NOT_FOUND))).otherwise(F.col("markdown")).alias("markdown"),
-        F.coalesce("emails", none).alias("emails"),
-        F.coalesce("linkedin_urls", none).alias("linkedin_urls"),
+        *content,
         F.when(missing, F.lit(NOT_FOUND)).otherwise(F.col("error")).alias("error"),
     )
 
 
 def crawl(
     seeds: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | PageTable | StoredPages,
     max_subpages: int = MAX_SUBPAGES,
     denied=text.DENIED_SUFFIXES,
     max_chars: int | None = None,
+    contents: bool = True,
 ) -> DataFrame:
     """Page rows of every distinct seed: home (``page_no`` 0), then its sub-pages.
 
-    ``pages`` has a unique ``page_id``, ``url``, ``html`` and maybe ``status_code``. A
-    missing home page has no links, hence no sub-pages. At most
-    ``max_subpages + 1`` rows per seed come out, so grouping them later is safe.
-    ``max_chars`` cuts page texts, see :func:`read_pages`. Tables are written while this
-    is called: the page index, the parsed pages, the requested URLs and their ids.
+    ``pages`` is a table with a unique ``page_id``, ``url``, ``html`` and maybe
+    ``status_code``, or a stored layout. A missing home page has no links, hence no
+    sub-pages. At most ``max_subpages + 1`` rows per seed come out, so grouping them later
+    is safe. ``max_chars`` cuts page texts and ``contents`` leaves them out, see
+    :func:`read_pages`. Tables are written while this is called: the page index, the parsed
+    pages, the requested URLs and their ids.
     """
-    known = F.col("status_code") if "status_code" in pages.columns else F.lit(None)
-    pages = pages.select("page_id", "url", "html", F.coalesce(known, F.lit(200)).alias("status_code"))
+    source = PageTable(pages) if isinstance(pages, DataFrame) else pages
     starts = start_urls(seeds)
-    index = materialize(page_index(pages), "page-index")
-    home_ids = index.join(starts.select("page_key").distinct(), "page_key", "left_semi")
+    index = materialize(source.index(), "page-index")
+    home_ids = materialize(
+        index.join(starts.select("page_key").distinct(), "page_key", "left_semi"), "home-ids"
+    )
     home_pages = materialize(
-        read_pages(pick_rows(pages, home_ids, "page_id"), denied, max_chars), "home-pages"
+        read_pages(source.pick(home_ids), denied, max_chars, contents), "home-pages"
     )
     home_links = home_pages.select("page_id", "hrefs").join(home_ids, "page_id")
     # Seeds that differ only in their query string share one home page.
@@ -149,11 +143,12 @@ def crawl(
     frontier = materialize(left_join_salted(requested, index, "page_key", spread_by="domain"), "frontier")
     more_ids = (
         frontier.filter(F.col("page_id").isNotNull())
-        .select("page_id")
+        .select(*source.id_columns)
         .distinct()
         .join(home_pages.select("page_id"), "page_id", "left_anti")
     )
-    more_pages = read_pages(pick_rows(pages, more_ids, "page_id"), denied, max_chars).drop("hrefs")
+    more_ids = materialize(more_ids, "more-ids")
+    more_pages = read_pages(source.pick(more_ids), denied, max_chars, contents).drop("hrefs")
     more_pages = materialize(more_pages, "more-pages").join(more_ids, "page_id", "left_semi")
-    contents = home_pages.drop("hrefs").unionByName(more_pages)
-    return _fill_missing(left_join_salted(frontier, contents, "page_id", spread_by="domain"))
+    parsed = home_pages.drop("hrefs").unionByName(more_pages)
+    return _fill_missing(left_join_salted(frontier, parsed, "page_id", spread_by="domain"), contents)

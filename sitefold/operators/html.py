@@ -11,7 +11,6 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +32,8 @@ VOID_TAGS = frozenset((
 ))
 # ----------------------------------------------------------------------------
 
+#: Marks before a line inside quotes; without a bound nested quotes cost their depth squared.
+MOST_QUOTES = 64
 _BLOCKS = frozenset(("p", "div"))
 _HEADINGS = {f"h{n}": "#" * n + " " for n in range(1, 7)}
 _CODE = frozenset(("code", "kbd", "tt"))
@@ -42,7 +43,7 @@ _LIST_LIKE = re.compile(r"(?m)^(\s*)(\d+(?=\.\s)|(?=\+\s|-[\s-]))")
 _BRACKETS = re.compile(r"([\\\[\]()])")
 
 # Well-formed markup, which most pages are made of: text, end tag, start tag,
-# comment, doctype. Anything else sends the page to the tolerant parser.
+# comment, doctype. Anything else sends the page to the tolerant scanner.
 _NAME = r"[a-zA-Z][a-zA-Z0-9:-]*"
 _ATTR = r"""[a-zA-Z_:@][\w:.@-]*(?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`]*[^\s"'<>=`/](?=[\s>])))?"""
 _TOKEN = re.compile(
@@ -52,10 +53,25 @@ _TOKEN = re.compile(
 )
 _ATTRS = re.compile(r"""([a-zA-Z_:@][\w:.@-]*)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+)))?""", re.ASCII)
 _RAW_TEXT = frozenset(("script", "style"))
-# elements whose content some versions of the tolerant parser read as plain text
-_TEXT_ONLY = frozenset((
-    "title", "textarea", "iframe", "noembed", "noframes", "xmp", "plaintext", "noscript",
-))
+
+# What the tolerant scanner takes for the parts of a tag. An attribute begins after white
+# space, a slash or a quote; an open quote that is never closed is not a value.
+_TAG_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />\x00]*")
+_SPACE_OR_SLASH = re.compile(r"[\s/]*")
+_INNER_SPACE = re.compile(r"(?:\s|/(?!>))*")
+_LOOSE_ATTR = re.compile(
+    r"""(?<=['"\s/])([^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?(?:\s|/(?!>))*"""
+)
+_SECTION_NAME = re.compile(r"[a-zA-Z][-_.a-zA-Z0-9]*")
+_END_TAG = re.compile(r"</\s*([a-zA-Z][-.a-zA-Z0-9:_]*)\s*>")
+_CLOSERS = {
+    "comment": re.compile(r"--\s*>"),
+    "section": re.compile(r"\]\s*\]\s*>"),
+    "condition": re.compile(r"\]\s*>"),
+}
+_SECTIONS = dict.fromkeys(("temp", "cdata", "ignore", "include", "rcdata"), "section") | dict.fromkeys(
+    ("if", "else", "endif"), "condition"
+)
 
 
 def _escape(value: str) -> str:
@@ -72,11 +88,155 @@ def _attributes(tag: str, attr_text: str) -> dict[str, str]:
     }
 
 
-class PageReader(HTMLParser):
+class LooseScanner:
+    """Tags and text of markup of any form, in time in proportion to its length.
+
+    What is not closed is text, from its "<" to the next ">" or, where none follows, to the next
+    "<". Finding out that something is not closed may take a look at all that
+    follows, and a page may be full of such openings. So what a look has found is kept: from
+    where on no ">" and no end of a comment or section follows, and at which places within
+    a start tag the rest of the page does not close it. No place is looked at twice.
+    """
+
+    def __init__(self, html: str, reader: "PageReader"):
+        self.html, self.reader = html, reader
+        self.last_end = html.rfind(">")
+        self.unclosed = dict.fromkeys(_CLOSERS, len(html) + 1)  # from there on there is no such end
+        self.dead: set[int] = set()
+        self.run = 0, 0  # the last run of characters of tag names
+
+    def name_stop(self, at: int) -> int:
+        """Where the tag name that begins at ``at`` stops; a run may hold many openings."""
+        if not self.run[0] <= at < self.run[1]:
+            self.run = at, _TAG_NAME.match(self.html, at).end()
+        return self.run[1]
+
+    def next_end(self, at: int) -> int:
+        return self.html.find(">", at) if at <= self.last_end else -1
+
+    def closer(self, kind: str, at: int) -> int:
+        """Where the first end of this kind after ``at`` stops, or -1."""
+        if at >= self.unclosed[kind]:
+            return -1
+        found = _CLOSERS[kind].search(self.html, at)
+        if found is None:
+            self.unclosed[kind] = at
+            return -1
+        return found.end()
+
+    def read(self) -> None:
+        html, size, at = self.html, len(self.html), 0
+        while at < size:
+            opening = html.find("<", at)
+            if opening < 0:
+                opening = size
+            if at < opening:
+                self.reader.handle_data(unescape(html[at:opening]))
+            if opening == size:
+                return
+            at = opening
+            after = self.markup(at)
+            if after is None:  # raw text to the end of the page
+                return
+            if after < 0:
+                after = self.next_end(at + 1) + 1 or html.find("<", at + 1)
+                if after < 0:
+                    after = at + 1
+                self.reader.handle_data(unescape(html[at:after]))
+            at = after
+
+    def markup(self, at: int) -> int | None:
+        """Where the markup that begins at ``at`` stops, -1 if it is not closed."""
+        html = self.html
+        second = html[at + 1 : at + 2]
+        if second.isascii() and second.isalpha():
+            return self.start_tag(at)
+        if second == "/":
+            return self.end_tag(at)
+        if second == "?":
+            return self.next_end(at + 2) + 1 or -1
+        if second == "!":
+            if html.startswith("<!--", at):
+                return self.closer("comment", at + 4)
+            if html.startswith("<![", at):
+                name = _SECTION_NAME.match(html, at + 3)
+                kind = name and _SECTIONS.get(name[0].lower())
+                if kind:
+                    return self.closer(kind, at + 3)
+            return self.next_end(at + 2) + 1 or -1
+        self.reader.handle_data("<")
+        return at + 1
+
+    def end_tag(self, at: int) -> int:
+        if self.next_end(at + 1) < 0:
+            return -1
+        plain = _END_TAG.match(self.html, at)
+        if plain:
+            self.reader.handle_endtag(plain[1].lower())
+            return plain.end()
+        name = _TAG_NAME.match(self.html, at + 2)
+        if name:
+            self.reader.handle_endtag(name[0].lower())
+            return self.next_end(name.end()) + 1
+        return self.next_end(at + 2) + 1
+
+    def tag_stop(self, at: int) -> int:
+        """Where the start tag stops: after its ">", or before what cannot be part of a tag."""
+        html, seen = self.html, []
+        place = self.name_stop(at + 1)
+        if place not in self.dead:
+            seen.append(place)
+            place = _SPACE_OR_SLASH.match(html, place).end()
+        while place not in self.dead:
+            seen.append(place)
+            attr = _LOOSE_ATTR.match(html, place)
+            if attr is None:
+                following = html[place : place + 1]
+                if following == ">":
+                    return place + 1
+                if following == "/" and html.startswith("/>", place):
+                    return place + 2
+                if following and not (following.isascii() and following.isalpha() or following in "=/"):
+                    return place
+                break
+            place = attr.end()
+        self.dead.update(seen)
+        return -1
+
+    def start_tag(self, at: int) -> int | None:
+        html, stop = self.html, self.tag_stop(at)
+        if stop < 0:
+            return -1
+        name_stop = self.name_stop(at + 1)
+        attrs, place = {}, _INNER_SPACE.match(html, name_stop).end()
+        while place < stop:
+            attr = _LOOSE_ATTR.match(html, place)
+            if attr is None:
+                break
+            value = attr[3] if attr[2] else ""
+            if value[:1] in ("'", '"') and value[:1] == value[-1:]:
+                value = value[1:-1]
+            attrs[attr[1].lower()] = unescape(value)
+            place = attr.end()
+        end = html[place:stop].strip()
+        if end not in (">", "/>"):
+            self.reader.handle_data(html[at:stop])
+            return stop
+        tag = html[at + 1 : name_stop].lower()
+        self.reader.open(tag, attrs)
+        if end == "/>":
+            if tag not in VOID_TAGS:
+                self.reader.pop()
+        elif tag in _RAW_TEXT:
+            raw = re.compile(rf"</\s*{tag}\s*>", re.I).search(html, stop)
+            return raw and raw.start()
+        return stop
+
+
+class PageReader:
     """One pass over a page: an open-element stack that feeds a Markdown writer."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.hrefs: list[str] = []
         self.stack: list[tuple[str, bool]] = []
         self.open_tags: Counter[str] = Counter()
@@ -94,14 +254,6 @@ class PageReader(HTMLParser):
         self.cells = 0
 
     # -- tree ---------------------------------------------------------------
-    def handle_starttag(self, tag, attrs):
-        self.open(tag, {k: v or "" for k, v in attrs})
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS:
-            self.pop()
-
     def open(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "a" and "href" in attrs:
             self.hrefs.append(attrs["href"])
@@ -133,7 +285,6 @@ class PageReader(HTMLParser):
         return tag
 
     def finish(self) -> str:
-        self.close()  # text the tolerant parser still holds back
         while self.stack:
             self.pop()
         return "".join(self.out)
@@ -165,10 +316,6 @@ class PageReader(HTMLParser):
                     if end is None:
                         return False
                     pos = end.start()
-                elif tag in _TEXT_ONLY:
-                    end = html.find("<", pos)
-                    if html[end + 1 : end + 2 + len(tag)].lower() != "/" + tag:
-                        return False
         return True
 
     # -- Markdown -----------------------------------------------------------
@@ -194,7 +341,7 @@ class PageReader(HTMLParser):
     def put(self, data: str) -> None:
         if not data:
             return
-        prefix = ">" * self.quotes + " " * bool(self.quotes)
+        prefix = ">" * min(self.quotes, MOST_QUOTES) + " " * bool(self.quotes)
         if self.pre and prefix:
             data = data.replace("\n", "\n" + prefix)
         if self.fresh:
@@ -319,7 +466,7 @@ def read_page(html: str | None) -> tuple[str, list[str], str | None]:
     try:
         if not reader.read_well_formed(html):
             reader = PageReader()
-            reader.feed(html)
+            LooseScanner(html, reader).read()
         return reader.finish(), reader.hrefs, None
     except Exception as err:  # one bad page must not end the job
         return "", [], f"{type(err).__name__}: {err}"

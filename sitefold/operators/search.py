@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitefold.functions import text
 from sitefold.operators.leads import needs_search
-from sitefold.session import left_join_salted
+from sitefold.session import left_join_salted, materialize, pick_rows
 
 # --- fixed values -----------------------------------------------------------
 PERSON_HITS = 2
@@ -66,14 +66,25 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
     """First ``k`` hits per query.
 
     Repeated rows count once; different hits of one rank all count, in the order of
-    their URL, title and body. Repeats are combined before the shuffle, and Spark applies
-    the row limit before the second one too, so no task sees more than ``k`` rows of a
-    query per partition.
+    their URL, title and body. Titles and bodies stay where they are until the hits that
+    can be among the first are known: rank, URL and a hash of the row are made distinct and
+    limited first, before and after the shuffle. Only rows with such a hash are then moved and
+    put in order. Hits of one query that share rank and URL with its k-th all take part.
     """
     columns = ["query", "rank", "href", "title", "body"]
-    once = hits.select(*columns).distinct()
-    order = Window.partitionBy("query").orderBy(*columns[1:])
-    return once.withColumn("hit_no", F.row_number().over(order)).filter(F.col("hit_no") <= k)
+    row = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+    marked = hits.select(*columns, row.alias("_hit"))
+    by_query = Window.partitionBy("query")
+    near = (
+        marked.select("query", "rank", "href", "_hit")
+        .distinct()
+        .withColumn("_at", F.rank().over(by_query.orderBy("rank", "href")))
+        .filter(F.col("_at") <= k)
+    )
+    chosen = materialize(near.select("_hit").distinct(), "chosen-hits")
+    first = pick_rows(marked, chosen, "_hit").join(chosen, "_hit", "left_semi").select(*columns).distinct()
+    order = by_query.orderBy(*columns[1:])
+    return first.withColumn("hit_no", F.row_number().over(order)).filter(F.col("hit_no") <= k)
 
 
 def hit_url() -> Column:

@@ -15,7 +15,7 @@ from sitefold.operators import costs, crawl, html, leads, responses, search, sit
 from sitefold.plans.enrich import enrich, extract
 from sitefold.plans.fixtures import Inputs
 from sitefold.session import materialize, scratch_path
-from sitefold.sources import sinks, tables
+from sitefold.sources import layout, sinks, tables
 
 # example.com is on the default list, and all addresses in ``documents`` are there
 DOCUMENT_DENIED = tuple(s for s in text.DENIED_SUFFIXES if s != "example.com")
@@ -101,6 +101,14 @@ def seed_domains(i: Inputs) -> DataFrame:
     return tables.seed_table(i.seeds(), "domain", "seed_no")
 
 
+def seed_files(i: Inputs) -> DataFrame:
+    """The seeds written to several text files and read back in their order."""
+    path = scratch_path(i.spark, "seed-files")
+    ordered = i.seeds().repartitionByRange(5, "seed_no").sortWithinPartitions("seed_no")
+    ordered.select("domain").write.text(path)
+    return tables.seed_file(i.spark, path)
+
+
 def _stored(i: Inputs, df: DataFrame, loader: Callable, fmt: str = "parquet") -> DataFrame:
     """``df`` written and read back through a scan with a declared schema."""
     path = scratch_path(i.spark, f"stored-{fmt}")
@@ -120,16 +128,24 @@ def sink_json_roundtrip(i: Inputs) -> DataFrame:
     return _flat(sinks.read_json(i.spark, path))
 
 
-def sink_csv_roundtrip(i: Inputs) -> DataFrame:
+def _csv_roundtrip(i: Inputs, by_line: bool) -> DataFrame:
     path = scratch_path(i.spark, "csv")
-    sinks.write_report(_records(i), path)
-    back = sinks.read_report(i.spark, path)
+    sinks.write_report(_records(i), path, by_line)
+    back = sinks.read_report(i.spark, path, by_line)
     # CSV has one empty value: an absent list and an empty one both read as ""
     return back.withColumn("key_leadership", F.coalesce("key_leadership", F.lit(""))).withColumn(
         "contact_points", F.coalesce("contact_points", F.lit(""))
     )
 
 
+def sink_csv_roundtrip(i: Inputs) -> DataFrame:
+    return _csv_roundtrip(i, by_line=False)
+
+
+def sink_csv_lines_roundtrip(i: Inputs) -> DataFrame:
+    return _csv_roundtrip(i, by_line=True)
+
+
 def report_flat(i: Inputs) -> DataFrame:
     return leads.report(_records(i))
 
@@ -363,7 +379,15 @@ def cost_by_model(i: Inputs) -> DataFrame:
 
 
 def crawl_frontier(i: Inputs) -> DataFrame:
-    return crawl.crawl(i.seeds(), i.site_pages()).select(
+    return crawl.crawl(i.seeds(), i.site_pages(), contents=False).select(
+        "domain", "page_no", "url", _big("status_code"), "error"
+    )
+
+
+def crawl_stored_pages(i: Inputs) -> DataFrame:
+    """The same frontier from a stored layout of the pages."""
+    stored = layout.write_pages(i.site_pages(), scratch_path(i.spark, "page-layout"))
+    return crawl.crawl(i.seeds(), stored, contents=False).select(
         "domain", "page_no", "url", _big("status_code"), "error"
     )
 
@@ -372,7 +396,7 @@ def crawl_given_pages(i: Inputs) -> DataFrame:
     """Every raw page as the home page of a seed of its own."""
     pages = tables.pages(i.spark, f"{i.sf_dir}/pages.parquet")
     seeds = tables.seed_table(pages, "url", "page_id")
-    return crawl.crawl(seeds, pages).select(
+    return crawl.crawl(seeds, pages, contents=False).select(
         "domain", "page_no", "url", _big("status_code"), "error"
     )
 
@@ -583,9 +607,11 @@ def _enrich_query(with_responses: bool, compat: bool) -> Callable[[Inputs], Data
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "seed_domains": seed_domains,
+    "seed_files": seed_files,
     "pages_scan": pages_scan,
     "sink_json_roundtrip": sink_json_roundtrip,
     "sink_csv_roundtrip": sink_csv_roundtrip,
+    "sink_csv_lines_roundtrip": sink_csv_lines_roundtrip,
     "url_normalize": url_normalize,
     "url_clean_domain": url_clean_domain,
     "company_name_from_domain": company_name_from_domain,
@@ -619,6 +645,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "kb_anti": kb_anti,
     "cost_by_model": cost_by_model,
     "crawl_frontier": crawl_frontier,
+    "crawl_stored_pages": crawl_stored_pages,
     "crawl_given_pages": crawl_given_pages,
     "leader_url_override": leader_url_override,
     "leader_search_fill": leader_search_fill,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from sitefold.functions import scores, text, urls
 from sitefold.operators import costs, crawl, leads, responses as resp, search, sites
-from sitefold.session import left_join_salted, materialize
+from sitefold.session import fingerprint, left_join_salted, materialize, resumable_run
+from sitefold.sources.layout import PageTable, StoredPages
 
 
 def extract(
@@ -31,7 +35,7 @@ def extract(
 
 def enrich(
     seeds: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | PageTable | StoredPages,
     kb: DataFrame,
     prices: DataFrame,
     search_results: DataFrame,
@@ -41,6 +45,8 @@ def enrich(
     max_chars: int = sites.CONTEXT_CHARS,
     denied=text.DENIED_SUFFIXES,
     compat: bool = False,
+    resume: str | None = None,
+    versions: dict[str, str] | None = None,
 ) -> DataFrame:
     """One record per seed, repeats included, in the shape of ``schemas.LEAD``
     plus ``seed_no``, ``home_status``, ``provider`` and ``error``.
@@ -51,7 +57,46 @@ def enrich(
     call it inside :func:`sitefold.session.scratch_run` to have the tables deleted once
     the records are written. Page text moves twice only, cut to ``max_chars``: to the seed
     that asked for it, and into its context.
+
+    ``pages`` may be a stored layout, see :mod:`sitefold.sources.layout`. With ``resume``, a
+    folder that all executors share, the tables are kept there, and a call with the same
+    inputs and parameters goes on after the last complete one. Inputs are told apart by
+    their contents, which costs a scan of each, or by ``versions``: a text for the name of an
+    input that changes whenever the input does.
     """
+    options = {"max_subpages": max_subpages, "max_chars": max_chars, "denied": denied, "compat": compat}
+    inputs = (seeds, pages, kb, prices, search_results, responses)
+    if resume is None:
+        return _records(*inputs, **options)
+    with resumable_run(seeds.sparkSession, resume, run_key(inputs, options, versions or {})):
+        return _records(*inputs, **options)
+
+
+INPUTS = ("seeds", "pages", "kb", "prices", "search_results", "responses")
+
+
+def run_key(inputs: tuple, options: dict, versions: dict[str, str]) -> str:
+    """One text for all inputs and parameters of a run."""
+
+    def told(name: str, table) -> str | None:
+        if name in versions:
+            return "version " + versions[name]
+        if isinstance(table, StoredPages):  # written once, so its index tells
+            return f"{table.path} {fingerprint(table.index())}"
+        if isinstance(table, PageTable):
+            table = table.rows
+        return table if table is None else fingerprint(table)
+
+    unknown = set(versions) - set(INPUTS)
+    if unknown:
+        raise ValueError(f"no such input: {sorted(unknown)}")
+    key = {"inputs": [told(n, t) for n, t in zip(INPUTS, inputs)], "options": options}
+    return hashlib.sha256(json.dumps(key).encode()).hexdigest()[:32]
+
+
+def _records(
+    seeds, pages, kb, prices, search_results, responses, *, max_subpages, max_chars, denied, compat
+) -> DataFrame:
     page_rows = crawl.crawl(seeds, pages, max_subpages, denied, max_chars)
     profiles = sites.site_profiles(page_rows, max_chars, include_failed=compat)
     found = extract(profiles, kb, prices, responses, compat)

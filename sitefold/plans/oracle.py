@@ -506,11 +506,17 @@ def statements() -> dict[str, str]:
     cut = truncate("text", 12000)
     title_name = strip("split_part(split_part(title, '-', 1), '|', 1)")
     clean = "lower(split_part(replace(replace(domain, 'https://', ''), 'http://', ''), '/', 1))"
+    frontier = _with(
+        fx("fx_site_pages"), SITE, BODY, CRAWLED_ROWS,
+        body="SELECT domain, CAST(page_no AS BIGINT) AS page_no, url, CAST(status_code AS BIGINT) AS status_code, error FROM page_rows",
+    )
     return {
         "seed_domains": _fx("fx_seeds", "SELECT seed_no, domain FROM fx_seeds"),
+        "seed_files": _fx("fx_seeds", "SELECT row_number() OVER (ORDER BY seed_no) - 1 AS seed_no, domain FROM fx_seeds"),
         "pages_scan": "SELECT page_id, url, length(html) AS html_chars FROM pages",
         "sink_json_roundtrip": _with(*_records(), body=f"SELECT {_FLAT} FROM record"),
         "sink_csv_roundtrip": _with(*_records(), body=f"SELECT {_REPORT} FROM record"),
+        "sink_csv_lines_roundtrip": _with(*_records(), body=f"SELECT {_REPORT} FROM record"),
         "report_flat": _with(*_records(), body=f"SELECT {_REPORT} FROM record"),
         "completeness_score": _with(*_records(), body="SELECT domain, data_confidence_score FROM record"),
         "url_normalize": _fx(
@@ -617,10 +623,8 @@ def statements() -> dict[str, str]:
         "call_cost": _calls("SELECT call_id, CAST(cost AS DOUBLE) AS cost FROM priced"),
         "cost_totals": _calls(f"SELECT {_TOTALS} FROM priced"),
         "cost_totals_by_model": _calls(f"SELECT lower(model) AS model, {_TOTALS} FROM priced GROUP BY 1"),
-        "crawl_frontier": _with(
-            fx("fx_site_pages"), SITE, BODY, CRAWLED_ROWS,
-            body="SELECT domain, CAST(page_no AS BIGINT) AS page_no, url, CAST(status_code AS BIGINT) AS status_code, error FROM page_rows",
-        ),
+        "crawl_frontier": frontier,
+        "crawl_stored_pages": frontier,
         "crawl_given_pages": (
             "SELECT url AS domain, CAST(0 AS BIGINT) AS page_no, url, CAST(200 AS BIGINT) AS status_code, "
             "CAST(NULL AS VARCHAR) AS error FROM pages"

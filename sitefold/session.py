@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
+import json
 import tempfile
 import uuid
 
@@ -17,6 +19,8 @@ DEFAULTS = {
     # Large shuffles are not affected, their partitions are far above this.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wanted ids are given to page scans as lists, see sources/layout.py
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
     # the page job turns one batch of HTML into Python strings at a time
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
@@ -97,70 +101,192 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Used where several later steps read the same rows and recomputing them would
     parse HTML again. A written table survives lost executors, cuts the lineage,
     and is read back with only the columns each step needs. Python steps get small Arrow
-    batches meanwhile.
+    batches meanwhile. Inside :func:`resumable_run` the table is a stage of the run.
     """
+    if _resumable:
+        return _resumable[-1].stage(df, name)
     path = scratch_path(df.sparkSession, name)
     with _settings(df.sparkSession, ARROW_BATCH):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-FILTER_BITS = 25
-_BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
+def fingerprint(df: DataFrame) -> str:
+    """Digest of the schema and of all rows, whatever their order; one scan, no shuffle of rows."""
+    parts = [F.col(c) for c in df.columns] + [F.col(c).isNull() for c in df.columns]
+    totals = df.agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64(*parts)).alias("x"),
+        F.sum(F.xxhash64(F.lit(1), *parts).cast("decimal(38,0)")).alias("s"),
+    ).first()
+    text = json.dumps([df.schema.jsonValue(), totals["n"], totals["x"], str(totals["s"])])
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _mark_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+class Run:
+    """The written tables of one run: ``<root>/<key>/<place>-<name>`` and an entry beside each.
+
+    An entry is made, by renaming, when its table is complete: stage, key, schema and path.
+    A table without one is what a lost driver left behind; it is written anew.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str):
+        self.spark, self.key, self.path = spark, key, f"{root.rstrip('/')}/{key}"
+        self.place, self.taken_up = 0, []
+
+    def _file(self, path: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        file = hadoop.Path(path)
+        return file.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), file
+
+    def entry(self, path: str) -> dict | None:
+        fs, file = self._file(f"{path}.json")
+        if not fs.exists(file):
+            return None
+        stream = fs.open(file)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def commit(self, path: str, entry: dict) -> None:
+        fs, new = self._file(f"{path}.json.new")
+        stream = fs.create(new, True)
+        stream.write(bytearray(json.dumps(entry), "utf-8"))
+        stream.close()
+        if not fs.rename(new, self._file(f"{path}.json")[1]):
+            raise OSError(f"cannot commit {path}")
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.place += 1
+        path = f"{self.path}/{self.place:02d}-{name}"
+        entry = {"stage": name, "key": self.key, "path": path, "schema": df.schema.json()}
+        if self.entry(path) == entry:
+            self.taken_up.append(name)
+        else:
+            with _settings(self.spark, ARROW_BATCH):
+                df.write.mode("overwrite").parquet(path)
+            fs, old = self._file(f"{path}.json")
+            fs.delete(old, False)
+            self.commit(path, entry)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+_resumable: list[Run] = []
+
+
+@contextlib.contextmanager
+def resumable_run(spark: SparkSession, root: str, key: str):
+    """Tables written inside the block are kept under ``root`` and taken up by a later run.
+
+    ``key`` has to tell all inputs and parameters, see :func:`fingerprint`; another key is
+    another run. The steps inside must write the same tables in the same order every time.
+    One run of a key may be active. Delete ``<root>/<key>`` when its result is not needed.
+    """
+    run = Run(spark, root, key)
+    _resumable.append(run)
+    try:
+        yield run
+    finally:
+        _resumable.remove(run)
+
+
+# A blocked Bloom filter: an id sets PROBES bits of one block, and a block is one bitmap.
+BLOCK_BITS = 32768  # bits of one bitmap of bitmap_construct_agg, 4 KB
+PROBES = 3
+#: 16 bits for each id let one in 200 others pass, 12 bits one in 90.
+BITS_PER_ID, LEAST_BITS_PER_ID = 16, 12
+#: 64 MB, the most that is broadcast.
+MOST_BLOCKS = 1 << 14
+MOST_FILTERED_IDS = MOST_BLOCKS * BLOCK_BITS // LEAST_BITS_PER_ID
+
+
+def filter_blocks(ids: int, most_blocks: int = MOST_BLOCKS) -> int | None:
+    """Blocks of a filter for so many ids, a power of two; None if it would be too large."""
+    if ids * LEAST_BITS_PER_ID > most_blocks * BLOCK_BITS:
+        return None
+    wanted = max(2, -(-ids * BITS_PER_ID // BLOCK_BITS))
+    return min(most_blocks, 1 << (wanted - 1).bit_length())
+
+
+def _mark_rows(df: DataFrame, ids: DataFrame, key: str, blocks: int) -> DataFrame:
     """``df`` with ``_maybe``: false only where ``key`` is certainly not in ``ids``.
 
-    The hashed ids are bits of a filter of fixed size (4 MB), so broadcasting it is safe
-    whatever their number.
+    One hash of the id gives its block (the upper bits) and its bits there (15 each from
+    below), so a row looks up one bitmap, in a broadcast join on the block.
     """
 
-    def bit(value: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(value), 64 - FILTER_BITS)
+    def block(value: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(value), 64 - blocks.bit_length() + 1).cast("int")
 
-    def part(b: Column) -> Column:
-        return F.shiftright(b, 15).cast("int")
+    def bits(value: Column) -> list[Column]:
+        hashed = F.xxhash64(value)
+        return [F.shiftrightunsigned(hashed, 15 * k).bitwiseAND(BLOCK_BITS - 1).cast("int") for k in range(PROBES)]
 
-    bits = (
-        ids.select(bit(F.col(key)).alias("b"))
-        .groupBy(part(F.col("b")).alias("_part"))
-        .agg(F.bitmap_construct_agg(F.col("b") % _BITMAP_BITS).alias("_bits"))
+    filled = (
+        ids.select(block(F.col(key)).alias("_block"), F.explode(F.array(*bits(F.col(key)))).alias("_bit"))
+        .groupBy("_block")
+        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     )
-    byte = F.substring(F.col("_bits"), (F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    is_set = F.expr("shiftright(_value, cast(_at & 7 as int)) & 1") == 1
+
+    def is_set(bit: Column) -> Column:
+        byte = F.substring(F.col("_bits"), F.shiftright(bit, 3) + 1, F.lit(1))
+        value = F.conv(F.hex(byte), 16, 10).cast("int")
+        return F.getbit(value, bit.bitwiseAND(7)) == 1
+
+    found = F.lit(True)
+    for bit in bits(F.col(key)):
+        found = found & is_set(bit)
     return (
-        df.withColumn("_at", (bit(F.col(key)) % _BITMAP_BITS).cast("int"))
-        .withColumn("_part", part(bit(F.col(key))))
-        .join(F.broadcast(bits), "_part", "left")
-        .withColumn("_value", value)
-        .select(*df.columns, F.coalesce(is_set, F.lit(False)).alias("_maybe"))
+        df.withColumn("_block", block(F.col(key)))
+        .join(F.broadcast(filled), "_block", "left")
+        .select(*df.columns, F.coalesce(F.col("_bits").isNotNull() & found, F.lit(False)).alias("_maybe"))
     )
 
 
-def pick_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is in ``ids``, and a few more, without a shuffle of ``df``.
+def _blocks_for(ids: DataFrame, key: str, most_blocks: int) -> int | None:
+    # the estimate may be a few percent low, which the bits for each id have room for
+    return filter_blocks(ids.agg(F.approx_count_distinct(key, 0.02)).first()[0], most_blocks)
+
 
-    A row that passes by chance is to fall out in a later join by id, when ``df`` has been
-    reduced to what is needed of it.
+def pick_rows(df: DataFrame, ids: DataFrame, key: str, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``ids``, and at most a few more.
+
+    The ids become a Bloom filter that is sized by their approximate number, so rows are
+    picked where they lie, without a shuffle of ``df``, and about one in 200 others passes by
+    chance. Such a row is to fall out in a later join by id, when ``df`` has been reduced to
+    what is needed of it. ``ids`` is read twice.
+
+    Beyond ``MOST_FILTERED_IDS`` (some 44 million) the filter would outgrow what should be
+    broadcast: then the ids are joined exactly, which shuffles ``df`` once unless it is
+    bucketed by ``key``.
     """
-    return _mark_rows(df, ids, key).filter("_maybe").drop("_maybe")
+    blocks = _blocks_for(ids, key, most_blocks)
+    if blocks is None:
+        return df.join(ids.select(key).distinct().hint("merge"), key, "left_semi").select(*df.columns)
+    return _mark_rows(df, ids, key, blocks).filter("_maybe").drop("_maybe")
 
 
-def drop_rows(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+def drop_rows(df: DataFrame, gone: DataFrame, key: str, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """The rows of ``df`` without a partner in ``gone``, whose columns are all compared.
 
     ``key`` is one of the columns. Rows whose key is certainly not there are passed on
     where they lie; only the others are set against ``gone`` in an exact anti-join. Nulls
-    equal nulls there.
+    equal nulls there. With too many keys for a filter, see :func:`pick_rows`, all rows are.
     """
-    marked = _mark_rows(df, gone, key)
-    sure, maybe = marked.filter("not _maybe").drop("_maybe"), marked.filter("_maybe").drop("_maybe")
     names = gone.columns
     renamed = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in names])
-    same = [maybe[c].eqNullSafe(renamed[f"_gone_{c}"]) for c in names]
-    return sure.union(maybe.join(renamed, same, "left_anti"))
+
+    def rest(rows: DataFrame) -> DataFrame:
+        same = [rows[c].eqNullSafe(renamed[f"_gone_{c}"]) for c in names]
+        return rows.join(renamed, same, "left_anti")
+
+    blocks = _blocks_for(gone, key, most_blocks)
+    if blocks is None:
+        return rest(df)
+    marked = _mark_rows(df, gone, key, blocks)
+    sure, maybe = marked.filter("not _maybe").drop("_maybe"), marked.filter("_maybe").drop("_maybe")
+    return sure.union(rest(maybe))
 
 
 SLICE_ROWS = 50_000

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sitefold import schemas
+from sitefold.session import materialize
 
 
 def seed_list(spark: SparkSession, domains: Iterable[str]) -> DataFrame:
@@ -22,10 +23,28 @@ def seed_table(df: DataFrame, domain_col: str, order_by: str) -> DataFrame:
 
 
 def seed_file(spark: SparkSession, path: str) -> DataFrame:
-    """One domain per line. Line order in one file is the order of ``seed_no``,
-    which is unique but not dense, so no global sort is needed."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("seed_no"), F.col("value").alias("domain")
+    """One domain per line, of a file, a folder or a pattern; ``seed_no`` counts from 0.
+
+    The order is that of the files one after the other by name, however they are split.
+    A line's number is its place in its split plus the lines of all splits before it. Only
+    the counts of splits, one row for some 100 MB, are sorted; the lines are not.
+    """
+    lines = materialize(
+        spark.read.text(path).select(
+            F.col("value").alias("domain"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("place"),  # grows by one within a split
+        ),
+        "seed-lines",
+    )
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(
+        "file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    )
+    return lines.join(starts, ["file", "split"]).select(
+        (F.col("place") + F.col("shift")).alias("seed_no"), "domain"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sitefold import session
 from sitefold.operators import crawl, sites
 from sitefold.session import drop_rows, hot_slices, left_join_salted, pick_rows
-from sitefold.sources import tables
+from sitefold.sources import layout, tables
 
 
 def page(page_id, url, body="", status=200):
@@ -97,6 +97,81 @@ def test_rows_are_dropped_in_place(spark):
     assert drop_rows(df, ids, "id").count() == 2001 and drop_rows(df, ids.limit(0), "id").count() == 3002
 
 
+def test_the_filter_grows_with_the_ids(spark):
+    assert session.filter_blocks(0) == session.filter_blocks(1) == 2
+    assert session.filter_blocks(10**9) is None and session.filter_blocks(40_000_000) == session.MOST_BLOCKS
+    ids = spark.range(0, 10_000_000, 2)  # more than 2**25 / 8
+    others = spark.range(1, 400_001, 2)
+    assert pick_rows(others, ids, "id").count() <= 0.02 * 200_000
+    assert pick_rows(spark.range(0, 400_000, 2), ids, "id").count() == 200_000
+
+
+def test_too_many_ids_for_a_filter_are_joined(spark):
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(50)] + [(None, "n")], "id bigint, t string")
+    ids = spark.createDataFrame([(3,), (3,), (40,), (99,)], "id bigint")
+    picked = pick_rows(df, ids, "id", most_blocks=0)
+    assert sorted(r["id"] for r in picked.collect()) == [3, 40] and picked.columns == df.columns
+    gone = df.filter("id % 2 = 0 OR id IS NULL")
+    assert sorted(r["id"] for r in drop_rows(df, gone, "id", most_blocks=0).collect()) == list(range(1, 50, 2))
+
+
+def leaf_rows(df):
+    """Rows that the scan hands on, after row groups were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    rows = [page(k, f"https://s{k % 500:03}.io/{'' if k < 500 else 'about'}", f'<a href="/about">a</a>{"x" * 500}{k}') for k in range(1000)]
+    rows += [page(2000 + k, "https://s007.io/", "copy", status=200 if k % 2 else 500) for k in range(300)] + [page(7000, None), page(7001, "s1")]
+    pages = make_pages(spark, rows)
+    path = str(tmp_path_factory.mktemp("layout") / "p")
+    return pages, layout.write_pages(pages, path, shards=8, row_group_bytes=4096)
+
+
+def test_a_stored_layout_gives_the_same_crawl(spark, stored):
+    pages, laid_out = stored
+    seeds = tables.seed_list(spark, ["s007.io", "s008.io", "s499.io", "none.io", None, "s008.io"])
+    plain = sorted(map(str, crawl.crawl(seeds, pages).collect()))
+    again = layout.StoredPages(spark, laid_out.path)
+    assert sorted(map(str, crawl.crawl(seeds, again).collect())) == plain and len(plain) > 5
+    narrow = crawl.crawl(seeds, again, contents=False)
+    assert sorted(narrow.columns) == ["domain", "error", "page_no", "start_url", "status_code", "url"]
+    assert narrow.count() == len(plain)
+
+
+def test_a_stored_layout_reads_few_shards_and_row_groups(spark, stored):
+    _, laid_out = stored
+    index = laid_out.index()
+    wanted = index.filter("page_key LIKE '%s007.io%'")
+    picked = laid_out.pick(wanted)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "shard" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "In(page_id" in plan or "EqualTo(page_id" in plan
+    assert {r["page_id"] for r in picked.collect()} == {r["page_id"] for r in wanted.collect()}
+    total = laid_out.rows.count()
+    assert leaf_rows(picked) < total / 4
+    # ids that are in no row group, though between the least and largest of one
+    none = laid_out.rows.filter("page_id = 1500")
+    assert leaf_rows(none) == 0
+
+
+def test_many_wanted_ids_use_the_filter(spark, stored, monkeypatch):
+    _, laid_out = stored
+    monkeypatch.setattr(layout, "PUSHED_IDS", 3)
+    wanted = laid_out.index().limit(200)
+    assert {r["page_id"] for r in wanted.collect()} <= {r["page_id"] for r in laid_out.pick(wanted).collect()}
+    assert laid_out.pick(wanted.limit(0)).count() == 0
+
+
+def test_empty_layout(spark, tmp_path):
+    laid_out = layout.write_pages(make_pages(spark, []), str(tmp_path / "p"))
+    rows = crawl.crawl(tables.seed_list(spark, ["a.io"]), laid_out).collect()
+    assert [(r["status_code"], r["error"]) for r in rows] == [(500, crawl.NOT_FOUND)]
+
+
 def test_host_case_default_port_and_best_copy(spark):
     pages = make_pages(spark, [
         page(1, "https://Up.io", '<a href="/Team">t</a>upper'), page(2, "https://up.io:443/Team", "port"),

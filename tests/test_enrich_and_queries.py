@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import os
 import re
 
 import duckdb
@@ -15,26 +16,84 @@ from sitefold import schemas
 from sitefold.operators import costs
 from sitefold.operators import crawl
 from sitefold.plans import catalog, oracle
-from sitefold.plans.enrich import enrich
+from sitefold.plans.enrich import INPUTS, enrich, run_key
 from sitefold.plans.fixtures import TABLES
-from sitefold.session import scratch_path
+from sitefold.session import fingerprint, scratch_path
 from sitefold.sources import sinks, tables
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def records(spark):
+def small_inputs(spark, body="<p>hi</p>"):
     pages = spark.createDataFrame(
         [(1, "https://acme.io", 200, '<p>Acme builds developer tools, for everyone. It ships every single day to customers.</p>'
           '<p>Ada Stone, CEO</p><a href="/team">t</a> info@acme.io "q"'),
-         (2, "https://acme.io/team", 200, "<p>CTO: Bo Lind</p>"), (3, "https://bare.io", 200, "<p>hi</p>")],
+         (2, "https://acme.io/team", 200, "<p>CTO: Bo Lind</p>"), (3, "https://bare.io", 200, body)],
         schemas.PAGES)
     hits = spark.createDataFrame(
         [('"Ada Stone" "Acme" site:linkedin.com/in', 1, "Ada", "https://linkedin.com/in/ada", "")], schemas.SEARCH_RESULTS)
     kb = spark.createDataFrame([], schemas.KNOWLEDGE_BASE)
     seeds = tables.seed_list(spark, ["acme.io", "gone.io", "acme.io", "bare.io", None])
-    return enrich(seeds, pages, kb, costs.model_prices(spark), hits)
+    return seeds, pages, kb, costs.model_prices(spark), hits
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    return enrich(*small_inputs(spark))
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_a_stopped_run_goes_on(spark, records, tmp_path, monkeypatch):
+    root, written, limit = str(tmp_path / "runs"), [], [2]
+    plain = DataFrameWriter.parquet
+
+    def parquet(self, path, **options):
+        if len(written) == limit[0]:
+            raise Stopped
+        written.append(path)
+        return plain(self, path, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    with pytest.raises(Stopped):
+        enrich(*small_inputs(spark), resume=root)
+    first, limit[0] = list(written), None
+    want = sorted(map(str, records.collect()))
+    assert sorted(map(str, enrich(*small_inputs(spark), resume=root).collect())) == want
+    later = written[len(first):]
+    assert len(first) == 2 and later and not set(first) & set(later)  # the two are taken up
+    done = len(written)
+    assert sorted(map(str, enrich(*small_inputs(spark), resume=root).collect())) == want
+    assert len(written) == done  # nothing is written again
+    os.remove(f"{later[0]}.json")  # a table without its entry is not trusted
+    assert sorted(map(str, enrich(*small_inputs(spark), resume=root).collect())) == want
+    assert written[done:] == later[:1]
+    changed = enrich(*small_inputs(spark, "<p>changed</p>"), resume=root)
+    assert len(written) > done + 5 and changed.count() == len(want)
+    other = len(written)
+    enrich(*small_inputs(spark), resume=root, compat=True)
+    assert len(written) > other + 5
+
+
+def test_fingerprints(spark):
+    rows = [(1, "a", [1.0]), (2, None, None), (2, None, None)]
+    of = lambda r, schema="a int, b string, c array<double>": fingerprint(spark.createDataFrame(r, schema))
+    assert of(rows) == of(rows[::-1])
+    assert len({of(rows), of(rows[:2]), of([]), of(rows, "x int, b string, c array<double>"), of([(None, "a", None)]),
+                of([(1, "a", [2.0]), *rows[1:]])}) == 6
+    swapped = "a string, b string"
+    assert fingerprint(spark.createDataFrame([(None, "v")], swapped)) != fingerprint(spark.createDataFrame([("v", None)], swapped))
+
+
+def test_versions_stand_for_inputs(spark):
+    options = {"compat": False}
+    named = dict.fromkeys(INPUTS, "v1")
+    key = run_key((None,) * 6, options, named)
+    assert key == run_key((object(),) * 6, options, named) != run_key((None,) * 6, options, named | {"kb": "v2"})
+    with pytest.raises(ValueError):
+        run_key((None,) * 6, options, {"page": "v1"})
 
 
 def test_one_record_per_seed(records):
@@ -95,7 +154,45 @@ def test_summary_and_failures(spark, records, tmp_path):
 def test_seed_file(spark, tmp_path):
     (tmp_path / "seeds.txt").write_text("acme.io\n\nacme.io\n")
     rows = tables.seed_file(spark, str(tmp_path / "seeds.txt")).collect()
-    assert [r["domain"] for r in rows] == ["acme.io", "", "acme.io"] and len({r["seed_no"] for r in rows}) == 3
+    assert sorted((r["seed_no"], r["domain"]) for r in rows) == [(0, "acme.io"), (1, ""), (2, "acme.io")]
+
+
+@pytest.mark.parametrize("split", ["128m", "700", "64"])
+def test_seed_files_count_on_from_file_to_file(spark, tmp_path, split):
+    files = {"a.txt": ["a0"], "b.txt": [f"b{k}" for k in range(300)], "c.txt": [], "d.txt": ["", "d1", "d1"], "é f.txt": ["z"] * 40}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("".join(line + "\n" for line in lines), encoding="utf-8")
+    names = sorted(files, key=lambda n: n.encode() if n.isascii() else b"\xff")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = tables.seed_file(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [line for name in names for line in files[name]]
+    assert [r["domain"] for r in sorted(rows, key=lambda r: r["seed_no"])] == want
+    assert sorted(r["seed_no"] for r in rows) == list(range(len(want)))
+
+
+def test_report_lines_are_read_by_several_tasks(spark, records):
+    texts = ['A "b", c\nd', "\\n", "a\\\\\nb\\", "\r\n", "\\\r\\r", '"', ",", "plain" * 50]
+    odd = F.element_at(F.array(*map(F.lit, texts)), (F.col("k") % len(texts) + 1).cast("int"))
+    lead = records.filter("error IS NULL").select(*schemas.LEAD.fieldNames()).limit(1)
+    many = lead.crossJoin(F.broadcast(spark.range(4000).toDF("k"))).withColumn("company_overview", odd)
+    path = scratch_path(spark, "csv-lines")
+    sinks.write_report(many.coalesce(1), path, by_line=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        back = sinks.read_report(spark, path, by_line=True)
+        assert back.rdd.getNumPartitions() > 4
+        found = [r["company_overview"] for r in back.select("company_overview").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(glob.glob(path + "/*.csv")) == 1
+    assert sorted(found) == sorted(texts * (4000 // len(texts)))
+    row = back.filter("company_overview = ','").first()
+    assert row["company_name"] == lead.first()["company_name"] and row["input_tokens"] == lead.first()["cost_metrics"]["input_tokens"]
 
 
 def test_csv_quotes_and_line_ends(spark, records):

@@ -159,6 +159,25 @@ def test_different_hits_of_one_rank_all_count(spark):
     assert [x["name"] for x in got["leaders"]] == ["Ada Stone", "Bo Lind"]
 
 
+def test_bodies_move_only_for_the_first_hits(spark):
+    rows = [(f"q{k % 40}", k // 40, f"t{k}", f"h{k}", "body" * 50) for k in range(4000)]
+    hits = spark.createDataFrame(rows, schemas.SEARCH_RESULTS).repartition(6)
+    seen = []
+    chosen = search.materialize
+    search.materialize = lambda df, name: seen.append(df) or chosen(df, name)
+    try:
+        top = search.top_hits(hits, 3)
+    finally:
+        search.materialize = chosen
+    first = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert first.count("body") and "Aggregate [query" in first
+    for line in first.split("\n"):  # above the hash there is no body
+        if "Aggregate" in line or "Window" in line:
+            assert "body" not in line
+    got = sorted((r["query"], r["hit_no"], r["href"]) for r in top.collect())
+    assert got == sorted((f"q{q}", n + 1, f"h{n * 40 + q}") for q in range(40) for n in range(3))
+
+
 def test_repeated_leaders_are_filled_each(spark):
     got = fill(spark, [("a", "Acme", [leader("Ada Stone"), leader("Ada Stone")])],
                [hit(person("Ada Stone"), 1, "https://linkedin.com/in/x")])["a"]

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sitefold.functions import text
 
 # fixed values
@@ -132,6 +134,16 @@ def test_leaders_strict_and_compat(column):
     ]
 
 
+def test_leaders_search_a_text_once_for_each_form(spark, column):
+    df = spark.createDataFrame([("Ada Stone, CEO",), (None,)], "context string")
+    found = df.select(text.leaders(F.col("context")).alias("l"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract_all\(context", plan)) == 2
+    assert "Contains(context" in plan or "Contains(" in plan
+    assert found.collect()[1]["l"] is None
+    assert column(["no one here", "CEO", ""], text.leaders) == [[], [], []]
+
+
 def test_leaders_keep_repeats_across_forms(column):
     got = _pairs(column(["Ada Stone, CEO: Ada Stone"], text.leaders))
     assert got == [[("Ada Stone", "CEO"), ("Ada Stone", "CEO")]]
