@@ -123,6 +123,40 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def _file(spark: SparkSession, path: str):
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), file
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, file = _file(spark, path)
+    return fs.exists(file)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any store that Spark knows; None if there is none."""
+    if not exists(spark, path):
+        return None
+    fs, file = _file(spark, path)
+    stream = fs.open(file)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside and renames it, so that it is there whole or not at all."""
+    fs, new = _file(spark, f"{path}.new")
+    stream = fs.create(new, True)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    file = _file(spark, path)[1]
+    fs.delete(file, False)
+    if not fs.rename(new, file):
+        raise OSError(f"cannot write {path}")
+
+
 class Run:
     """The written tables of one run: ``<root>/<key>/<place>-<name>`` and an entry beside each.
 
@@ -134,28 +168,9 @@ class Run:
         self.spark, self.key, self.path = spark, key, f"{root.rstrip('/')}/{key}"
         self.place, self.taken_up = 0, []
 
-    def _file(self, path: str):
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        file = hadoop.Path(path)
-        return file.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), file
-
     def entry(self, path: str) -> dict | None:
-        fs, file = self._file(f"{path}.json")
-        if not fs.exists(file):
-            return None
-        stream = fs.open(file)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def commit(self, path: str, entry: dict) -> None:
-        fs, new = self._file(f"{path}.json.new")
-        stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps(entry), "utf-8"))
-        stream.close()
-        if not fs.rename(new, self._file(f"{path}.json")[1]):
-            raise OSError(f"cannot commit {path}")
+        text = read_text(self.spark, f"{path}.json")
+        return text and json.loads(text)
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         self.place += 1
@@ -166,9 +181,7 @@ class Run:
         else:
             with _settings(self.spark, ARROW_BATCH):
                 df.write.mode("overwrite").parquet(path)
-            fs, old = self._file(f"{path}.json")
-            fs.delete(old, False)
-            self.commit(path, entry)
+            write_text(self.spark, f"{path}.json", json.dumps(entry))
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -267,6 +280,18 @@ def pick_rows(df: DataFrame, ids: DataFrame, key: str, most_blocks: int = MOST_B
     return _mark_rows(df, ids, key, blocks).filter("_maybe").drop("_maybe")
 
 
+def split_rows(
+    df: DataFrame, ids: DataFrame, key: str, most_blocks: int = MOST_BLOCKS
+) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that :func:`pick_rows` picks, and the others, whose ``key`` is certainly not in
+    ``ids``. With too many ids for a filter all rows are picked and the others are None."""
+    blocks = _blocks_for(ids, key, most_blocks)
+    if blocks is None:
+        return df, None
+    marked = _mark_rows(df, ids, key, blocks)
+    return marked.filter("_maybe").drop("_maybe"), marked.filter("not _maybe").drop("_maybe")
+
+
 def drop_rows(df: DataFrame, gone: DataFrame, key: str, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """The rows of ``df`` without a partner in ``gone``, whose columns are all compared.
 
@@ -281,12 +306,8 @@ def drop_rows(df: DataFrame, gone: DataFrame, key: str, most_blocks: int = MOST_
         same = [rows[c].eqNullSafe(renamed[f"_gone_{c}"]) for c in names]
         return rows.join(renamed, same, "left_anti")
 
-    blocks = _blocks_for(gone, key, most_blocks)
-    if blocks is None:
-        return rest(df)
-    marked = _mark_rows(df, gone, key, blocks)
-    sure, maybe = marked.filter("not _maybe").drop("_maybe"), marked.filter("_maybe").drop("_maybe")
-    return sure.union(rest(maybe))
+    maybe, sure = split_rows(df, gone, key, most_blocks)
+    return rest(maybe) if sure is None else sure.union(rest(maybe))
 
 
 SLICE_ROWS = 50_000
