@@ -10,7 +10,7 @@ from __future__ import annotations
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitefold.session import drop_rows, materialize, scratch_path
+from sitefold.session import drop_rows, exists, materialize, read_text, scratch_path, write_text
 
 _SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
@@ -22,10 +22,23 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """Digests seen so far, in a folder that all executors share."""
+    """Digests seen so far, in a folder that all executors share.
+
+    ``buckets`` is the number for a new folder. It is kept there, and an existing folder is
+    read with its own number: with another one its files would be taken for other buckets.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        path = self.path
+        kept = read_text(spark, f"{path}/_buckets")
+        if kept is None:
+            if exists(spark, path) and not self.plain_entries().isEmpty():
+                raise ValueError(f"{path} holds digests but not their number of buckets")
+            write_text(spark, f"{path}/_buckets", str(buckets))
+        else:
+            buckets = int(kept)
+        self.buckets = buckets
         self.table = f"digest_index_{xxhash.xxh3_64_hexdigest(path)}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({_SCHEMA}) USING parquet "

@@ -1,5 +1,6 @@
 """Exact and substring deduplication, decontamination and the classifier."""
 
+import os
 import random
 import re
 import zlib
@@ -48,6 +49,27 @@ def test_drop_copies_leaves_one_row(spark, make_docs):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(2, "x"), (4, ""), (5, "y"), (5, "z")]
 
 
+@pytest.mark.parametrize("buckets", [2, 4, 16])
+def test_index_keeps_its_number_of_buckets(spark, make_docs, buckets):
+    path = scratch_path(spark, "index")
+    docs = [(k, f"text {k % 300}") for k in range(1000)]
+    index = ed.DigestIndex(spark, path, 4)
+    want = sorted(map(tuple, ed.exact_dedup(make_docs(docs), index).collect()))
+    spark.sql(f"DROP TABLE {index.table}")  # a new session with other settings
+    again = ed.DigestIndex(spark, path, buckets)
+    assert again.buckets == 4
+    assert sorted(map(tuple, ed.exact_dedup(make_docs(docs), again).collect())) == want
+    assert again.entries().count() == 300
+
+
+def test_index_without_its_number_of_buckets_is_refused(spark, make_docs):
+    path = scratch_path(spark, "index")
+    ed.exact_dedup(make_docs([(1, "x")]), ed.DigestIndex(spark, path, 4)).collect()
+    os.remove(f"{path}/_buckets")
+    with pytest.raises(ValueError):
+        ed.DigestIndex(spark, path, 4)
+
+
 def brute_clean(docs, size=sd.SPAN):
     seen, cleaned = {}, {}
     for doc_id, text in sorted(docs):
@@ -76,6 +98,53 @@ def test_substring_dedup_matches_brute_force(make_docs):
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in found} == brute_clean(docs)
 
 
+def brute_registered(docs, size=sd.SPAN, least=sd.LEAST_WORDS):
+    """Sentence spans of enough words, whole short texts and runs of words, by plain loops."""
+    seen, cleaned = {}, {}
+    for doc_id, text in sorted(docs):
+        parts = sd.sentences(text)
+        words = [p.lower().split() for p in parts]
+        starts = [sum(map(len, words[:k])) for k in range(len(parts) + 1)]
+        spans = [(k, k + 1, ("s", tuple(words[k]))) for k in range(len(parts)) if len(words[k]) >= sd.RUN]
+        if len(parts) < size and any(words):
+            spans.append((0, len(parts), ("s", *map(tuple, words))))
+        else:
+            spans += [(k, k + size, ("s", *map(tuple, words[k : k + size]))) for k in range(len(parts) - size + 1)
+                      if starts[k + size] - starts[k] >= least]
+        flat = [w for p in words for w in p]
+        places = [(starts[a], starts[b], key) for a, b, key in spans]
+        places += [(k, k + sd.RUN, ("w", *flat[k : k + sd.RUN])) for k in range(len(flat) - sd.RUN + 1)]
+        drop = [False] * len(flat)
+        for a, b, key in places:
+            first = seen.setdefault(key, (doc_id, a))
+            if first != (doc_id, a):
+                drop[a:b] = [True] * (b - a)
+        tokens = [m for m in re.finditer(r"\S+\s*", text)]
+        kept = (text[: tokens[0].start()] if tokens and not drop[0] else "") + "".join(t[0] for t, d in zip(tokens, drop) if not d)
+        cleaned[doc_id] = (kept if any(drop) else text, sum(drop))
+    return cleaned
+
+
+def test_the_registered_form_matches_brute_force(make_docs):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    short = [" ".join(rng.sample(words, rng.randint(1, 9))) + "." for _ in range(30)]
+    passages = [" ".join(rng.sample(words, n)) for n in (30, 50, 51, 52, 80, 120)]
+    docs = []
+    for k in range(160):
+        parts = [rng.choice(short) for _ in range(rng.randint(0, 8))]
+        for _ in range(rng.randint(0, 2)):
+            passage = rng.choice(passages).split()
+            cut = rng.choice([0, 0, 3])
+            parts.insert(rng.randrange(len(parts) + 1), " ".join(rng.sample(words, 3) + passage[cut:]) + rng.choice([".", "", "!"]))
+        docs.append((k, rng.choice([" ", "\n", "  "]).join(parts)))
+    docs += [(200, docs[3][1]), (201, docs[4][1].upper()), (202, "Short one."), (203, "short  one."), (204, "")]
+    found = sd.substring_dedup(make_docs(docs), whole_texts=True, least_words=sd.LEAST_WORDS).collect()
+    want = brute_registered(docs)
+    assert sum(n for _, n in want.values()) > 500
+    assert {r["doc_id"]: (r["text"], r["n_words_removed"]) for r in found} == want
+
+
 def test_sentences_cover_the_text():
     rng = random.Random(3)
     for _ in range(2000):
