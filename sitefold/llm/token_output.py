@@ -171,9 +171,9 @@ class WordEncoder:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         memo = self.memo
-        new = {w for c in cut for w in c if w not in memo}
+        new = [w for w in set().union(*cut) if w not in memo]
         if new:
-            self.learn(list(new))
+            self.learn(new)
         return [b"".join(map(memo.__getitem__, c)) for c in cut]
 
 
