@@ -74,7 +74,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), whole_texts=True)
+    return substring_dedup.substring_dedup(
+        _table(spark, sf_dir, "documents"), whole_texts=True, least_words=substring_dedup.LEAST_WORDS
+    )
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
