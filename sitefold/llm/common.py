@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 WORD = re.compile(r"\w+")
 #: Entries of a worker's word memo; it is emptied when full, so its memory is bounded.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
