@@ -70,16 +70,17 @@ def secret_scan() -> str:
         kinds.append(f"""
   SELECT doc_id, owner, repository, {number} AS kind_no, {_q(kind)} AS kind, k, length(p) AS gap, length(m) AS size,
          CASE WHEN length({value}) >= {least} THEN {value} END AS value
-  FROM (SELECT doc_id, source AS owner, source || '/' || lang AS repository,
+  FROM (SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository,
                unnest(range(len(ms))) AS k, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p
         FROM (SELECT doc_id, source, lang, regexp_extract_all(text, {_q(pattern)}) AS ms,
                      regexp_split_to_array(text, {_q(pattern)}) AS ps FROM documents))""")
     return f"""
 WITH m AS ({" UNION ALL ".join(kinds)}),
 s AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, kind_no ORDER BY k) AS stop FROM m),
-n AS (SELECT lower(value) AS v, count(DISTINCT owner) AS owners FROM m WHERE value IS NOT NULL GROUP BY 1),
-l AS (SELECT s.*, stop - size AS start, owners,
-             owners <= {secrets.MAX_OWNERS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+n AS (SELECT lower(value) AS v, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM m WHERE value IS NOT NULL GROUP BY 1),
+l AS (SELECT s.*, stop - size AS start, owners, repositories,
+             owners > {secrets.MAX_OWNERS} OR repositories > {secrets.MAX_REPOSITORIES} AS copied,
+             NOT copied AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
              AND len(list_distinct(string_split(value, ''))) >= {secrets.LEAST_CHARACTERS} AS live,
              regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AS mixed
       FROM s JOIN n ON lower(value) = v WHERE value IS NOT NULL),
@@ -89,11 +90,13 @@ a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
              string_agg(span, ',' ORDER BY start, kind_no) FILTER (kind_no < {len(secrets.BASE)}) AS base,
              string_agg(span, ',' ORDER BY start, kind_no) AS spans,
              string_agg(span, ',' ORDER BY start, kind_no) FILTER (live) AS live_spans,
-             count(*) FILTER (live) AS n_live, count(*) FILTER (owners > {secrets.MAX_OWNERS}) AS n_example
+             count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_example,
+             max(owners) AS owners, max(repositories) AS repositories
       FROM x GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(live_spans, '') AS live_spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(live_spans, '') AS live_spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+       coalesce(owners, 0) AS owners, coalesce(repositories, 0) AS repositories
 FROM documents LEFT JOIN a USING (doc_id)"""
 
 

@@ -50,6 +50,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "live_spans",
         "n_live",
         "n_example",
+        "owners",
+        "repositories",
     )
 
 

@@ -2,8 +2,8 @@
 
 Patterns find candidates. The value of each candidate is hashed, and for each hash the
 distinct repositories and owners that hold it are counted over the whole corpus: a value
-that many owners share is an example that was copied, one that few hold and that looks
-random may be live. Random-looking strings without any keyword are reported only if the
+that many owners share, or that one owner keeps in many repositories, is an example that
+was copied; one that few hold and that looks random may be live. Random-looking strings without any keyword are reported only if the
 counts say that they are owner-specific.
 """
 
@@ -37,6 +37,8 @@ EXTRA = {
 KINDS = {**BASE, **EXTRA}
 #: A value of more owners than this is a copied example.
 MAX_OWNERS = 2
+#: So is a value of more repositories than this, however few own them.
+MAX_REPOSITORIES = 4
 #: A random-looking value has so many different characters.
 LEAST_CHARACTERS = 8
 
@@ -125,15 +127,18 @@ def scan(
     owner: Column | None = None,
     repository: Column | None = None,
     max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """One row per row of ``docs`` with its secrets.
 
     ``n_assign, n_access, n_hex``: base spans; ``base_spans`` and ``spans``: base and all
     spans as ``kind:start:end``, by start, then kind, joined by commas (code points, end
-    exclusive); ``live_spans``: those whose value at most ``max_owners`` owners hold and
-    that looks random; ``n_live`` and ``n_example`` (values of more owners) count spans.
-    ``owner`` is by default ``source``, ``repository`` source and language. A null owner
-    counts as one owner. Null and empty texts have no spans; rows that repeat are each
+    exclusive); ``live_spans``: those whose value at most ``max_owners`` owners hold in at
+    most ``max_repositories`` repositories and that looks random; ``n_live`` and
+    ``n_example`` (values of more owners or repositories) count spans; ``owners`` and
+    ``repositories``: the most that hold one value of the row (0 without spans). ``owner``
+    is by default ``source``, ``repository`` source and language; repositories of one name
+    and different owners are different. A null owner or repository counts as one. Null and empty texts have no spans; rows that repeat are each
     scanned. An empty table gives no rows; other columns are not read.
     """
     owner = F.col("source") if owner is None else owner
@@ -155,14 +160,15 @@ def scan(
         {c: F.lit(None).cast("long") for c in ("repositories", "owners")}
     )
     marked = with_value.unionByName(without).withColumn(
-        "live", (F.col("owners") <= max_owners) & F.col("random")
+        "copied", (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
     )
+    marked = marked.withColumn("live", ~F.col("copied") & F.col("random"))
     first_extra, opaque = len(BASE), list(KINDS).index("opaque")
     # hex strings and access keys have kinds of their own, so this one has both cases
     shown = F.col("value_hash").isNotNull() & (
         (F.col("kind_no") != opaque) | (F.col("live") & F.col("mixed_case"))
     )
-    span = F.struct("start", "kind_no", "end", "live", "owners")
+    span = F.struct("start", "kind_no", "end", "live", "copied", "owners", "repositories")
     per_row = marked.groupBy("row_no").agg(
         F.first("doc_id").alias("doc_id"),
         # the spans of one text, bounded by its length
@@ -180,5 +186,9 @@ def scan(
         _joined(F.col("found")).alias("spans"),
         _joined(live).alias("live_spans"),
         F.size(live).cast("long").alias("n_live"),
-        F.size(F.filter("found", lambda c: c["owners"] > max_owners)).cast("long").alias("n_example"),
+        F.size(F.filter("found", lambda c: c["copied"])).cast("long").alias("n_example"),
+        *[
+            F.coalesce(F.array_max(F.transform("found", lambda c: c[k])), F.lit(0)).alias(k)
+            for k in ("owners", "repositories")
+        ],
     )
