@@ -3,7 +3,8 @@
 A mask of eight word positions ignores two of them, so windows that differ by one or two
 substituted words still share a hash under one of the masks. The hashes of all windows of
 the training texts are joined to those of the benchmark, and around each hit the words
-are compared one by one, mismatches allowed.
+are compared one by one, mismatches allowed. Items too short for a mask have one window of
+all their words. Items of the same words are one class until their ids are asked for.
 
 A bit filter of fixed size over the benchmark's hashes is tested where the texts lie, so
 only windows that may match are joined. It is exact: what it lets through by chance falls
@@ -37,26 +38,33 @@ _BITMAP = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
 def windows(words: np.ndarray, masks=range(len(MASKS))):
-    """``(mask number, hashes of all windows)`` for each of the masks of these numbers."""
-    last = len(words) - SPAN + 1
-    if last < 1:
-        return
+    """``(mask number, hashes of all windows)`` for each of the masks of these numbers.
+
+    Mask ``-n`` is that of all ``n`` consecutive words; a single word is no window of a longer text.
+    """
     for k in masks:
+        if k < 0:
+            last = len(words) + k + 1
+            if last == 1 or (last > 1 and k < -1):
+                yield k, combine([words[p : p + last] for p in range(-k)]) ^ np.uint64(2**64 + k)
+            continue
+        last = len(words) - SPAN + 1
+        if last < 1:
+            continue
         kept = [words[p : p + last] for p in range(SPAN) if MASKS[k][p] == "1"]
         yield k, combine(kept) ^ np.uint64(k)
 
 
 def _item_windows(min_words: int):
     def run(batches):
-        memo = WordHashes()
-        schema = pa.schema([("item_id", pa.int64()), ("mask", pa.int32()), ("at", pa.int32()), ("hash", pa.int64())])
-        for rows in id_texts(batches):
+        schema = pa.schema([("item_key", pa.int64()), ("mask", pa.int32()), ("at", pa.int32()), ("hash", pa.int64())])
+        for batch in batches:
             out = []
-            for item_id, text in rows:
-                words = word_hashes(text, memo)
+            for item_key, item_words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = np.frombuffer(item_words, "<u8")
                 masks = range(LONG_MASKS if min(min_words, len(words)) >= MIN_WORDS else len(MASKS))
-                for k, found in windows(words, masks):
-                    out += [(item_id, k, at, h) for at, h in enumerate(found.astype(np.int64).tolist())]
+                for k, found in windows(words, masks if len(words) >= SPAN else [-len(words)]):
+                    out += [(item_key, k, at, h) for at, h in enumerate(found.astype(np.int64).tolist())]
             yield arrow_batch(schema, list(zip(*out)) if out else [[], [], [], []])
 
     return run
@@ -114,12 +122,15 @@ def _regions(bit_filter, used: list[int]):
 def overlap(region: np.ndarray, item: np.ndarray, shift: int, min_words: int, min_equal: float) -> int:
     """Equal words of the longest part where ``item`` lies at ``shift`` in ``region`` and enough agree; else 0.
 
-    Agreeing windows of ``min_words`` words (or of the whole item, if shorter) count.
+    Agreeing windows of ``min_words`` words (or of the whole item, if shorter) count. Of an
+    item of fewer than ``SPAN`` words all have to agree.
     """
     low, high = max(0, -shift), min(len(item), len(region) - shift)
     size = min(min_words, len(item))
     if high - low < size:
         return 0
+    if len(item) < SPAN:
+        min_equal = 1.0
     equal = region[low + shift : high + shift] == item[low:high]
     total = np.concatenate(([0], np.cumsum(equal)))
     good = np.flatnonzero(total[size:] - total[:-size] >= min_equal * size - 1e-9)
@@ -133,7 +144,7 @@ def overlap(region: np.ndarray, item: np.ndarray, shift: int, min_words: int, mi
 
 def _verify(min_words: int, min_equal: float):
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words_equal", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("item_key", pa.int64()), ("words_equal", pa.int64())])
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 out = []
@@ -141,7 +152,7 @@ def _verify(min_words: int, min_equal: float):
                     region, item = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["item_words"], "<u8")
                     equal = overlap(region, item, r["shift"], min_words, min_equal)
                     if equal:
-                        out.append((r["doc_id"], r["item_id"], equal))
+                        out.append((r["doc_id"], r["item_key"], equal))
                 if out:
                     yield arrow_batch(schema, list(zip(*out)))
 
@@ -164,22 +175,20 @@ def _bit_filter(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(table)
 
 
-def overlaps(
-    docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL
-) -> DataFrame:
-    """``(doc_id, item_id, words_equal)`` of verified overlaps, one row per pair.
-
-    An overlap is a run of ``min_words`` consecutive words, or a whole item of fewer (but
-    at least eight), of which ``min_equal`` are equal in place. Words are runs of letters,
-    digits and ``_``, lower-cased. Items of fewer than eight words overlap nothing. Null
-    ids on either side take no part; null texts are empty; repeated rows change nothing.
-    """
+def _classes(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, item_key, item_words)`` of the items that have words; the key is that of the words."""
     items = texts(benchmark, "item_id").filter("doc_id is not null")
+    words = items.mapInArrow(_words, "item_id long, item_words binary").filter("length(item_words) > 0")
+    return materialize(words.dropDuplicates().withColumn("item_key", F.xxhash64("item_words")), "items")
+
+
+def _class_overlaps(docs: DataFrame, items: DataFrame, min_words: int, min_equal: float) -> DataFrame:
+    """``(doc_id, item_key, words_equal)`` of verified overlaps."""
+    classes = items.select("item_key", "item_words").dropDuplicates(["item_key"])
     hashes = materialize(
-        items.mapInArrow(_item_windows(min_words), "item_id long, mask int, at int, hash long"), "item-windows"
+        classes.mapInArrow(_item_windows(min_words), "item_key long, mask int, at int, hash long"), "item-windows"
     )
     used = sorted(hashes.agg(F.collect_set("mask")).first()[0])
-    item_words = items.mapInArrow(_words, "item_id long, item_words binary").dropDuplicates()
     regions = materialize(
         texts(docs).filter("doc_id is not null").mapInArrow(
             _regions(_bit_filter(hashes), used),
@@ -192,15 +201,37 @@ def overlaps(
     )
     diagonals = (
         hits.join(hashes, ["mask", "hash"])
-        .select("doc_id", "start", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"))
+        .select("doc_id", "start", "item_key", (F.col("doc_at") - F.col("at")).alias("shift"))
         .distinct()
     )
     checked = (
         diagonals.join(regions.select("doc_id", "start", "words"), ["doc_id", "start"])
-        .join(item_words, "item_id")
-        .mapInArrow(_verify(min_words, min_equal), "doc_id long, item_id long, words_equal long")
+        .join(classes, "item_key")
+        .mapInArrow(_verify(min_words, min_equal), "doc_id long, item_key long, words_equal long")
+    )
+    return checked.groupBy("doc_id", "item_key").agg(F.max("words_equal").alias("words_equal"))
+
+
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_equal: float = MIN_EQUAL
+) -> DataFrame:
+    """``(doc_id, item_id, words_equal)`` of verified overlaps, one row per pair.
+
+    An overlap is a run of ``min_words`` consecutive words, or a whole item of fewer, of
+    which ``min_equal`` are equal in place; an item of two to seven words has to occur word
+    for word, and an item of one word is only overlapped by texts of that word alone (a
+    word by itself tells nothing). Words are runs of letters, digits and ``_``, lower-cased.
+    Items without words overlap nothing. Null ids on either side take no part; null texts
+    are empty; repeated rows change nothing; an id with several texts overlaps what any of
+    them does.
+    """
+    items = _classes(benchmark)
+    found = _class_overlaps(docs, items, min_words, min_equal)
+    return (
+        found.join(items.select("item_id", "item_key"), "item_key")
+        .groupBy("doc_id", "item_id")  # an id of several texts is in several classes
+        .agg(F.max("words_equal").alias("words_equal"))
     )
-    return checked.groupBy("doc_id", "item_id").agg(F.max("words_equal").alias("words_equal"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -222,5 +253,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, with all columns, of documents without an overlap."""
-    bad = materialize(overlaps(docs, benchmark).select("doc_id").distinct(), "leaks")
+    found = _class_overlaps(docs, _classes(benchmark), MIN_WORDS, MIN_EQUAL)
+    bad = materialize(found.select("doc_id").distinct(), "leaks")
     return drop_rows(docs, bad, "doc_id")
