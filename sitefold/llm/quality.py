@@ -25,6 +25,7 @@ SHARDS, ROUNDS = 6, 5
 ALPHA, BETA, L1, L2 = 5.0, 1.0, 0.0001, 0.001
 THRESHOLD = 0.3
 FOLDS = 5
+_LOOK_BITS = 12
 
 #: Words, and runs of other visible characters as words of their own.
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -89,24 +90,25 @@ def _vectors(batches):
 
 
 def _shard_states(state):
-    """The states of one shard after a pass; a task holds one shard of bounded size."""
+    """The states of the shards of a task after a pass; shards are of bounded size."""
 
     def run(batches):
-        z, n = state.value[0].copy(), state.value[1].copy()
-        rows = []
+        shards: dict[int, list] = {}
         for batch in batches:
-            rows += batch.to_pylist()
-        rows.sort(key=lambda r: (r["place"], r["doc_id"]))
-        ftrl(
-            (
-                (np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f8"), r["label"])
-                for r in rows
-            ),
-            z,
-            n,
-        )
-        if rows:
-            schema = pa.schema([("at", pa.int32()), ("z", pa.float64()), ("n", pa.float64())])
+            for row in batch.to_pylist():
+                shards.setdefault(row["shard"], []).append(row)
+        schema = pa.schema([("at", pa.int32()), ("z", pa.float64()), ("n", pa.float64())])
+        for rows in shards.values():
+            z, n = state.value[0].copy(), state.value[1].copy()
+            rows.sort(key=lambda r: (r["place"], r["doc_id"]))
+            ftrl(
+                (
+                    (np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f8"), r["label"])
+                    for r in rows
+                ),
+                z,
+                n,
+            )
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(WIDTH, dtype=np.int32)), pa.array(z), pa.array(n)], schema=schema
             )
@@ -120,6 +122,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold == 0, F.lit(False))
 
 
+def smallest_hashes(ids: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` rows of smallest hash of ``doc_id``.
+
+    Counts by the upper bits of the hash, 4,096 numbers for each look, find a bound under which at
+    most twice as many rows lie; only these are sorted. No task or driver holds more.
+    """
+    hashed = ids.withColumn("_h", F.xxhash64("doc_id"))
+    upper = F.col("_h").bitwiseXOR(F.lit(-(2**63)))  # unsigned bits in the order of the signed hash
+    below, inside = 0, hashed
+    for bits in range(_LOOK_BITS, 64, _LOOK_BITS):
+        part = F.shiftrightunsigned(upper, 64 - bits)
+        counts = sorted(inside.groupBy(part.alias("part")).count().collect())
+        for last, count in counts:
+            if below + count > rows:
+                break
+            below += count
+        else:
+            break  # all rows are wanted
+        if count <= rows:
+            hashed = hashed.filter(part <= last)
+            break
+        inside = hashed.filter(part == last)
+    return hashed.orderBy("_h", "doc_id").limit(rows).drop("_h")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
     """Weights learnt from labelled rows of ``docs`` outside the held-out fold.
 
@@ -128,14 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
     Without labels all weights are 0 and all scores 0.5.
     """
     spark = docs.sparkSession
-    sample = (
+    labelled = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
     )
+    sample = smallest_hashes(labelled, max_rows)
     # bounded by max_rows ids
     rows = texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
     vectors = materialize(
@@ -149,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
             vectors.withColumn("place", place)
             .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(SHARDS)))
             .repartition(SHARDS, "shard")
-            .select("doc_id", "place", "label", "index", "value")
+            .select("doc_id", "place", "shard", "label", "index", "value")
             .mapInArrow(_shard_states(state), "at int, z double, n double")
             .groupBy("at")
             .agg(F.avg("z").alias("z"), F.avg("n").alias("n"))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from sitefold.llm import decontaminate as dc, exact_dedup as ed, quality as q, substring_dedup as sd
+from sitefold.llm.common import WordHashes
 from sitefold.session import scratch_path
 
 SMALL = "/root/testdata/sf0.01"
@@ -154,9 +155,10 @@ def test_sentences_cover_the_text():
 
 def brute_overlap(doc, item, least=dc.MIN_WORDS, share=dc.MIN_EQUAL):
     a, b = re.findall(r"\w+", doc.lower()), re.findall(r"\w+", item.lower())
-    if len(b) < dc.SPAN:
-        return False
+    if len(b) < 2:
+        return bool(b) and a == b
     size = min(least, len(b))
+    share = 1.0 if size < dc.SPAN else share
     return any(
         sum(x == y for x, y in zip(a[i : i + size], b[j : j + size])) >= share * size
         for i in range(len(a) - size + 1) for j in range(len(b) - size + 1)
@@ -185,6 +187,20 @@ def test_decontamination_finds_substituted_passages(spark, make_docs):
     assert found == want and 40 < sum(want.values()) < 110
 
 
+def test_short_items_have_to_occur_word_for_word(spark, make_docs):
+    items = ["Zebra", "red fox", "one two three four five six seven", "the cat sat", "", "red, FOX!", None]
+    docs = ["zebra", "a zebra", "a red fox ran", "red old fox", "xx one two three four five six seven",
+            "one two three four five six", "one two three four five other seven", "the cat sat", "the cat", "", "Zebra."]
+    bench = spark.createDataFrame([*enumerate(items), (2, "the cat sat"), (None, "a red")], "item_id bigint, text string")
+    rows = dc.overlaps(make_docs(list(enumerate(docs))), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["words_equal"]) for r in rows) == [
+        (0, 0, 1), (2, 1, 2), (2, 5, 2), (4, 2, 7), (7, 2, 3), (7, 3, 3), (10, 0, 1)]
+    found = {r["doc_id"]: r["n_items"] for r in dc.decontaminate(make_docs(list(enumerate(docs))), bench).collect()}
+    assert found == {0: 1, 1: 0, 2: 2, 3: 0, 4: 1, 5: 0, 6: 0, 7: 2, 8: 0, 9: 0, 10: 1}
+    kept = dc.drop_contaminated(make_docs(list(enumerate(docs))), bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6, 8, 9]
+
+
 def test_masks_ignore_each_position_and_each_pair_five_apart():
     ignored = [{p for p in range(dc.SPAN) if m[p] == "0"} for m in dc.MASKS]
     for p in range(dc.SPAN):
@@ -208,6 +224,42 @@ def test_labels_other_than_the_sample_change_nothing(spark):
     assert (q.train(docs, labels) == pytest.approx(q.train(docs, flipped), abs=1e-12))
 
 
+@pytest.mark.parametrize("rows", [0, 1, 7, 500, 4999, 5000, 9000])
+def test_the_sample_is_that_of_the_smallest_hashes(spark, rows, monkeypatch):
+    monkeypatch.setattr(q, "_LOOK_BITS", 3)  # several looks
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    want = [r[0] for r in ids.orderBy(q.F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    assert [r[0] for r in q.smallest_hashes(ids, rows).collect()] == want
+
+
+def test_sharded_training_matches_a_plain_loop(spark, make_docs):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(rng.choices(words[: 40 if k % 2 else 60], k=rng.randint(0, 30)))) for k in range(150)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id bigint, quality int")
+    made = spark.createDataFrame([(k,) for k, _ in docs], "doc_id bigint")
+    dealt = made.select("doc_id", q.F.expr(f"pmod(xxhash64(doc_id, -1), {q.SHARDS})").alias("shard"),
+                        *[q.F.xxhash64("doc_id", q.F.lit(r)).alias(f"r{r}") for r in range(q.ROUNDS)]).collect()
+    rows = {k: (*q.features(t, WordHashes()), k % 2) for k, t in docs if zlib.crc32(str(k).encode()) % 5}
+    z, n = np.zeros(q.WIDTH), np.zeros(q.WIDTH)
+    for r in range(q.ROUNDS):
+        states = []
+        for shard in range(q.SHARDS):
+            mine = sorted((d[f"r{r}"], d["doc_id"]) for d in dealt if d["shard"] == shard and d["doc_id"] in rows)
+            if mine:
+                own = z.copy(), n.copy()
+                for _, k in mine:
+                    index, value, label = rows[k]
+                    w = q.weights(own[0][index], own[1][index])
+                    slope = (1 / (1 + np.exp(-(w @ value))) - label) * value
+                    step = (np.sqrt(own[1][index] + slope**2) - np.sqrt(own[1][index])) / q.ALPHA
+                    own[0][index] += slope - step * w
+                    own[1][index] += slope**2
+                states.append(own)
+        z, n = (np.mean([s[k] for s in states], axis=0) for k in (0, 1))
+    assert np.allclose(q.train(make_docs(docs), labels), q.weights(z, n), atol=1e-9)
+
+
 def test_ftrl_learns_a_separable_problem():
     rng = np.random.default_rng(0)
     rows = [(np.array([0, 1 + int(y)]), np.array([1.0, 1.0]), int(y)) for y in rng.integers(0, 2, 200)]
