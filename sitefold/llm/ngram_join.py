@@ -7,7 +7,7 @@ on the shingle sets.
 
 How it scales:
 
-* Texts with the same shingle set are one class; only its smallest id takes part.
+* Texts with the same shingle set are one class; only its row of the smallest id takes part.
 * Bands with the same members are compared once, in the first of them.
 * A bucket with many members is cut into blocks, and each pair of blocks is a task's
   work: pairs exist only inside that task, counts and a spanning tree leave it. No
@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sitefold.llm.common import WordHashes, arrow_batch, id_texts, shingles, texts, word_hashes
+from sitefold.llm.common import WordHashes, arrow_batch, id_texts, parts, shingles, texts, word_hashes
 from sitefold.session import drop_rows, materialize, pick_rows
 
 WORDS = 5
@@ -68,35 +68,42 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
+def _class_key(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
 def _sign(batches):
     memo = WordHashes()
     schema = pa.schema(
         [("doc_id", pa.int64()), ("class_key", pa.binary()), ("n_shingles", pa.int64()),
-         ("bands", pa.list_(pa.int64()))]
+         ("bands", pa.list_(pa.int64())), ("digest", pa.int64())]
     )
-    for rows in id_texts(batches):
-        ids, keys, sizes, bands = [], [], [], []
-        for doc_id, text in rows:
-            found = shingles(word_hashes(text, memo), WORDS)
-            ids.append(doc_id)
-            sizes.append(len(found))
-            keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            values = min_hashes(found).reshape(BANDS, ROWS)
+    for part in parts(batches):
+        ids, found, digests = (part.column(k).to_pylist() for k in range(3))
+        keys, sizes, bands = [], [], []
+        for text in found:
+            grams = shingles(word_hashes(text, memo), WORDS)
+            sizes.append(len(grams))
+            keys.append(_class_key(grams) if len(grams) else None)
+            values = min_hashes(grams).reshape(BANDS, ROWS)
             bands.append([xxhash.xxh3_64_intdigest(v.tobytes()) - 2**63 for v in values])
-        yield arrow_batch(schema, [ids, keys, sizes, bands])
+        yield arrow_batch(schema, [ids, keys, sizes, bands, digests])
 
 
 def _shingle_sets(batches):
     memo = WordHashes()
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("grams", pa.binary())])
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("class_key", pa.binary()), ("sig", pa.binary()), ("grams", pa.binary())]
+    )
     for rows in id_texts(batches):
-        ids, sigs, sets = [], [], []
+        ids, keys, sigs, sets = [], [], [], []
         for doc_id, text in rows:
             found = shingles(word_hashes(text, memo), WORDS)
             ids.append(doc_id)
+            keys.append(_class_key(found))
             sigs.append(min_hashes(found).tobytes())
             sets.append(found.astype("<u8").tobytes())
-        yield arrow_batch(schema, [ids, sigs, sets])
+        yield arrow_batch(schema, [ids, keys, sigs, sets])
 
 
 def _root(parent: list[int], k: int) -> int:
@@ -110,9 +117,9 @@ class _Block:
     """The members of one pair of blocks of a bucket, and their links."""
 
     def __init__(self, band, low, high, rows):
-        rows.sort(key=lambda r: r["doc_id"])
+        rows.sort(key=lambda r: (r["doc_id"], r["class_key"]))
         self.band, self.crossing = band, low != high
-        self.ids = [r["doc_id"] for r in rows]
+        self.nodes = [{"doc_id": r["doc_id"], "class_key": r["class_key"]} for r in rows]
         self.copies = [r["copies"] for r in rows]
         self.low = np.array([r["block"] == low for r in rows])
         self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(len(rows), -1)
@@ -125,7 +132,7 @@ class _Block:
         if self.crossing:
             others = np.flatnonzero(~self.low) if self.low[i] else np.empty(0, int)
         else:
-            others = np.arange(i + 1, len(self.ids))
+            others = np.arange(i + 1, len(self.nodes))
         here = (self.bands[others, self.band] == self.bands[i, self.band]).all(1)
         others = others[here]
         earlier = (self.bands[others, : self.band] == self.bands[i, : self.band]).all(2).any(1)
@@ -158,8 +165,8 @@ class _Block:
         return np.add.reduceat(own[numbers], starts[:-1])[others]
 
     def links(self, threshold: float, least):
-        """``(doc_id, linked documents, smallest id reached here)`` of the linked members."""
-        n = len(self.ids)
+        """``(node, linked rows, smallest node reached here)`` of the linked members."""
+        n = len(self.nodes)
         weight, parent = [0] * n, list(range(n))
         for i in range(n):
             others = self.prune(i, self.candidates(i), least)
@@ -172,24 +179,24 @@ class _Block:
                 weight[j] += self.copies[i]
                 a, b = _root(parent, i), _root(parent, j)
                 parent[max(a, b)] = min(a, b)
-        return [(self.ids[k], weight[k], self.ids[_root(parent, k)]) for k in range(n) if weight[k]]
+        return [(self.nodes[k], weight[k], self.nodes[_root(parent, k)]) for k in range(n) if weight[k]]
 
 
 def _compare(threshold: float, tolerance: float):
     least = least_matches(threshold, tolerance)
-    schema = pa.schema([("doc_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    node = pa.struct([("doc_id", pa.int64()), ("class_key", pa.binary())])
+    schema = pa.schema([("node", node), ("links", pa.int64()), ("root", node)])
 
     def run(batches):
         key, rows, out = None, [], []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                for row in batch.slice(start, 256).to_pylist():
-                    this = (row["band"], row["bucket"], row["low"], row["high"])
-                    if this != key:
-                        if len(rows) > 1:
-                            out += _Block(key[0], key[2], key[3], rows).links(threshold, least)
-                        key, rows = this, []
-                    rows.append(row)
+        for part in parts(batches):
+            for row in part.to_pylist():
+                this = (row["band"], row["bucket"], row["low"], row["high"])
+                if this != key:
+                    if len(rows) > 1:
+                        out += _Block(key[0], key[2], key[3], rows).links(threshold, least)
+                    key, rows = this, []
+                rows.append(row)
             if len(out) > 10_000:
                 yield arrow_batch(schema, list(zip(*out)))
                 out = []
@@ -232,28 +239,19 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(ends)
 
 
-def ngram_join(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    tolerance: float = TOLERANCE,
-    block_members: int = BLOCK_MEMBERS,
-    block_shingles: int = BLOCK_SHINGLES,
+def _joined(
+    docs: DataFrame, threshold: float, tolerance: float, block_members: int, block_shingles: int
 ) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id``, ``text``) with its links and its group.
+    """The columns of :func:`ngram_join` and the ``digest`` of each row's text, without null ids.
 
-    ``copy_of``: smallest id with the same shingle set. ``n_links``: other documents of
-    similarity ``threshold`` or more, copies included. ``class_id``: smallest id reached
-    over links, the near-duplicate group. Words are runs of letters, digits and ``_`` in
-    lower case; a text of fewer than five words is one shingle. A text without words
-    (null, empty) links to nothing and is its own group. Rows that repeat an id
-    and text count as copies. Rows with a null id come back with nulls and no links. Other columns
-    of ``docs`` are not read. An empty table gives no rows.
+    A class is known by its key, not by an id: rows of one id may have different texts. As a
+    node it has its smallest id in front, so the smallest node of a group has its smallest id.
     """
-    rows = texts(docs)
-    known = rows.filter(F.col("doc_id").isNotNull())
+    known = texts(docs).filter(F.col("doc_id").isNotNull())
     signed = materialize(
-        known.mapInArrow(
-            _sign, "doc_id long, class_key binary, n_shingles long, bands array<long>"
+        known.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(
+            _sign,
+            "doc_id long, class_key binary, n_shingles long, bands array<long>, digest long",
         ),
         "signed",
     )
@@ -267,16 +265,15 @@ def ngram_join(
         .dropDuplicates(["class_key", "doc_id"])
     )
     keys = reps.select(
-        "doc_id", "copies", "n_shingles", F.posexplode("bands").alias("band", "bucket")
+        "doc_id", "class_key", "copies", "n_shingles", F.posexplode("bands").alias("band", "bucket")
     )
-    own = F.xxhash64("doc_id")
     buckets = (
         keys.groupBy("band", "bucket")
         .agg(
             F.count("*").alias("members"),
             F.sum("n_shingles").alias("size"),
-            F.bit_xor(own).alias("set_1"),
-            F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("set_2"),
+            F.bit_xor(F.xxhash64("class_key")).alias("set_1"),
+            F.bit_xor(F.xxhash64("class_key", F.lit(1))).alias("set_2"),
         )
         .filter("members > 1")
         # bands with the same members: the first is enough
@@ -292,15 +289,15 @@ def ngram_join(
     )
     members = materialize(
         keys.join(buckets, ["band", "bucket"])
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks")))
-        .select("band", "bucket", "doc_id", "copies", "block", "blocks"),
+        .withColumn("block", F.pmod(F.xxhash64("class_key", "bucket"), F.col("blocks")))
+        .select("band", "bucket", "doc_id", "class_key", "copies", "block", "blocks"),
         "members",
     )
     # the texts of candidates are found where they lie; others that pass drop out in the join
     sets = (
         pick_rows(known, members.select("doc_id").distinct(), "doc_id")
-        .mapInArrow(_shingle_sets, "doc_id long, sig binary, grams binary")
-        .dropDuplicates(["doc_id"])
+        .mapInArrow(_shingle_sets, "doc_id long, class_key binary, sig binary, grams binary")
+        .dropDuplicates(["doc_id", "class_key"])
     )
     pairs_of_blocks = members.withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -310,42 +307,71 @@ def ngram_join(
         F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"),
         "doc_id",
+        "class_key",
         "copies",
         "block",
     )
     work = ["band", "bucket", "low", "high"]
+    node = "struct<doc_id:long,class_key:binary>"
     found = materialize(
-        pairs_of_blocks.join(sets, "doc_id")
+        pairs_of_blocks.join(sets, ["doc_id", "class_key"])
         .repartition(*work)
         .sortWithinPartitions(*work)
-        .mapInArrow(_compare(threshold, tolerance), "doc_id long, links long, root long"),
+        .mapInArrow(_compare(threshold, tolerance), f"node {node}, links long, root {node}"),
         "found",
     )
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    edges = found.filter("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
-    labels = connected(edges)
+    links = found.groupBy(F.col("node.class_key").alias("class_key")).agg(F.sum("links").alias("links"))
+    labels = connected(
+        found.filter("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    ).select(F.col("node.class_key").alias("class_key"), F.col("label.doc_id").alias("first"))
     by_class = (
-        classes.join(links.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.join(links, "class_key", "left")
+        .join(labels, "class_key", "left")
         .select(
             "class_key",
             F.col("rep").alias("copy_of"),
-            F.coalesce("label", "rep").alias("class_id"),
+            F.coalesce("first", "rep").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
-    joined = signed.select("doc_id", "class_key", "n_shingles").join(by_class, "class_key", "left")
-    unlinked = rows.filter(F.col("doc_id").isNull())
+    joined = signed.select("doc_id", "class_key", "n_shingles", "digest").join(by_class, "class_key", "left")
     return joined.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("copy_of", "doc_id").alias("copy_of"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "n_shingles",
-    ).union(
-        unlinked.select(
-            F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"),
-            F.lit(0).cast("long"), F.lit(None).cast("long"),
+        "digest",
+    )
+
+
+def ngram_join(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+    block_members: int = BLOCK_MEMBERS,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id``, ``text``) with its links and its group.
+
+    ``copy_of``: smallest id with the same shingle set. ``n_links``: other rows of
+    similarity ``threshold`` or more, copies included. ``class_id``: smallest id reached
+    over links, the near-duplicate group. Words are runs of letters, digits and ``_`` in
+    lower case; a text of fewer than five words is one shingle. A text without words
+    (null, empty) links to nothing and is its own group. Rows that repeat an id and text
+    count as copies; rows that repeat an id with another text are told apart, each has
+    the links and the group of its own text. Rows with a null id come back with nulls and
+    no links. Other columns of ``docs`` are not read. An empty table gives no rows.
+    """
+    unlinked = docs.filter(F.col("doc_id").isNull())
+    return (
+        _joined(docs, threshold, tolerance, block_members, block_shingles)
+        .drop("digest")
+        .union(
+            unlinked.select(
+                F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long"),
+                F.lit(0).cast("long"), F.lit(None).cast("long"),
+            )
         )
     )
 
@@ -353,9 +379,17 @@ def ngram_join(
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose document is the first of its near-duplicate group.
 
-    Ids of the others are few against the texts; rows with a null id stay.
+    Rows are dropped by id and digest of the text: of an id with several texts only those go
+    that belong to another document's group. Ids of dropped rows are few against the texts;
+    rows with a null id stay.
     """
     others = materialize(
-        ngram_join(docs).filter("class_id <> doc_id").select("doc_id").distinct(), "near-copies"
+        _joined(docs, THRESHOLD, TOLERANCE, BLOCK_MEMBERS, BLOCK_SHINGLES)
+        .filter("class_id <> doc_id")
+        .select("doc_id", F.col("digest").alias("_digest"))
+        .distinct(),
+        "near-copies",
     )
-    return drop_rows(docs, others, "doc_id")
+    # the digest is computed only for rows that may have to go
+    marked = docs.withColumn("_digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return drop_rows(marked, others, "doc_id").drop("_digest")

@@ -58,6 +58,22 @@ def test_one_stays_of_each_group(make_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in brute(docs).values()})
 
 
+def test_ids_of_several_texts_are_told_apart(make_docs):
+    """Brute force over rows; a group has the smallest id of its rows."""
+    texts = near_copies(random.Random(7), 150)
+    docs = [(k % 110, t) for k, t in enumerate(texts)]
+    by_row = brute(list(enumerate(texts)))
+    first = {}
+    for row, (group, _) in by_row.items():
+        first[group] = min(first.get(group, 10**9), docs[row][0])
+    want = sorted((docs[row][0], first[group], n) for row, (group, n) in by_row.items())
+    found = nj.ngram_join(make_docs(docs)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == want
+    assert any(a[0] == b[0] and a[1] != b[1] for a, b in zip(want, want[1:]))
+    kept = sorted((r["doc_id"], r["text"]) for r in nj.keep_one_per_group(make_docs(docs)).collect())
+    assert kept == sorted((d, t) for row, (d, t) in enumerate(docs) if first[by_row[row][0]] == d)
+
+
 def test_posterior_is_the_beta_tail():
     grid = (np.arange(200_000) + 0.5) / 200_000
     for m, n in ((20, 32), (25, 32), (60, 96), (128, 160)):
