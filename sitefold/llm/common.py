@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -60,12 +61,33 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system.
+
+    A worker process serves task after task; without this it keeps the most that any of them held.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
+def parts(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small pieces of Arrow batches; memory is released before and after a task."""
+    release_memory()
+    try:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                yield batch.slice(start, rows)
+    finally:
+        release_memory()
+
+
 def id_texts(batches) -> Iterator[list[tuple[int, str]]]:
     """Small lists of rows of Arrow batches of ``doc_id`` and ``text``."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            yield list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+    for part in parts(batches):
+        yield list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
 
 
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

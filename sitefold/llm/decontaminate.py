@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sitefold.llm.common import WordHashes, arrow_batch, combine, id_texts, texts, word_hashes
+from sitefold.llm.common import WordHashes, arrow_batch, combine, id_texts, parts, texts, word_hashes
 from sitefold.session import drop_rows, materialize
 
 #: Fixed masks over eight words. Each single position, and each pair five apart, is ignored by one of the
@@ -145,16 +145,15 @@ def overlap(region: np.ndarray, item: np.ndarray, shift: int, min_words: int, mi
 def _verify(min_words: int, min_equal: float):
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("item_key", pa.int64()), ("words_equal", pa.int64())])
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                out = []
-                for r in batch.slice(begin, 256).to_pylist():
-                    region, item = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["item_words"], "<u8")
-                    equal = overlap(region, item, r["shift"], min_words, min_equal)
-                    if equal:
-                        out.append((r["doc_id"], r["item_key"], equal))
-                if out:
-                    yield arrow_batch(schema, list(zip(*out)))
+        for part in parts(batches):
+            out = []
+            for r in part.to_pylist():
+                region, item = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["item_words"], "<u8")
+                equal = overlap(region, item, r["shift"], min_words, min_equal)
+                if equal:
+                    out.append((r["doc_id"], r["item_key"], equal))
+            if out:
+                yield arrow_batch(schema, list(zip(*out)))
 
     return run
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitefold.llm.common import WordHashes, arrow_batch, combine, id_texts, texts
+from sitefold.llm.common import WordHashes, arrow_batch, combine, id_texts, parts, texts
 from sitefold.session import materialize
 
 BITS = 17
@@ -74,19 +74,13 @@ def _vectors(batches):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("label", pa.int32()), ("index", pa.binary()), ("value", pa.binary())]
     )
-    for batch in batches:
-        labels = iter(batch.column(2).to_pylist())
-        for rows in id_texts([batch]):
-            made = [features(t, memo) for _, t in rows]
-            yield arrow_batch(
-                schema,
-                [
-                    [d for d, _ in rows],
-                    [next(labels) for _ in rows],
-                    [i.astype("<i4").tobytes() for i, _ in made],
-                    [v.astype("<f8").tobytes() for _, v in made],
-                ],
-            )
+    for part in parts(batches):
+        ids, found, labels = (part.column(k).to_pylist() for k in range(3))
+        made = [features(t, memo) for t in found]
+        yield arrow_batch(
+            schema,
+            [ids, labels, [i.astype("<i4").tobytes() for i, _ in made], [v.astype("<f8").tobytes() for _, v in made]],
+        )
 
 
 def _shard_states(state):
@@ -222,14 +216,12 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Dat
 def _accepted(model, text_at: int, threshold: float):
     def run(batches):
         memo, w = WordHashes(), model.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                keep = []
-                for text in part.column(text_at).to_pylist():
-                    index, value = features(text or "", memo)
-                    keep.append(_sigmoid(w[index] @ value) >= threshold)
-                yield part.filter(pa.array(keep, pa.bool_()))
+        for part in parts(batches):
+            keep = []
+            for text in part.column(text_at).to_pylist():
+                index, value = features(text or "", memo)
+                keep.append(_sigmoid(w[index] @ value) >= threshold)
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return run
 
