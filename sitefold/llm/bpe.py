@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from sitefold.llm.common import arrow_batch, id_texts, texts
+from sitefold.llm.common import arrow_batch, id_texts, parts, texts
 
 NONE = 2**30
 #: Characters of text gathered before their new words are encoded, and words remembered.
@@ -227,19 +227,23 @@ def _decoded(ranks_file):
     def run(batches):
         tokens = {r: t for t, r in read_ranks(ranks_file.value).items()}
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = part.column(1).to_pylist()
-                out = [
-                    None if i is None else b"".join(map(tokens.__getitem__, np.frombuffer(i, "<u4").tolist()))
-                    for i in ids
-                ]
-                yield arrow_batch(schema, [part.column(0).to_pylist(), ids, out])
+        for part in parts(batches):
+            ids = part.column(1).to_pylist()
+            out = [
+                None if i is None else b"".join(map(tokens.__getitem__, np.frombuffer(i, "<u4").tolist()))
+                for i in ids
+            ]
+            yield arrow_batch(schema, [part.column(0).to_pylist(), ids, out])
 
     return run
 
 
+def _both(ranks_file, pattern: str):
+    """Decodes what was encoded in the same worker: two maps in a row keep two workers for each task."""
+    encoded, decoded = _encoded(ranks_file, pattern), _decoded(ranks_file)
+    return lambda batches: decoded(encoded(batches))
+
+
 def _ranks(docs: DataFrame, vocabulary: str):
     # one vocabulary file, under 1 MB whatever the data
     with open(vocabulary, "rb") as f:
@@ -265,7 +269,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Number of tokens, digest of the ids, and digest of what they decode to, by row."""
-    return decode(encode(docs, vocabulary, pattern), vocabulary).select(
+    run = _both(_ranks(docs, vocabulary), pattern)
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary").select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
