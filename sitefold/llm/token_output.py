@@ -11,12 +11,14 @@ Spark's writers commit it safely to any store.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
@@ -31,6 +33,8 @@ ESCAPE = 15
 END_ID = 1
 BLOCK_IDS = 1 << 16
 MEMO_WORDS = 600_000
+#: Characters of text whose distinct words are looked up together.
+BLOCK_CHARS = 4_000_000
 
 BLOCK_SCHEMA = (
     "part int, block long, first long, doc_ids array<long>, lengths array<long>, words binary"
@@ -42,12 +46,11 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     ids = ids.astype(np.uint64)
     choice = np.full(n, ESCAPE)
-    place = np.arange(n)
+    over = np.zeros(n + 61, np.int32)  # ids before a place that do not fit; the end fits anything
     for selector in range(len(COUNTS) - 1, -1, -1):
-        # where the next id is that does not fit; the end of the input fits anything
-        wide = np.where(ids >> np.uint64(WIDTHS[selector]), place, n + 60)
-        following = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = following - place >= COUNTS[selector]
+        np.cumsum(ids >= np.uint64(1 << int(WIDTHS[selector])), out=over[1 : n + 1])
+        over[n + 1 :] = over[n]
+        fits = over[COUNTS[selector] :][:n] == over[:n]
         if not fits.any():
             break  # narrower ones cannot fit either
         choice[fits] = selector
@@ -104,8 +107,8 @@ class WordEncoder:
     """Encodes texts word by word through the tokenizer, remembering words.
 
     The tokenizer splits at white space and normalises no character across it, so the
-    ids of a text are those of its words. It also cuts letters from punctuation, so a word
-    with a tail such as a comma is its letters and its tail. New words go to the tokenizer
+    ids of a text are those of its words. It also cuts letters from punctuation and lowers
+    them, so a word with a tail such as a comma is its small letters and its tail. New words go to the tokenizer
     in long strings. Words of letters end with the one id that carries the word's end;
     other words are divided by a mark, a character that is one token and that none of
     them contains.
@@ -115,19 +118,26 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         vocabulary = self.tokenizer.get_vocab()
+        # words of letters need no normal form and no pattern: the same model, cut at white space
+        setup = json.loads(tokenizer_json)
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        setup["normalizer"] = None
+        setup["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}
+        self.plain = Tokenizer.from_str(json.dumps(setup))
+        self.plain.encode_special_tokens = True
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
-        marks = ((c, self._ids([c])[0]) for c in "§¶¬¤†‡•")
+        marks = ((c, self._ids(self.tokenizer, [c])[0]) for c in "§¶¬¤†‡•")
         self.mark, self.mark_id = next((c, i[0]) for c, i in marks if len(i) == 1)
 
-    def _ids(self, strings: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+    def _ids(self, tokenizer: Tokenizer, strings: list[str]) -> list[np.ndarray]:
+        found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in found]
 
     def _letters(self, words: list[str]) -> None:
         groups = [words[k : k + 500] for k in range(0, len(words), 500)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+        for group, ids in zip(groups, self._ids(self.plain, [" ".join(g) for g in groups])):
             data, cuts = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             for word, a, b in zip(group, [0, *cuts], cuts, strict=False):
                 self.memo[word] = data[a:b]
@@ -136,10 +146,11 @@ class WordEncoder:
     def _others(self, words: list[str]) -> None:
         marked = [w for w in words if self.mark in w]
         words = [w for w in words if self.mark not in w]
-        for word, ids in zip(marked, self._ids(marked)):
+        for word, ids in zip(marked, self._ids(self.tokenizer, marked)):
             self.memo[word] = ids.tobytes()
         groups = [words[k : k + 500] for k in range(0, len(words), 500)]
-        for group, ids in zip(groups, self._ids([f" {self.mark} ".join(g) for g in groups])):
+        joined = [f" {self.mark} ".join(g) for g in groups]
+        for group, ids in zip(groups, self._ids(self.tokenizer, joined)):
             data, cuts = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist()
             starts = [0, *[c + 4 for c in cuts]]
             for word, a, b in zip(group, starts, [*cuts, len(data)], strict=True):
@@ -151,11 +162,12 @@ class WordEncoder:
         for word in new:
             head = word.rstrip(_TAIL)
             if head.isalpha() and (head.isascii() or _PLAIN.fullmatch(head)):
-                if head not in memo:
-                    letters.add(head)
-                if len(head) < len(word):
+                small = head.lower()  # as the tokenizer does; of these blocks one letter stays one
+                if small not in memo:
+                    letters.add(small)
+                if small != word:
                     whole.append(word)
-                    heads.append(head)
+                    heads.append(small)
                     tails.append(word[len(head) :])
             else:
                 others.add(word)
@@ -167,14 +179,26 @@ class WordEncoder:
 
     def encode(self, block: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in block]
+        cut = pc.split_pattern(pc.replace_substring(pa.array(block, pa.string()), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        memo = self.memo
-        new = [w for w in set().union(*cut) if w not in memo]
+        memo, words = self.memo, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in memo]
         if new:
             self.learn(new)
-        return [b"".join(map(memo.__getitem__, c)) for c in cut]
+        known = list(map(memo.__getitem__, words))
+        # ids of the distinct words side by side, then those of each word taken by its place
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        take = np.repeat(first[at] - ends + sizes, sizes)
+        take += np.arange(len(take))
+        ids = np.frombuffer(b"".join(known), "<u4")[take].tobytes()
+        stops = np.append(0, ends * 4)[cut.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -190,6 +214,20 @@ def _encoder(tokenizer_json: bytes) -> WordEncoder:
     return _encoders[key]
 
 
+def _gathered(batches):
+    """Lists of rows with about ``BLOCK_CHARS`` characters, or one longer row at their end."""
+    held, size = [], 0
+    for rows in id_texts(batches):
+        for row in rows:
+            held.append(row)
+            size += len(row[1])
+            if size >= BLOCK_CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _blocks(tokenizer_json, end_id: int):
     def run(batches):
         coder = _encoder(tokenizer_json.value)
@@ -206,7 +244,7 @@ def _blocks(tokenizer_json, end_id: int):
             words = pack(np.frombuffer(b"".join(data), "<u4")).astype("<u8").tobytes()
             return arrow_batch(schema, [[part], [number], [before], [docs], [lengths], [words]])
 
-        for rows in id_texts(batches):
+        for rows in _gathered(batches):
             for (doc_id, _), ids in zip(rows, coder.encode([t for _, t in rows])):
                 docs.append(doc_id)
                 lengths.append(len(ids) // 4 + 1)
