@@ -50,19 +50,74 @@ def split_url(url: Column) -> Column:
     stray = url.rlike(r"^[\x00-\x20]|[\t\r\n]")
     clean = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
 
-    def parts(u: Column) -> Column:
-        def part(group: int) -> Column:
-            return F.regexp_extract(u, _PARTS, group)
+    return bound(F.when(stray, clean).otherwise(url), _url_parts)
 
+
+def _after(whole: Column, head: Column, separator: int) -> Column:
+    """What follows ``head`` and a separator of so many characters."""
+    return F.substr(whole, F.length(head) + (separator + 1))
+
+
+def _url_parts(url: Column) -> Column:
+    """The groups of ``_PARTS``. A path alone and a plain web address, which most links are,
+    are cut at the first "#", "?" and "/"; only other forms are matched."""
+
+    def parts(scheme: Column, netloc: Column, path: Column, cut: Column) -> Column:
         return F.struct(
-            F.lower(part(1)).alias("scheme"),
-            part(3).alias("netloc"),
-            part(4).alias("path"),
-            part(5).alias("query"),
-            part(6).alias("fragment"),
+            scheme.alias("scheme"),
+            netloc.alias("netloc"),
+            path.alias("path"),
+            cut["query"].alias("query"),
+            cut["fragment"].alias("fragment"),
         )
 
-    return bound(F.when(stray, clean).otherwise(url), parts)
+    def tail(whole: Column) -> Column:
+        def with_query(before: Column) -> Column:
+            head = F.substring_index(before, "?", 1)
+            return F.struct(
+                head.alias("head"),
+                _after(before, head, 1).alias("query"),
+                _after(whole, before, 1).alias("fragment"),
+            )
+
+        plain = ~(whole.contains("#") | whole.contains("?"))
+        none = F.lit("")
+        return F.when(
+            plain, F.struct(whole.alias("head"), none.alias("query"), none.alias("fragment"))
+        ).otherwise(bound(F.substring_index(whole, "#", 1), with_query))
+
+    def web(scheme: str) -> Column:
+        def address(cut: Column) -> Column:
+            rest = _after(cut["head"], F.lit(f"{scheme}://"), 0)
+            return bound(
+                rest,
+                lambda r: bound(
+                    F.substring_index(r, "/", 1), lambda host: parts(F.lit(scheme), host, _after(r, host, 0), cut)
+                ),
+            )
+
+        return bound(tail(url), address)
+
+    def matched(group: int) -> Column:
+        return F.regexp_extract(url, _PARTS, group)
+
+    return (
+        F.when(
+            ~(url.contains(":") | url.startswith("//")),
+            bound(tail(url), lambda cut: parts(F.lit(""), F.lit(""), cut["head"], cut)),
+        )
+        .when(url.startswith("https://"), web("https"))
+        .when(url.startswith("http://"), web("http"))
+        .otherwise(
+            F.struct(
+                F.lower(matched(1)).alias("scheme"),
+                matched(3).alias("netloc"),
+                matched(4).alias("path"),
+                matched(5).alias("query"),
+                matched(6).alias("fragment"),
+            )
+        )
+    )
 
 
 def unsplit_url(p: Column) -> Column:
@@ -101,13 +156,17 @@ def _without_dot_segments(segments: Column) -> Column:
 def _merge_path(base_path: Column, ref_path: Column) -> Column:
     """Path of a relative reference against ``base_path`` (RFC 3986, 5.2)."""
     # parameters of the last segment take no part in the merge
-    params = F.regexp_extract(ref_path, _PARAMS, 0)
+    params = F.when(ref_path.contains(";"), F.regexp_extract(ref_path, _PARAMS, 0)).otherwise(F.lit(""))
     return F.concat(
-        bound(F.regexp_replace(ref_path, _PARAMS, ""), lambda p: _merge_plain_path(base_path, p)),
+        bound(_without_params(ref_path), lambda p: _merge_plain_path(base_path, p)),
         params,
     )
 
 
+def _without_params(path: Column) -> Column:
+    return F.when(path.contains(";"), F.regexp_replace(path, _PARAMS, "")).otherwise(path)
+
+
 def _merge_plain_path(base_path: Column, path: Column) -> Column:
     # all segments but the last, which is a file name unless it is empty
     folder = F.regexp_replace(base_path, "[^/]+$", "")
@@ -123,7 +182,7 @@ def _merge_plain_path(base_path: Column, path: Column) -> Column:
         bound(joined, drop_inner_empty)
     )
     merged = F.array_join(bound(segments, _without_dot_segments), "/")
-    plain = path.startswith("/") & ~path.rlike(r"(^|/)\.\.?(/|$)")
+    plain = path.startswith("/") & ~(path.contains(".") & path.rlike(r"(^|/)\.\.?(/|$)"))
     return F.when(plain, path).otherwise(
         bound(merged, lambda m: F.when(m == "", F.lit("/")).otherwise(m))
     )
@@ -168,22 +227,23 @@ def resolve_link(base_url: Column, href: Column) -> Column:
 
 def resolve_all(base_url: Column, hrefs: Column) -> Column:
     """Array of ``(link_no, href, to)`` with ``to`` the parts of the resolved link."""
-
-    def against(base: Column) -> Column:
-        return F.transform(
-            hrefs,
-            lambda h, i: F.struct(
-                (i + 1).cast("bigint").alias("link_no"),
-                h.alias("href"),
-                bound(split_url(strip(h)), lambda ref: resolve_parts(base, ref)).alias("to"),
-            ),
-        )
-
-    return bound(split_url(base_url), against)
+    return bound(split_url(base_url), lambda base: resolve_against(base, hrefs))
+
+
+def resolve_against(base: Column, hrefs: Column) -> Column:
+    """:func:`resolve_all` for a base that is split already."""
+    return F.transform(
+        hrefs,
+        lambda h, i: F.struct(
+            (i + 1).cast("bigint").alias("link_no"),
+            h.alias("href"),
+            bound(split_url(strip(h)), lambda ref: resolve_parts(base, ref)).alias("to"),
+        ),
+    )
 
 
 def canonical_from_parts(p: Column) -> Column:
-    path = F.regexp_replace(p["path"], _PARAMS, "")
+    path = _without_params(p["path"])
     slash = F.when((path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
     return F.rtrim(F.concat(p["scheme"], F.lit("://"), p["netloc"], slash, path), F.lit("/"))
 
@@ -214,7 +274,7 @@ def same_site(host: Column, base_host: Column) -> Column:
 
 def target_path(path: Column) -> Column:
     """A keyword occurs in the path; parameters of its last segment do not count."""
-    return F.lower(F.regexp_replace(path, _PARAMS, "")).rlike("|".join(TARGET_KEYWORDS))
+    return F.lower(_without_params(path)).rlike("|".join(TARGET_KEYWORDS))
 
 
 def is_skippable(href: Column) -> Column:

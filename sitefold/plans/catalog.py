@@ -43,10 +43,13 @@ def _profiles(i: Inputs) -> DataFrame:
 
 def _links(i: Inputs) -> DataFrame:
     """Exploded raw links of every site page, resolved against the page's URL."""
-    links = F.explode(urls.resolve_all(F.col("url"), F.col("hrefs"))).alias("l")
+    # the page's URL is split once, below the explode, and not again for each link
+    based = _home_links(i).withColumn("base", urls.split_url(F.col("url")))
     return (
-        _home_links(i)
-        .select("site_id", _big("page_no"), urls.split_url(F.col("url")).alias("base"), links)
+        based.select(
+            "site_id", _big("page_no"), "base",
+            F.explode(urls.resolve_against(F.col("base"), F.col("hrefs"))).alias("l"),
+        )
         .select("site_id", "page_no", "l.link_no", "l.href", "l.to", "base")
     )
 

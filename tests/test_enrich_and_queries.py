@@ -278,3 +278,15 @@ def test_html_is_never_shuffled(spark, tmp_path, flow):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "company_name" in df.columns
+
+
+@pytest.mark.parametrize("name", ["link_same_site"])
+def test_page_url_is_split_once_not_per_link(spark, tmp_path, name):
+    spark.createDataFrame([(1, "Customer#1", 3, "BUILDING")], "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(3, "N")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    df = entry.queries()[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan[: plan.index("Generate")]
+    rows = {(r["page_no"], r["link_no"]): r["url"] for r in df.collect()}
+    assert rows[0, 3] == "https://building1.com/pricing?ref=1#top" and rows[0, 9] == "https://building1.com/team"
+    assert (0, 8) not in rows

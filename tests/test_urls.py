@@ -150,3 +150,17 @@ def test_same_site(spark):
     df = spark.createDataFrame(cases, "h string, b string, w boolean")
     for r in df.select("h", "b", "w", urls.same_site(F.col("h"), F.col("b")).alias("g")).collect():
         assert r["g"] == r["w"], r
+
+
+def test_only_odd_links_are_matched_by_pattern(spark, column):
+    """Paths and plain web addresses are cut at their first separators, as the pattern cuts them."""
+    values = _random_hrefs(300) + HREFS + [b + h for b in BASES for h in HREFS] + ["a ", "https://h.io;p#a?b", "http:///x"]
+
+    def by_pattern(url):
+        return F.struct(*[
+            (F.lower if name == "scheme" else lambda c: c)(F.regexp_extract(url, urls._PARTS, group)).alias(name)
+            for name, group in (("scheme", 1), ("netloc", 3), ("path", 4), ("query", 5), ("fragment", 6))
+        ])
+
+    values = [v for v in values if not set(v) & set("\t\r\n") and not v.startswith(" ")]
+    assert column(values, urls.split_url) == column(values, by_pattern)
