@@ -76,9 +76,31 @@ def is_denied_email(email: Column, suffixes: Sequence[str] = DENIED_SUFFIXES) ->
     return F.lower(email).rlike(denied_pattern(suffixes))
 
 
+def _around_at(text: Column) -> Column:
+    """``text`` without what is not next to an "@": no address is lost, none is added.
+
+    An address lies in a run of its characters and "@". Of the pieces between two "@" only the
+    runs at both ends can take part; the middle becomes a space, so the pattern, which is
+    costly for each character, sees little more than the addresses.
+    """
+
+    def run(value: Column) -> Column:
+        return F.regexp_extract(value, "^[a-zA-Z0-9._%+-]*+", 0)
+
+    def ends(piece: Column) -> Column:
+        return bound(
+            run(piece),
+            lambda head: F.when(F.length(head) == F.length(piece), piece).otherwise(
+                F.concat(head, F.lit(" "), F.reverse(run(F.reverse(piece))))
+            ),
+        )
+
+    return F.array_join(F.transform(F.split(text, "@", -1), ends), "@")
+
+
 def emails(text: Column, suffixes: Sequence[str] = DENIED_SUFFIXES) -> Column:
     """Sorted distinct lower-case e-mail addresses in ``text``."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(_EMAIL_LINEAR), F.lit(0)), F.lower)
+    found = F.transform(F.regexp_extract_all(_around_at(text), F.lit(_EMAIL_LINEAR), F.lit(0)), F.lower)
     kept = F.filter(found, lambda e: ~e.rlike(denied_pattern(suffixes)))
     return F.when(
         F.contains(text, F.lit("@")), F.array_sort(F.array_distinct(kept))

@@ -187,3 +187,19 @@ def test_parse_and_contacts(spark):
     for k in (2, 3):
         assert (rows[k]["markdown"], rows[k]["emails"], rows[k]["hrefs"], rows[k]["parse_error"]) == ("", [], [], None)
     assert "html" not in rows[1].asDict()
+
+
+def test_text_and_tag_are_one_token():
+    """Half the matches of a tokenizer that takes text and tags apart."""
+    page = "<p>one <b>two</b> three</p><script>if (a<b) c()</script>four<!-- c --> five"
+    head = page.index("if (a")
+    found = [m[0] for m in html._TOKEN.finditer(page[:head])]
+    assert found == ["<p>", "one <b>", "two</b>", " three</p>", "<script>", ""]
+    reader = PageReader()
+    assert reader.read_well_formed(page) and reader.finish() == "\n\none two three\n\nfour five".lstrip()
+    assert not PageReader().read_well_formed("<p>a < b</p>")  # a stray "<" goes to the tolerant scanner
+
+
+def test_white_space_and_list_like_text_by_line():
+    for written, read in (("1. x", "1\\. x"), ("a 1. x", "a 1. x"), ("- y\n+ z", "\\- y \\+ z"), ("\xa0 \x1cq ", "q")):
+        assert read_page(f"<p>{written}</p>")[0].strip() == read

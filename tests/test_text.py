@@ -158,3 +158,11 @@ def test_title_and_list(column):
     assert column(["a,b", ""], lambda c: text.list_literal(F.filter(F.split(c, ","), lambda x: x != ""))) == [
         "['a', 'b']", "[]"
     ]
+
+
+def test_email_pattern_sees_only_what_is_next_to_an_at(column):
+    filler = "no address here, " * 200
+    values = [f"{filler}<i>a.b@c.io</i>{filler}x@y.de.z@w.org {filler}", f"{filler}@{filler}", "a@b@c.com", "@", ""]
+    short = column(values, text._around_at)
+    assert all(len(s) < 100 for s in short) and short[2:] == values[2:]
+    assert column(values, text.emails) == [[".z@w.org", "a.b@c.io", "x@y.de"], [], ["b@c.com"], [], []]
