@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitefold.llm.common import WordHashes, arrow_batch, combine, id_texts, parts, texts
@@ -161,23 +162,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
     vectors = materialize(
         rows.mapInArrow(_vectors, "doc_id long, label int, index binary, value binary"), "vectors"
     )
+    # dealt once: every round reads the same shards from the executors' disks
+    dealt = (
+        vectors.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(SHARDS)))
+        .repartition(SHARDS, "shard")
+        .persist(StorageLevel.DISK_ONLY)
+    )
     z, n = np.zeros(WIDTH), np.zeros(WIDTH)
-    for round_no in range(ROUNDS):
-        state = spark.sparkContext.broadcast((z, n))
-        place = F.xxhash64("doc_id", F.lit(round_no))
-        averaged = (
-            vectors.withColumn("place", place)
-            .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(SHARDS)))
-            .repartition(SHARDS, "shard")
-            .select("doc_id", "place", "shard", "label", "index", "value")
-            .mapInArrow(_shard_states(state), "at int, z double, n double")
-            .groupBy("at")
-            .agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
-            .filter("z <> 0 or n <> 0")
-            .toPandas()  # the model: a fixed number of weights
-        )
-        z, n = np.zeros(WIDTH), np.zeros(WIDTH)
-        z[averaged["at"]], n[averaged["at"]] = averaged["z"], averaged["n"]
+    try:
+        for round_no in range(ROUNDS):
+            state = spark.sparkContext.broadcast((z, n))
+            place = F.xxhash64("doc_id", F.lit(round_no))
+            averaged = (
+                dealt.withColumn("place", place)
+                .select("doc_id", "place", "shard", "label", "index", "value")
+                .mapInArrow(_shard_states(state), "at int, z double, n double")
+                .groupBy("at")
+                .agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
+                .filter("z <> 0 or n <> 0")
+                .toPandas()  # the model: a fixed number of weights
+            )
+            z, n = np.zeros(WIDTH), np.zeros(WIDTH)
+            z[averaged["at"]], n[averaged["at"]] = averaged["z"], averaged["n"]
+    finally:
+        dealt.unpersist(blocking=True)
     return weights(z, n)
 
 

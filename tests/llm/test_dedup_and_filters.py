@@ -319,3 +319,14 @@ def test_any_two_words_of_an_item_may_differ(spark, make_docs):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
     found = {r["doc_id"]: r["contaminated"] for r in dc.decontaminate(make_docs(docs), bench).collect()}
     assert found == want
+
+
+def test_training_deals_the_shards_once(spark, make_docs, monkeypatch):
+    """One shuffle of the vectors serves all rounds, and nothing stays on the executors' disks."""
+    docs = make_docs([(k, f"word{k % 7} text{k % 2} more") for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
+    dealt, plain = [], type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, *a: dealt.append(a) or plain(self, *a))
+    assert q.train(docs, labels).any()
+    assert len(dealt) == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
