@@ -19,11 +19,15 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from sitefold.llm.common import arrow_batch, id_texts, parts, texts
+from sitefold.session import materialize
 
 NONE = 2**30
-#: Characters of text gathered before their new words are encoded, and words remembered.
-BLOCK_CHARS = 4_000_000
-MEMO_WORDS = 200_000
+#: Characters of text gathered before their new words are encoded, and words remembered
+#: beside those of the block.
+BLOCK_CHARS = 2_000_000
+MEMO_WORDS = 100_000
+#: Positions whose pairs are looked up at a time.
+_LOOK = 1 << 16
 #: White space of Unicode; Python's own class also has four control characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(r"(?<=\S) ")
@@ -86,7 +90,10 @@ class MergeReplay:
         after[ends - 1] = n
         before[ends - lengths] = n
         after[n] = before[n] = n
-        waiting = np.append(self.product(symbol[:n], symbol[after[:n]]), NONE).astype(np.int32)
+        waiting = np.full(n + 1, NONE, np.int32)
+        for start in range(0, n, _LOOK):
+            some = slice(start, min(n, start + _LOOK))
+            waiting[some] = self.product(symbol[some], symbol[after[some]])
         index: dict[int, list[np.ndarray]] = defaultdict(list)
         heap: list[int] = []
         odd: list[np.ndarray] = []
@@ -172,28 +179,39 @@ class MergeReplay:
 
     def learn(self, new: list[str]) -> None:
         """Encodes units that the memo lacks."""
-        pieces = [[p.encode() for p in self.pattern.findall(u)] for u in new]
-        # a piece that is a token is not merged from its parts
-        ids = {p: self.ranks.get(p) for unit in pieces for p in unit}
-        wanted = [p for p, whole in ids.items() if whole is None]
-        for p, whole in ids.items():
-            if whole is not None:
-                ids[p] = whole.to_bytes(4, "little")
+        ids: dict[bytes, bytes | None] = {}  # None: to be merged from its parts
+        single, several = [], []
+        for u in new:
+            pieces = self.pattern.findall(u)
+            if pieces == [u]:
+                single.append(u)
+            else:
+                several.append((u, [p.encode() for p in pieces]))
+            for p in pieces:
+                piece = p.encode()
+                whole = self.ranks.get(piece)
+                ids[piece] = None if whole is None else whole.to_bytes(4, "little")
+        wanted = [p for p, known in ids.items() if known is None]
         if wanted:
             ids.update(zip(wanted, self.replay(wanted)))
-        for u, unit in zip(new, pieces):
-            self.memo[u] = ids[unit[0]] if len(unit) == 1 else b"".join([ids[p] for p in unit])
+        del wanted
+        for u in single:
+            self.memo[u] = ids[u.encode()]
+        for u, pieces in several:
+            self.memo[u] = b"".join([ids[p] for p in pieces])
 
     def encode(self, block: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo, new = self.memo, set()
+        seen: set[str] = set()
         for text in block:
-            new.update(u for u in units(text) if u not in memo)
+            seen.update(units(text))
+        new = [u for u in seen if u not in self.memo]
+        if len(self.memo) + len(new) > MEMO_WORDS:
+            self.memo = {u: self.memo[u] for u in seen if u in self.memo}
+        del seen
         if new:
-            self.learn(list(new))
-        return [b"".join(map(memo.__getitem__, units(t))) for t in block]
+            self.learn(new)
+        return [b"".join(map(self.memo.__getitem__, units(t))) for t in block]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -268,11 +286,16 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Number of tokens, digest of the ids, and digest of what they decode to, by row."""
+    """Number of tokens, digest of the ids, and digest of what they decode to, by row.
+
+    The narrow result is written while this is called, which gives the workers small batches of
+    texts: at the default size JVM and worker each hold up to 10,000 whole texts for every task.
+    """
     run = _both(_ranks(docs, vocabulary), pattern)
-    return texts(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary").select(
+    digests = texts(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary").select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return materialize(digests, "token-digests")

@@ -124,3 +124,21 @@ def test_ties_go_as_in_the_library():
     for _ in range(2000):
         text = "".join(rng.choice("aabb zé") for _ in range(rng.randint(0, 14)))
         assert counter.text(text)[0] == count(text), text
+
+
+def test_round_trip_is_written_with_small_batches(make_docs):
+    """What is left is a scan: a caller's later write cannot hand whole partitions to the workers."""
+    found = bpe.round_trip(make_docs([(1, "some text"), (None, None)]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert found.inputFiles()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in found.collect()) == [(0, 0), (1, 2)]
+
+
+def test_the_memo_keeps_to_its_size(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 10)
+    coder = bpe.MergeReplay(ranks, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for k in range(5):
+        text = " ".join(f"w{k}x{i} common{i % 2}" for i in range(4))
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+        assert len(coder.memo) <= 10
