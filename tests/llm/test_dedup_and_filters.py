@@ -330,3 +330,16 @@ def test_training_deals_the_shards_once(spark, make_docs, monkeypatch):
     assert q.train(docs, labels).any()
     assert len(dealt) == 1
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_sentences_are_told_apart_by_their_words_hashed_once():
+    """One pass over a text gives words and sentences; spans are equal where the words are."""
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "B", "Σ", "İ", ".", "!", " ", "\n", "\t", "\x1c", "\xa0", "b. "]) for _ in range(60))
+        parts = [p.lower().split() for p in sd.sentences(text)]
+        counts, words = sd.hashed_words(text)
+        assert counts == [len(p) for p in parts] and len(words) == len(text.split())
+        first, length, hashes = sd.spans(counts, words, 2)
+        pairs = [tuple(map(tuple, parts[k : k + 2])) for k in first.tolist()]
+        assert len(set(pairs)) == len(set(hashes.tolist())) == len(set(zip(pairs, hashes.tolist())))
