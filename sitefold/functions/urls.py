@@ -25,6 +25,9 @@ _PARTS = (
     r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 )
 
+# a path from the root without parameters, dots and control characters
+_ROOTED = r"^/(?!/)[^?#:;.\x00-\x20]*(?:[?#][^\x00-\x20]*)?$"
+
 # parameters of the last path segment, which do not count as part of the path
 _PARAMS = ";[^/]*$"
 
@@ -282,16 +285,37 @@ def is_skippable(href: Column) -> Column:
     return (h == "") | h.rlike(SKIPPED_HREF)
 
 
+def _resolve_target(base: Column, href: Column) -> Column:
+    """:func:`resolve_parts` of ``href`` without query and fragment where it is a plain path from
+    the root, as most links are: then there is nothing to merge."""
+    path = F.substring_index(F.substring_index(href, "#", 1), "?", 1)
+    none = F.lit("")
+    rooted = F.struct(
+        base["scheme"].alias("scheme"),
+        base["netloc"].alias("netloc"),
+        path.alias("path"),
+        none.alias("query"),
+        none.alias("fragment"),
+    )
+    return F.when(href.rlike(_ROOTED), rooted).otherwise(
+        bound(split_url(href), lambda ref: resolve_parts(base, ref))
+    )
+
+
 def site_links(base_url: Column, hrefs: Column) -> Column:
     """Canonical same-site target links of a page, first occurrence first."""
     usable = F.array_distinct(
         F.filter(F.transform(hrefs, strip), lambda h: (h != "") & ~h.rlike(SKIPPED_HREF))
     )
-    refs = F.transform(usable, split_url)
 
     def against(base: Column) -> Column:
+        # a keyword lies within one segment, and a segment comes whole from the link or the base
+        base_word = target_path(base["path"])
+        likely = F.filter(
+            usable, lambda h: F.lower(h).rlike("|".join(TARGET_KEYWORDS)) | base_word | h.rlike(r"[\t\r\n]")
+        )
         return F.filter(
-            F.transform(refs, lambda ref: resolve_parts(base, ref)),
+            F.transform(likely, lambda h: _resolve_target(base, h)),
             lambda p: same_site(p["netloc"], base["netloc"]) & target_path(p["path"]),
         )
 

@@ -47,7 +47,7 @@ def read_pages(
     links and error are kept.
     """
     wanted = pages.select("page_id", "status_code", "html")
-    parsed = scan_contacts(wanted, denied=denied) if contents else parse_html(wanted)
+    parsed = scan_contacts(wanted, denied=denied) if contents else parse_html(wanted, contents=False)
     broken = F.col("parse_error").isNotNull()
     markdown = F.col("markdown") if max_chars is None else F.left("markdown", F.lit(max_chars))
     content = (
@@ -106,18 +106,22 @@ def crawl(
     pages, the requested URLs and their ids.
     """
     source = PageTable(pages) if isinstance(pages, DataFrame) else pages
-    starts = start_urls(seeds)
-    index = materialize(source.index(), "page-index")
-    home_ids = materialize(
-        index.join(starts.select("page_key").distinct(), "page_key", "left_semi"), "home-ids"
+    starts = materialize(start_urls(seeds), "starts")
+    home_keys = starts.select("page_key").distinct().withColumn("at_home", F.lit(True))
+    index = materialize(
+        source.index()
+        .join(home_keys, "page_key", "left")
+        .withColumn("at_home", F.coalesce("at_home", F.lit(False))),
+        "page-index",
     )
+    home_ids = index.filter("at_home").drop("at_home")
     home_pages = materialize(
         read_pages(source.pick(home_ids), denied, max_chars, contents), "home-pages"
     )
     home_links = home_pages.select("page_id", "hrefs").join(home_ids, "page_id")
     # Seeds that differ only in their query string share one home page.
     homes = left_join_salted(
-        materialize(starts, "starts"), home_links.select("page_key", "hrefs"), "page_key", spread_by="domain"
+        starts, home_links.select("page_key", "hrefs"), "page_key", spread_by="domain"
     )
     found = urls.discover_links(F.col("start_url"), F.col("hrefs"), max_subpages)
     requested = materialize(
@@ -141,14 +145,14 @@ def crawl(
     # is fetched in one join by id. Many seeds on one host share its sub-pages, so
     # both keys may be hot.
     frontier = materialize(left_join_salted(requested, index, "page_key", spread_by="domain"), "frontier")
-    more_ids = (
-        frontier.filter(F.col("page_id").isNotNull())
-        .select(*source.id_columns)
-        .distinct()
-        .join(home_pages.select("page_id"), "page_id", "left_anti")
-    )
-    more_ids = materialize(more_ids, "more-ids")
+    more_ids = frontier.filter(F.col("page_id").isNotNull() & ~F.col("at_home")).select(*source.id_columns)
+    more_ids = materialize(more_ids.distinct(), "more-ids")
     more_pages = read_pages(source.pick(more_ids), denied, max_chars, contents).drop("hrefs")
-    more_pages = materialize(more_pages, "more-pages").join(more_ids, "page_id", "left_semi")
-    parsed = home_pages.drop("hrefs").unionByName(more_pages)
-    return _fill_missing(left_join_salted(frontier, parsed, "page_id", spread_by="domain"), contents)
+    more_pages = materialize(more_pages, "more-pages")
+    # A page that was picked by chance, or both times, has no partner: a requested page is
+    # looked for only where it was picked for its id.
+    parsed = home_pages.drop("hrefs").withColumn("at_home", F.lit(True)).unionByName(
+        more_pages.withColumn("at_home", F.lit(False))
+    )
+    found = left_join_salted(frontier, parsed, "page_id", spread_by="domain", also=("at_home",))
+    return _fill_missing(found, contents)

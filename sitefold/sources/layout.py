@@ -44,6 +44,14 @@ def standing_pages(keyed: DataFrame, id_columns: list[str]) -> DataFrame:
     Copies of one URL may be a large share of the pages. They are told apart here on
     narrow columns, combined before the shuffle, and never meet in one task.
     """
+    if id_columns == ["page_id"]:  # numbers are combined by hash, structs would be sorted
+        served = F.col("status_code") < 400
+
+        def least(of: Column) -> Column:  # a null id comes first
+            return F.when(F.count_if(of & F.col("page_id").isNull()) == 0, F.min(F.when(of, F.col("page_id"))))
+
+        best = F.when(F.count_if(served) > 0, least(served)).otherwise(least(F.lit(True)))
+        return keyed.groupBy("page_key").agg(best.alias("page_id"))
     ids = F.struct(*id_columns)
     served = F.when(F.col("status_code") < 400, ids)
     best = F.coalesce(F.min(served), F.min(ids)).alias("best")

@@ -276,3 +276,46 @@ def test_hot_key_is_spread(spark, hot):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 20_000 and max(sizes) < 8_000
+
+
+def test_without_hot_keys_each_side_moves_once(spark):
+    a = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("k"))
+    b = spark.range(0, 50, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted((r["id"], r["k"], r["v"]) for r in a.join(b, "k", "left").collect())
+    for limit, joins in ((400, 1), (300, 1), (10, 3)):  # plain; many nulls only; hot keys
+        joined = left_join_salted(a, b, "k", "id", slice_rows=limit)
+        assert joined.columns == ["k", "id", "v"]
+        assert sorted(((r["id"], r["k"], r["v"]) for r in joined.collect()), key=lambda r: r[0]) == sorted(
+            a.join(b, "k", "left").select("id", "k", "v").collect(), key=lambda r: r[0])
+        assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == joins, limit
+    assert len(want) == 1000
+
+
+def test_join_on_a_further_column(spark):
+    a = spark.createDataFrame([(k, k % 7, k % 2 == 0) for k in range(300)], "id long, k long, f boolean")
+    b = spark.createDataFrame([(k, f, f"{k}{f}") for k in range(5) for f in (True, False)], "k long, f boolean, v string")
+    for limit in (1000, 10):
+        got = left_join_salted(a, b, "k", "id", slice_rows=limit, also=("f",)).collect()
+        assert len(got) == 300
+        assert all(r["v"] == (f"{r['k']}{r['f']}" if r["k"] < 5 else None) for r in got)
+
+
+def test_index_takes_the_smallest_served_page(spark):
+    rows = [("a", 3, 200), ("a", 1, 500), ("a", 2, 200), ("b", 9, 500), ("b", 8, 404), ("c", None, 200), ("c", 4, 200),
+            ("d", None, 500), ("d", 5, 200), (None, 6, 200)]
+    keyed = spark.createDataFrame(rows, "page_key string, page_id long, status_code int")
+    found = layout.standing_pages(keyed, ["page_id"])
+    assert {(r["page_key"], r["page_id"]) for r in found.collect()} == {
+        ("a", 2), ("b", 8), ("c", None), ("d", 5), (None, 6)}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_text_is_joined_once(spark, monkeypatch):
+    """Pages picked by chance fall out in the join to the frontier, not in one of their own."""
+    monkeypatch.setattr(layout, "pick_rows", lambda df, ids, key: df)  # every page passes
+    seeds = spark.createDataFrame([(k, s) for k, s in enumerate(SEEDS)], "seed_no long, domain string")
+    rows = crawl.crawl(seeds, make_pages(spark, PAGES))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    home = [r for r in rows.collect() if r["url"] == "https://acme.io"]
+    assert len(home) == 1 and home[0]["emails"] == ["x@acme.io"]

@@ -203,3 +203,20 @@ def test_text_and_tag_are_one_token():
 def test_white_space_and_list_like_text_by_line():
     for written, read in (("1. x", "1\\. x"), ("a 1. x", "a 1. x"), ("- y\n+ z", "\\- y \\+ z"), ("\xa0 \x1cq ", "q")):
         assert read_page(f"<p>{written}</p>")[0].strip() == read
+
+
+def test_links_alone_are_the_links_of_the_whole_pass():
+    parts = ["<p>", "</p>", "<a href='/x'>", "</a>", "<a href=/t>T &amp; x</a>", "<br>", "<br>t</br>", "<script>a</script>",
+             "<style>p<q</style>", "<nav>", "</nav>", "<ol start='3'>", "<ol start='²'>", "<P>x</p>", "<", "text ", "<!-- c -->",
+             "<div style='display:none'>", "</div>", "<svg/>", "&#" + "9" * 5000 + ";"]
+    rng = random.Random(7)
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert html.read_page(page, html.LinkReader)[1:] == html.read_page(page)[1:], page
+    assert html.read_page("<p>no text</p><a href='/x'>l</a>", html.LinkReader) == ("", ["/x"], None)
+
+
+def test_an_element_of_text_only_is_one_match():
+    page = "<nav>" + "<a href='/x'>l</a>" * 50 + "</nav><p>a</p><br>b</br><P>c</p>"
+    assert len(list(html._ELEMENT.finditer(page))) < 62
+    assert html.read_page(page)[1] == ["/x"] * 50 and html.read_page(page)[0].split() == ["a", "b", "c"]

@@ -164,3 +164,15 @@ def test_only_odd_links_are_matched_by_pattern(spark, column):
 
     values = [v for v in values if not set(v) & set("\t\r\n") and not v.startswith(" ")]
     assert column(values, urls.split_url) == column(values, by_pattern)
+
+
+def test_links_from_the_root_need_no_merging(spark):
+    hrefs = ["/about", "/about/?q=team:1#f", "/a/../team", "//acme.io/company", "/x;team", "/team;p", "/blog", "ab\nout", "/ca\treers",
+             "pricing", "/blog#team"]
+    found = spark.range(1).select(urls.site_links(F.lit("https://acme.io/x/y"), F.array(*map(F.lit, hrefs))).alias("l"))
+    assert found.first()["l"] == [
+        "https://acme.io/about", "https://acme.io/team", "https://acme.io/company",
+        "https://acme.io/x/about", "https://acme.io/careers", "https://acme.io/x/pricing"]
+    base = spark.range(1).select(urls._resolve_target(F.struct(F.lit("https").alias("scheme"), F.lit("h").alias("netloc"),
+        F.lit("/x").alias("path"), F.lit("").alias("query"), F.lit("").alias("fragment")), F.lit("/about/?q")).alias("p"))
+    assert base.first()["p"]["path"] == "/about/"
