@@ -68,8 +68,9 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
     Repeated rows count once; different hits of one rank all count, in the order of
     their URL, title and body. Titles and bodies stay where they are until the hits that
     can be among the first are known: rank, URL and a hash of the row are made distinct and
-    limited first, before and after the shuffle. Only rows with such a hash are then moved and
-    put in order. Hits of one query that share rank and URL with its k-th all take part.
+    limited first, before and after the shuffle. Only rows with such a hash, and a few that pass by
+    chance and come later in the order, are then moved and put in order. Hits of one query that
+    share rank and URL with its k-th all take part.
     """
     columns = ["query", "rank", "href", "title", "body"]
     row = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
@@ -81,8 +82,8 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
         .withColumn("_at", F.rank().over(by_query.orderBy("rank", "href")))
         .filter(F.col("_at") <= k)
     )
-    chosen = materialize(near.select("_hit").distinct(), "chosen-hits")
-    first = pick_rows(marked, chosen, "_hit").join(chosen, "_hit", "left_semi").select(*columns).distinct()
+    chosen = materialize(near.select("_hit"), "chosen-hits")
+    first = pick_rows(marked, chosen, "_hit").select(*columns).distinct()
     order = by_query.orderBy(*columns[1:])
     return first.withColumn("hit_no", F.row_number().over(order)).filter(F.col("hit_no") <= k)
 
@@ -118,14 +119,16 @@ def fill_leaders(leads: DataFrame, hits: DataFrame) -> DataFrame:
 
     ``leads`` is a table with a unique ``domain`` and columns ``company`` and
     ``leaders``; ``leaders`` is replaced and ``search_queries_used`` added. Records
-    that need no search are not exploded. Many companies may share one name and so
-    one query, hence the salted join.
+    that need no search are not exploded. Hits of queries that nobody asked are left where
+    they lie. Many companies may share one name and so one query, hence the salted join.
     """
     asked = leads.withColumn("requests", search_requests(F.col("leaders"), F.col("company")))
     requests = asked.select("domain", F.posexplode("requests").alias("pos", "r")).select(
         "domain", "pos", F.col("r.leader_no").alias("leader_no"), F.col("r.query").alias("query")
     )
-    answered = left_join_salted(requests, hits_by_query(hits), "query", spread_by="domain")
+    requests = materialize(requests, "search-requests")
+    asked_for = pick_rows(hits, requests, "query")
+    answered = left_join_salted(requests, hits_by_query(asked_for), "query", spread_by="domain")
     answers = answered.groupBy("domain").agg(
         F.array_sort(
             F.collect_list(F.struct("pos", "leader_no", "person_url", "broad_leaders"))

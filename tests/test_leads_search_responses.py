@@ -273,3 +273,13 @@ def test_many_copies_of_a_response(spark):
     rows = [("a.io", "A", "m", json.dumps(GOOD))] * 300 + [("a.io", "B", "g", json.dumps(GOOD))]
     got = responses.accepted_responses(responses.validate(spark.createDataFrame(rows, schemas.RESPONSES))).collect()
     assert [(r["domain"], r["provider"]) for r in got] == [("a.io", "A")]
+
+
+def test_hits_nobody_asked_for_are_left_out(spark, monkeypatch):
+    q = person("Ada Stone")
+    hits = [hit(q, 1, "https://linkedin.com/in/x")] + [hit(f"other {k}", 1) for k in range(2000)]
+    seen, top = [], search.top_hits
+    monkeypatch.setattr(search, "top_hits", lambda df, k: seen.append(df.count()) or top(df, k))
+    got = fill(spark, [("a", "Acme", [leader("Ada Stone")])], hits)["a"]
+    assert got["leaders"][0]["linkedin_url"] == "https://linkedin.com/in/x"
+    assert 1 <= seen[0] < 200
