@@ -1,9 +1,9 @@
 """Byte-level BPE encoding by merge replay, and decoding.
 
 Each task gathers the distinct words of a block of its texts and encodes them together:
-an inverted index leads from a merge to the positions where it applies, all merges are
-applied in rank order to all words at once, and only the pairs next to a merge are looked
-at again. Words seen before come from a memo of bounded size. Texts never leave their partition.
+an inverted index leads from a merge to the positions where it applies, the merges of each
+word are applied in rank order, those of many words and ranks at once, and only the pairs next to a
+merge are looked at again. Words seen before come from a memo of bounded size. Texts never leave their partition.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from sitefold.session import materialize
 NONE = 2**30
 #: Characters of text gathered before their new words are encoded, and words remembered
 #: beside those of the block.
-BLOCK_CHARS = 2_000_000
-MEMO_WORDS = 100_000
+BLOCK_CHARS = 3_000_000
+MEMO_WORDS = 150_000
 #: Positions whose pairs are looked up at a time.
 _LOOK = 1 << 16
+#: Places merged at a time, at least, and bits of the ranks that share one list of the index.
+_WAVE = 1 << 12
+_GROUP = 5
 #: White space of Unicode; Python's own class also has four control characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(r"(?<=\S) ")
@@ -66,6 +69,8 @@ class MergeReplay:
         pairs.sort()
         self.pair_keys = np.array([p[0] for p in pairs] or [-1], np.int64)
         self.pair_ranks = np.array([p[1] for p in pairs] or [NONE], np.int64)
+        # two bytes are sorted by counting
+        self.groups = np.uint16 if max(ranks.values()) >> _GROUP < 1 << 16 else np.int32
         self.tokens = {r: t for t, r in ranks.items()}
         self.pattern = regex.compile(
             pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
@@ -80,7 +85,7 @@ class MergeReplay:
         return np.where(found, self.pair_ranks[at], NONE)
 
     def replay(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, all merges applied in rank order over all words."""
+        """Ids of each word, its merges applied in rank order."""
         lengths = np.array([len(w) for w in words])
         ends = np.cumsum(lengths)
         n = int(ends[-1])
@@ -94,7 +99,8 @@ class MergeReplay:
         for start in range(0, n, _LOOK):
             some = slice(start, min(n, start + _LOOK))
             waiting[some] = self.product(symbol[some], symbol[after[some]])
-        index: dict[int, list[np.ndarray]] = defaultdict(list)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        index: dict[int, list[np.ndarray]] = defaultdict(list)  # by groups of neighbouring ranks
         heap: list[int] = []
         odd: list[np.ndarray] = []
 
@@ -103,44 +109,61 @@ class MergeReplay:
             if not len(real):
                 return
             positions, products = positions[real], products[real]
-            order = np.argsort(products, kind="stable")
-            positions, products = positions[order], products[order]
-            cuts = (np.flatnonzero(products[1:] != products[:-1]) + 1).tolist()
-            for start, end in zip([0, *cuts], [*cuts, len(products)]):
-                rank = int(products[start])
+            groups = (products >> _GROUP).astype(self.groups)
+            order = np.argsort(groups, kind="stable")
+            positions, groups = positions[order], groups[order]
+            cuts = (np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist()
+            for start, end in zip([0, *cuts], [*cuts, len(groups)]):
+                rank = int(groups[start])
                 if rank not in index:
                     heapq.heappush(heap, rank)
                 index[rank].append(positions[start:end])
 
         note(np.arange(n, dtype=np.int32), waiting[:n])
         while heap:
-            rank = heapq.heappop(heap)
-            at = np.concatenate(index.pop(rank))
-            at = np.sort(at[waiting[at] == rank])
+            # words are independent: the places of the next ranks are taken together, and each
+            # word merges those of its own lowest rank; the others wait
+            found, size = [], 0
+            while heap and size < _WAVE:
+                rank = heapq.heappop(heap)
+                for places in index.pop(rank):
+                    found.append(places)
+                    size += len(places)
+            at = np.sort(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            due = waiting[at]
+            valid = due <= (rank + 1 << _GROUP) - 1
+            valid[1:] &= at[1:] != at[:-1]
+            at, due = at[valid], due[valid]
             if not len(at):
                 continue
-            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+            word = word_of[at]
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            lowest = np.repeat(np.minimum.reduceat(due, first), np.diff(np.append(first, len(at))))
+            now = due == lowest
+            later_at, later_due = at[~now], due[~now]
+            at, due = at[now], due[now]
             # of overlapping pairs ("aaa") the left one merges
             runs = np.concatenate(([True], at[1:] != after[at[:-1]]))
             place = np.arange(len(at)) - np.maximum.accumulate(np.where(runs, np.arange(len(at)), 0))
-            at = at[place % 2 == 0]
+            even = place % 2 == 0
+            at, due = at[even], due[even]
             gone = after[at]
             right = after[gone]
-            early = self.product(np.full(len(at), rank), symbol[right])
-            symbol[at], symbol[gone], waiting[gone] = rank, -1, NONE
+            early = self.product(due, symbol[right])
+            symbol[at], symbol[gone], waiting[gone] = due, -1, NONE
             after[at], before[right] = right, at
             before[n] = n
             left = before[at]
-            by_right = self.product(symbol[at], symbol[right])
-            by_left = self.product(symbol[left], symbol[at])
+            m = len(at)
+            both = self.product(symbol[np.concatenate((at, left))], symbol[np.concatenate((right, at))])
+            by_right, by_left = both[:m], both[m:]
             waiting[at], waiting[left] = by_right, by_left
             waiting[n] = NONE
             # a new pair of an earlier rank would have gone before the rest of its word
-            mixed = np.minimum(np.minimum(early, by_right), by_left) <= rank
+            mixed = np.minimum(np.minimum(early, by_right), by_left) <= due
             if mixed.any():
-                odd.append(np.searchsorted(ends, at[mixed], side="right"))
-            note(at, by_right)
-            note(left, by_left)
+                odd.append(word_of[at[mixed]])
+            note(np.concatenate((at, left, later_at)), np.concatenate((by_right, by_left, later_due)))
         alive = symbol[:n] >= 0
         stops = np.cumsum(np.add.reduceat(alive, ends - lengths, dtype=np.int64)) * 4
         ids = symbol[:n][alive].astype("<u4").tobytes()
@@ -202,16 +225,15 @@ class MergeReplay:
 
     def encode(self, block: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        seen: set[str] = set()
-        for text in block:
-            seen.update(units(text))
+        cut = [units(text) for text in block]
+        seen: set[str] = set().union(*cut)
         new = [u for u in seen if u not in self.memo]
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo = {u: self.memo[u] for u in seen if u in self.memo}
         del seen
         if new:
             self.learn(new)
-        return [b"".join(map(self.memo.__getitem__, units(t))) for t in block]
+        return [b"".join(map(self.memo.__getitem__, text)) for text in cut]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -142,3 +142,16 @@ def test_the_memo_keeps_to_its_size(ranks, monkeypatch):
         text = " ".join(f"w{k}x{i} common{i % 2}" for i in range(4))
         assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
         assert len(coder.memo) <= 10
+
+
+def test_merges_of_many_words_go_together(monkeypatch):
+    """In far fewer steps than there are ranks, with the merges of each word in rank order."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        coder = bpe.MergeReplay(bpe.read_ranks(f.read()), P.PATTERN)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aaabeinrstéß.-") for _ in range(rng.randint(1, 30))).encode() for _ in range(4000)]
+    words += [b"a" * k for k in range(1, 60)]
+    steps, product = [], coder.product
+    monkeypatch.setattr(coder, "product", lambda a, b: steps.append(1) or product(a, b))
+    assert coder.replay(words) == [coder.alone(w) for w in words]
+    assert len(steps) < 400
