@@ -127,3 +127,49 @@ def test_words_of_a_chunk():
     assert dict(zip(zip(langs.to_pylist(), phrases.to_pylist()), grams.counts().tolist())) == {
         ("en", "a b"): 2, ("en", "b c"): 1, ("de", "a b"): 1,
     }
+
+
+class Value:
+    def __init__(self, value):
+        self.value = value
+
+
+def batches(rows):
+    half = len(rows) // 2
+    for some in (rows[:half], rows[half:]):
+        yield pa.record_batch([pa.array([r[2] or "und" for r in some]), pa.array([r[1] or "" for r in some])], names=["lang", "text"])
+
+
+def test_one_pass_counts_what_the_sample_missed(make_phrases, monkeypatch):
+    """Each failure may grow by a word; passes over all texts do not add up with the length."""
+    written = []
+    materialize = co.materialize
+    monkeypatch.setattr(co, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    rows = texts(7, 120)
+    assert mined(co.collocations(make_phrases(rows), 4, 3, 500, sample=10**9)) == brute(rows, 4, 3, 500)
+    assert written.count("frequent") == 2
+
+
+@pytest.mark.parametrize("pending", [1, 10**6])
+def test_counts_leave_a_task_by_ranges(monkeypatch, pending):
+    """Rows of a task are ranges of hashes, not phrases; their totals are exact up to the least count."""
+    monkeypatch.setattr(co, "PENDING", pending)
+    rows = [r for r in texts(9, 400) if r[1]]
+    out = list(co._count_hashes(3, 1000, 4)(batches(rows)))
+    if pending > 1:
+        assert sum(b.num_rows for b in out) <= 3 * 16
+    total = sum(int((np.frombuffer(c, np.uint64) & co._low(1000)).sum()) for b in out for c in b.column(2).to_pylist() if b.num_rows)
+    plain = Counter()
+    for _, text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(LOWER)):
+            words = [w for w in re.split(r"[\x20\x09]+", piece) if w]
+            plain.update((lang or "und", *words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1))
+    if pending > 1:
+        assert total == sum(min(n, 1000) for n in plain.values())
+    else:
+        assert total == sum(plain.values())
+
+
+def test_languages_with_odd_names(make_phrases):
+    rows = [(k, "one two three " * 12, lang) for k, lang in enumerate(["", "a\nb", "a", "\n", "en us", None])]
+    assert mined(co.collocations(make_phrases(rows))) == brute(rows, 3, 10, 2000)
