@@ -1,7 +1,7 @@
 """Byte-level BPE encoding by merge replay, and decoding.
 
-Each task gathers the distinct words of a block of its texts and encodes them together:
-an inverted index leads from a merge to the positions where it applies, the merges of each
+Each task gathers the distinct words of a block of its texts and encodes them together, in
+arrays without an object for each word: an inverted index leads from a merge to the positions where it applies, the merges of each
 word are applied in rank order, those of many words and ranks at once, and only the pairs next to a
 merge are looked at again. Words seen before come from a memo of bounded size. Texts never leave their partition.
 """
@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from sitefold.llm.common import arrow_batch, id_texts, parts, texts
+from sitefold.llm.common import parts, texts
 from sitefold.session import materialize
 
 NONE = 2**30
-#: Characters of text gathered before their new words are encoded, and words remembered
+#: Bytes of text gathered before their new words are encoded, and words remembered
 #: beside those of the block.
 BLOCK_CHARS = 3_000_000
 MEMO_WORDS = 150_000
@@ -33,8 +34,9 @@ _WAVE = 1 << 12
 _GROUP = 5
 #: White space of Unicode; Python's own class also has four control characters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNIT = re.compile(r"(?<=\S) ")
-_ODD_SPACE = re.compile(r"\s ")
+#: Bytes that may end a visible character: no blank of ASCII, no last byte of another white space.
+_VISIBLE = np.array([0x20 < b < 0x7F or b >= 0x80 for b in range(256)])
+_VISIBLE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -42,16 +44,60 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in map(bytes.split, data.splitlines())}
 
 
-def units(text: str) -> list[str]:
-    """Cuts before each single space that follows a visible character.
+def joined(column: pa.Array) -> np.ndarray:
+    """The bytes of all values, one after the other (null: none)."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.cast(pa.binary()).fill_null(b""))
+    return np.frombuffer(pc.binary_join(one, b"")[0].as_buffer(), np.uint8)
+
+
+def sizes_of(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def slices(data: np.ndarray, sizes: np.ndarray, kind=pa.binary()) -> pa.Array:
+    """Consecutive pieces of ``data`` of these numbers of elements."""
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    offsets = (offsets * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Cuts texts before each space that follows a visible character; and the units of each text.
 
     No match of the splitting pattern crosses such a cut, so units are encoded one by one.
     """
-    if "  " in text or text[:1] == " " or _ODD_SPACE.search(text):
-        cut = _UNIT.split(text)
-    else:
-        cut = text.split(" ")
-    return cut[:1] + [" " + u for u in cut[1:]]
+    data, sizes = joined(texts), sizes_of(texts)
+    cut = np.zeros(len(data) + 1, bool)
+    np.logical_and(data[1:] == 0x20, _VISIBLE[data[:-1]], out=cut[1:-1])
+    ends = np.cumsum(sizes)
+    cut[(ends - sizes)[sizes > 0]] = True
+    cut[-1] = True
+    places = np.flatnonzero(cut)
+    found = slices(data, np.diff(places), pa.string())
+    return found, np.diff(np.searchsorted(places[:-1], ends), prepend=0)
+
+
+class Sequences:
+    """Ids of words, as places in one array."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def take(self, words: np.ndarray) -> "Sequences":
+        """Those of some words, which may repeat, one after the other."""
+        sizes = self.sizes[words]
+        shifts = self.starts[words] - (np.cumsum(sizes) - sizes)
+        return Sequences(self.ids[np.repeat(shifts, sizes) + np.arange(int(sizes.sum()))], sizes)
+
+    def together(self, groups: np.ndarray) -> "Sequences":
+        """Joins consecutive words, so many for each group."""
+        ends = np.append(0, np.cumsum(self.sizes))[np.append(0, np.cumsum(groups))]
+        return Sequences(self.ids, np.diff(ends))
+
+    def __add__(self, other: "Sequences") -> "Sequences":
+        return Sequences(np.concatenate((self.ids, other.ids)), np.concatenate((self.sizes, other.sizes)))
 
 
 class MergeReplay:
@@ -71,11 +117,12 @@ class MergeReplay:
         self.pair_ranks = np.array([p[1] for p in pairs] or [NONE], np.int64)
         # two bytes are sorted by counting
         self.groups = np.uint16 if max(ranks.values()) >> _GROUP < 1 << 16 else np.int32
-        self.tokens = {r: t for t, r in ranks.items()}
+        self.tokens = pa.array(list(ranks), pa.binary())
+        self.token_ranks = np.array(list(ranks.values()), np.int32)
         self.pattern = regex.compile(
             pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         )
-        self.memo: dict[str, bytes] = {}
+        self.memo = pa.array([], pa.string()), Sequences(np.empty(0, np.int32), np.empty(0, np.int64))
 
     def product(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that a pair merges to, NONE where there is none."""
@@ -86,11 +133,15 @@ class MergeReplay:
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, its merges applied in rank order."""
-        lengths = np.array([len(w) for w in words])
+        found = self.replayed(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]))
+        return slices(found.ids.astype("<u4"), found.sizes).to_pylist()
+
+    def replayed(self, data: np.ndarray, lengths: np.ndarray) -> Sequences:
+        """The same of words that are the bytes of one array."""
         ends = np.cumsum(lengths)
         n = int(ends[-1])
         # one more position stands for "no neighbour"
-        symbol = np.append(self.single[np.frombuffer(b"".join(words), np.uint8)], -1).astype(np.int32)
+        symbol = np.append(self.single[data], -1).astype(np.int32)
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[ends - lengths] = n
@@ -99,7 +150,7 @@ class MergeReplay:
         for start in range(0, n, _LOOK):
             some = slice(start, min(n, start + _LOOK))
             waiting[some] = self.product(symbol[some], symbol[after[some]])
-        word_of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        word_of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         index: dict[int, list[np.ndarray]] = defaultdict(list)  # by groups of neighbouring ranks
         heap: list[int] = []
         odd: list[np.ndarray] = []
@@ -165,15 +216,16 @@ class MergeReplay:
                 odd.append(word_of[at[mixed]])
             note(np.concatenate((at, left, later_at)), np.concatenate((by_right, by_left, later_due)))
         alive = symbol[:n] >= 0
-        stops = np.cumsum(np.add.reduceat(alive, ends - lengths, dtype=np.int64)) * 4
-        ids = symbol[:n][alive].astype("<u4").tobytes()
-        stops = stops.tolist()
-        out = [ids[a:b] for a, b in zip([0, *stops], stops)]
-        for k in np.unique(np.concatenate(odd)).tolist() if odd else ():
-            out[k] = self.alone(words[k])
+        out = Sequences(symbol[:n][alive], np.add.reduceat(alive, ends - lengths, dtype=np.int64))
+        if odd:
+            again = np.unique(np.concatenate(odd))
+            ids = [self.alone(data[ends[k] - lengths[k] : ends[k]].tobytes()) for k in again.tolist()]
+            order = np.arange(len(lengths))
+            order[again] = len(lengths) + np.arange(len(again))
+            out = (out + Sequences(np.concatenate(ids), np.array([len(i) for i in ids]))).take(order)
         return out
 
-    def alone(self, word: bytes) -> bytes:
+    def alone(self, word: bytes) -> np.ndarray:
         """One word, one merge at a time: the earliest rank first, the leftmost of a rank."""
         rank = self.ranks
         part = [bytes([b]) for b in word]
@@ -198,82 +250,123 @@ class MergeReplay:
                 before[after[i]] = i
             push(before[i])
             push(i)
-        return np.array([rank[p] for p in part if p is not None], "<u4").tobytes()
-
-    def learn(self, new: list[str]) -> None:
-        """Encodes units that the memo lacks."""
-        ids: dict[bytes, bytes | None] = {}  # None: to be merged from its parts
-        single, several = [], []
-        for u in new:
-            pieces = self.pattern.findall(u)
-            if pieces == [u]:
-                single.append(u)
-            else:
-                several.append((u, [p.encode() for p in pieces]))
-            for p in pieces:
-                piece = p.encode()
-                whole = self.ranks.get(piece)
-                ids[piece] = None if whole is None else whole.to_bytes(4, "little")
-        wanted = [p for p, known in ids.items() if known is None]
-        if wanted:
-            ids.update(zip(wanted, self.replay(wanted)))
-        del wanted
-        for u in single:
-            self.memo[u] = ids[u.encode()]
-        for u, pieces in several:
-            self.memo[u] = b"".join([ids[p] for p in pieces])
+        return np.array([rank[p] for p in part if p is not None], np.int32)
+
+    def pieces(self, new: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Matches of the pattern in units, and their number in each."""
+        sizes = sizes_of(new)
+        data = joined(new)
+        ends = np.cumsum(sizes)
+        # units that may stand one after the other in a text are matched together
+        if len(new) and (data[(ends - sizes)[1:]] == 0x20).all() and _VISIBLE[data[ends[:-1] - 1]].all():
+            found = pa.array(self.pattern.findall(data.tobytes().decode()), pa.string())
+            stops = np.cumsum(sizes_of(found))
+            at = np.searchsorted(stops, ends)
+            if len(stops) and stops[-1] == ends[-1] and (stops[at] == ends).all():
+                return found, np.diff(at, prepend=-1)
+        each = [self.pattern.findall(u) for u in new.to_pylist()]
+        return pa.array([p for some in each for p in some], pa.string()), np.array([len(p) for p in each], np.int64)
+
+    def learnt(self, new: pa.Array) -> tuple[pa.Array, Sequences]:
+        """Units in another order, and their ids."""
+        first = pc.starts_with(new, " ").to_numpy(zero_copy_only=False)
+        last = joined(new)[np.cumsum(sizes_of(new)) - 1]
+        usual = first & _VISIBLE[last]
+        ordered, found, counts = [], [], []
+        for some in (usual, ~usual):
+            ordered.append(new.filter(pa.array(some)))
+            pieces, count = self.pieces(ordered[-1])
+            found.append(pieces)
+            counts.append(count)
+        coded = pa.concat_arrays(found).dictionary_encode()
+        distinct = coded.dictionary
+        whole = pc.index_in(distinct.cast(pa.binary()), value_set=self.tokens)
+        known = whole.is_valid().to_numpy(zero_copy_only=False)
+        ranks = self.token_ranks[whole.drop_null().to_numpy()]
+        ids = Sequences(ranks, np.ones(len(ranks), np.int64))
+        place = np.empty(len(distinct), np.int64)
+        place[known] = np.arange(len(ranks))
+        if not known.all():
+            wanted = distinct.filter(pa.array(~known))
+            ids += self.replayed(joined(wanted), sizes_of(wanted))
+            place[~known] = len(ranks) + np.arange(len(wanted))
+        numbers = coded.indices.to_numpy(zero_copy_only=False)
+        return pa.concat_arrays(ordered), ids.take(place[numbers]).together(np.concatenate(counts))
+
+    def encoded(self, texts: pa.Array) -> Sequences:
+        """Ids of each text."""
+        cut, count = units(texts)
+        coded = cut.dictionary_encode()
+        del cut
+        seen, (known, ids) = coded.dictionary, self.memo
+        new = seen.filter(pc.invert(pc.is_in(seen, value_set=known)))
+        if len(new):
+            new, new_ids = self.learnt(new)
+            known, ids = pa.concat_arrays([known, new]), ids + new_ids
+        place = pc.index_in(seen, value_set=known).to_numpy(zero_copy_only=False)
+        if len(known) > MEMO_WORDS:
+            known, ids = seen, ids.take(place)
+            place = np.arange(len(seen))
+        self.memo = known, ids
+        return ids.take(place[coded.indices.to_numpy(zero_copy_only=False)]).together(count)
 
     def encode(self, block: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = [units(text) for text in block]
-        seen: set[str] = set().union(*cut)
-        new = [u for u in seen if u not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {u: self.memo[u] for u in seen if u in self.memo}
-        del seen
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.memo.__getitem__, text)) for text in cut]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        found = self.encoded(pa.array(block, pa.string()))
+        return slices(found.ids.astype("<u4"), found.sizes).to_pylist()
+
+
+def _blocks(batches) -> Iterator[pa.Table]:
+    """Rows with texts of about ``BLOCK_CHARS`` bytes; a longer text ends its block."""
+    block, size = [], 0
+    for part in parts(batches):
+        ends = np.cumsum(sizes_of(part.column(1)))
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + BLOCK_CHARS - size, side="right")) + 1
+            block.append(part.slice(start, stop - start))
+            size += int(ends[min(stop, len(ends)) - 1] - before)
+            start = stop
+            if size > BLOCK_CHARS:
+                yield pa.Table.from_batches(block).combine_chunks()
+                block, size = [], 0
+    if block:
+        yield pa.Table.from_batches(block).combine_chunks()
 
 
 def _encoded(ranks_file, pattern: str):
     def run(batches):
         # a coder for each task: its memo goes with it, as the worker process serves other steps
         coder = MergeReplay(read_ranks(ranks_file.value), pattern)
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-        block, size = [], 0
-
-        def flush():
-            ids = coder.encode([t for _, t in block])
-            return arrow_batch(schema, [[d for d, _ in block], ids])
-
-        for rows in id_texts(batches):
-            for row in rows:
-                block.append(row)
-                size += len(row[1])
-                if size > BLOCK_CHARS:
-                    yield flush()
-                    block, size = [], 0
-        if block:
-            yield flush()
+        for block in _blocks(batches):
+            found = coder.encoded(block.column(1).chunk(0))
+            doc_ids = block.column(0).chunk(0).cast(pa.int64())
+            del block
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, slices(found.ids.astype("<u4"), found.sizes)], names=["doc_id", "ids"]
+            )
 
     return run
 
 
 def _decoded(ranks_file):
     def run(batches):
-        tokens = {r: t for t, r in read_ranks(ranks_file.value).items()}
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
-        for part in parts(batches):
-            ids = part.column(1).to_pylist()
-            out = [
-                None if i is None else b"".join(map(tokens.__getitem__, np.frombuffer(i, "<u4").tolist()))
-                for i in ids
-            ]
-            yield arrow_batch(schema, [part.column(0).to_pylist(), ids, out])
+        ranks = read_ranks(ranks_file.value)
+        tokens = pa.array(list(ranks), pa.binary())
+        place = np.full(max(ranks.values()) + 1, -1)
+        place[list(ranks.values())] = np.arange(len(ranks))
+        for part in parts(batches, 1 << 20):
+            ids = part.column(1)
+            at = place[joined(ids).view("<u4")]
+            if (at < 0).any():
+                raise ValueError("an id is not in the vocabulary")
+            found = tokens.take(pa.array(at))
+            stops = np.append(0, np.cumsum(sizes_of(found)))[np.cumsum(sizes_of(ids)) // 4]
+            out = slices(joined(found), np.diff(stops, prepend=0))
+            if ids.null_count:
+                out = pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, out], names=["doc_id", "ids", "decoded"])
 
     return run
 

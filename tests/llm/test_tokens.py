@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -71,6 +72,39 @@ def test_memo_is_emptied(ranks, monkeypatch):
     assert first == [coder.encode([t]) for t in random_texts(50)]
 
 
+def test_units_are_matched_together(ranks):
+    """The pattern runs over the new words of a block at once, not over each of them."""
+    coder = bpe.MergeReplay(ranks, P.PATTERN)
+    real, calls = coder.pattern, []
+    coder.pattern = type("Counted", (), {"findall": lambda self, text: calls.append(text) or real.findall(text)})()
+    texts = [" ".join(f"w{k}x{j}'s" for j in range(50)) + "\n\u3000 end " for k in range(20)]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    wanted = [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    assert coder.encode(texts) == wanted
+    assert len(calls) < 50
+    assert coder.encode(texts) == wanted  # from the memo
+
+
+def test_blocks_of_any_size(ranks, monkeypatch):
+    texts = ["", *random_texts(60), ""]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        value = type("Value", (), {"value": f.read()})()
+    batch = pa.record_batch([pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for size in (1, 100, 10**6):
+        monkeypatch.setattr(bpe, "BLOCK_CHARS", size)
+        out = pa.Table.from_batches(bpe._both(value, P.PATTERN)(iter([batch.slice(0, 30), batch.slice(30)])))
+        assert out["doc_id"].to_pylist() == batch.column(0).to_pylist()
+        assert out["ids"].to_pylist() == [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+        assert out["decoded"].to_pylist() == [t.encode() for t in texts]
+
+
+def test_decoding_keeps_nulls(spark, ranks):
+    rows = [(1, None), (2, b""), (3, np.array([ranks[b"a"], ranks[b"the"]], "<u4").tobytes())]
+    found = bpe.decode(spark.createDataFrame(rows, "doc_id long, ids binary"), P.path("byte_bpe_50k.tiktoken"))
+    assert {r["doc_id"]: r["decoded"] and bytes(r["decoded"]) for r in found.collect()} == {1: None, 2: b"", 3: b"athe"}
+
+
 def test_token_blocks_hold_what_the_library_says(spark, make_docs, monkeypatch, tmp_path):
     texts = random_texts(300, seed=4)
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
