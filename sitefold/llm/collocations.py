@@ -56,7 +56,7 @@ CHUNK_BYTES = 3_000_000
 #: holds before it adds up those of its chunks.
 PENDING = 2_500_000
 PENDING_PHRASES = 1_000_000
-LEAST_PARTS = 64
+LEAST_PARTS = 128
 _BITMAP_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -247,8 +247,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], kind=Places) -> Iterator[Places]:
 
 
 def _part_bits(spark: SparkSession) -> int:
-    """Leading bits of a hash that tell its range: some ranges for each partition of a shuffle."""
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Leading bits of a hash that tell its range: as many ranges as partitions of a shuffle, or more.
+
+    A task makes a row for each, so many more would cost rows where there are many small tasks.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return ceil(log2(max(LEAST_PARTS, parts)))
 
 

@@ -173,3 +173,14 @@ def test_counts_leave_a_task_by_ranges(monkeypatch, pending):
 def test_languages_with_odd_names(make_phrases):
     rows = [(k, "one two three " * 12, lang) for k, lang in enumerate(["", "a\nb", "a", "\n", "en us", None])]
     assert mined(co.collocations(make_phrases(rows))) == brute(rows, 3, 10, 2000)
+
+
+def test_ranges_follow_the_partitions(spark):
+    """Rows between tasks are tasks times ranges: about as many as a shuffle has blocks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, bits in ((4, 7), (128, 7), (211, 8), (3000, 12)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            assert co._part_bits(spark) == bits
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
