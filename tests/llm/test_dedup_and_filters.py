@@ -10,7 +10,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from sitefold.llm import decontaminate as dc, exact_dedup as ed, quality as q, substring_dedup as sd
+from sitefold.llm import decontaminate as dc, exact_dedup as ed, quality as q, queries, substring_dedup as sd
 from sitefold.llm.common import WordHashes
 from sitefold.session import scratch_path
 
@@ -146,6 +146,27 @@ def test_the_registered_form_matches_brute_force(make_docs):
     assert {r["doc_id"]: (r["text"], r["n_words_removed"]) for r in found} == want
 
 
+def test_the_query_takes_spans_of_few_words(spark, make_docs, tmp_path):
+    """Runs of two short sentences repeat, too; beyond them a text of two short sentences is one."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    short = [" ".join(rng.sample(words, rng.randint(1, 8))) + rng.choice([".", "!", "?"]) for _ in range(12)]
+    passage = " ".join(rng.sample(words, 60))
+    docs = []
+    for k in range(120):
+        parts = [rng.choice(short) for _ in range(rng.randint(0, 6))]
+        parts += [" ".join(rng.sample(words, rng.randint(1, 40))) + "."] * (k % 3)
+        parts += [passage] * (k % 10 == 0)
+        docs.append((k, rng.choice([" ", "\n"]).join(parts)))
+    docs += [(200, "One copy. Of few words."), (201, "one  COPY. of few words."), (202, "Own one. Of few words.")]
+    make_docs(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op8_substring_dedup(spark, str(tmp_path)).collect()
+    want = brute_registered(docs, least=0)
+    assert want[200] == (docs[-3][1], 0) and want[201] == ("", 5) and want[202] == (docs[-1][1], 0)
+    assert sum(n > 0 for _, n in want.values()) > sum(n > 0 for _, n in brute_registered(docs).values()) + 20
+    assert {r["doc_id"]: (r["text"], r["n_words_removed"]) for r in found} == want
+
+
 def test_sentences_cover_the_text():
     rng = random.Random(3)
     for _ in range(2000):
