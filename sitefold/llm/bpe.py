@@ -222,11 +222,12 @@ class MergeReplay:
             ids = [self.alone(data[ends[k] - lengths[k] : ends[k]].tobytes()) for k in again.tolist()]
             order = np.arange(len(lengths))
             order[again] = len(lengths) + np.arange(len(again))
-            out = (out + Sequences(np.concatenate(ids), np.array([len(i) for i in ids]))).take(order)
+            sizes = np.array([len(i) // 4 for i in ids])
+            out = (out + Sequences(np.frombuffer(b"".join(ids), "<u4").astype(np.int32), sizes)).take(order)
         return out
 
-    def alone(self, word: bytes) -> np.ndarray:
-        """One word, one merge at a time: the earliest rank first, the leftmost of a rank."""
+    def alone(self, word: bytes) -> bytes:
+        """Ids of one word, one merge at a time: the earliest rank first, the leftmost of a rank."""
         rank = self.ranks
         part = [bytes([b]) for b in word]
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
@@ -250,7 +251,7 @@ class MergeReplay:
                 before[after[i]] = i
             push(before[i])
             push(i)
-        return np.array([rank[p] for p in part if p is not None], np.int32)
+        return np.array([rank[p] for p in part if p is not None], "<u4").tobytes()
 
     def pieces(self, new: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Matches of the pattern in units, and their number in each."""
