@@ -8,6 +8,7 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitefold.llm import decontaminate as dc, exact_dedup as ed, quality as q, queries, substring_dedup as sd
@@ -167,6 +168,26 @@ def test_the_query_takes_spans_of_few_words(spark, make_docs, tmp_path):
     assert {r["doc_id"]: (r["text"], r["n_words_removed"]) for r in found} == want
 
 
+def test_rows_with_a_null_id_stay_whole():
+    """Also where the filter of ids lets them through."""
+    text = "One two. Three four. One two. Three four."
+    columns = [pa.array([None, 1], pa.int64()), pa.array([text, text]), pa.array([None, []], pa.list_(pa.int64())), pa.array([None, False])]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "known", "inner_run"])
+    (found,) = sd._cleaned(2, True, 0)([batch])
+    assert found.column("text").to_pylist() == [text, "One two. Three four. "]
+    assert found.column("n_removed").to_pylist() == [0, 2]
+
+
+def test_whole_sentences_go_as_their_words_do():
+    rng = random.Random(12)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "b c", ".", "!", "? ", "\n", " ", "\n\n", "\x1c", "\u3000", "Σ.", "İ"]) for _ in range(rng.randint(1, 20)))
+        counts = sd.hashed_words(text)[0]
+        whole = np.array([rng.random() < 0.5 for _ in counts])
+        if text.strip() and whole.any():
+            assert sd._without_sentences(text, whole) == sd._without(text, np.repeat(whole, counts).astype(np.int8))
+
+
 def test_sentences_cover_the_text():
     rng = random.Random(3)
     for _ in range(2000):
